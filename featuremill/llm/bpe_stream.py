@@ -237,10 +237,11 @@ class Known:
 
     def learn(self, pieces: Iterable[str]) -> dict[str, list[int]]:
         """A table that has all of ``pieces``; those too long to keep are merged by the transducer."""
-        missing = set(pieces).difference(self.new)
+        pieces = set(pieces)
+        missing = pieces.difference(self.new)
         if len(self.new) + len(missing) > CACHE_PIECES:
             self.old, self.new = self.new, {}
-            missing = set(pieces)
+            missing = pieces
         fresh = []
         for p in missing:
             if (ids := self.old.get(p)) is not None:
