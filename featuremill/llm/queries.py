@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from .bpe_stream import op9_bpe_stream
+from .line_dedup import OP10_SQL, op10_line_dedup
+from .quality import OP2_SQL, op2_quality_rules
+from .simhash import op6_simhash
 from .token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_quality_rules": op2_quality_rules,
+    "op6_simhash": op6_simhash,
     "op9_bpe_stream": op9_bpe_stream,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_quality_rules": OP2_SQL,
+    "op10_line_dedup": OP10_SQL,
+}
