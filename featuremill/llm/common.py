@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +39,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, label)
     df.write.parquet(path)
+    free(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(spark: SparkSession) -> None:
+    """Shuffle files of finished queries go when the driver's JVM collects its garbage; this asks for it now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) of Hadoop's API for ``path``."""
     jvm = spark.sparkContext._jvm
@@ -48,6 +56,13 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def drop(df: DataFrame) -> None:
+    """Remove a table that ``written`` gave and that no frame needs any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(spark, folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = hadoop_path(spark, path)
     fs.delete(p, True)
