@@ -34,6 +34,8 @@ from .components import components
 SEED = 42
 #: The longest posting list whose pairs are compared one by one. A dense fingerprint costs 2,081 points instead.
 LIST = 256
+#: Lists (two numbers each) up to which those of three and more are broadcast; beyond it the join shuffles.
+BROADCAST_LISTS = 500_000
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -91,7 +93,9 @@ def near_links(distinct: DataFrame, max_bits: int = 4, longest: int = LIST) -> D
     lists = written(lists.filter("n > 1"), "postings")
     reported = F.expr("mask").eqNullSafe(_reported_in(F.col("u"), F.col("v"), matches))
     found = [lists.filter("n = 2").filter(reported & _near(F.col("u"), F.col("v"), max_bits)).select("u", "v")]
-    members = written(posted.join(lists.filter("n > 2").select("mask", "key", "n"), ["mask", "key"]).select("mask", "key", "n", "fp"), "members")
+    long = lists.filter("n > 2").select("mask", "key", "n")
+    long = F.broadcast(long) if long.count() <= BROADCAST_LISTS else long
+    members = written(posted.join(long, ["mask", "key"]).select("mask", "key", "n", "fp"), "members")
     short = members.filter(F.col("n") <= longest)
     a, b = short.select("mask", "key", F.col("fp").alias("u")), short.select("mask", "key", F.col("fp").alias("v"))
     found.append(a.join(b, ["mask", "key"]).filter("u < v").filter(reported & _near(F.col("u"), F.col("v"), max_bits)).select("u", "v"))
