@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Narrow rows (a few numbers each, some MB in all) that may be broadcast.
+BROADCAST_ROWS = 200_000
 #: Separators between words, as the operators on whole texts see them.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -43,6 +45,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` of ``rows`` narrow rows: broadcast up to ``most`` of them, else left to a join that shuffles."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for those whose doc_id is in ``ids`` (a written table of distinct doc_id); null ids stay."""
+    gone = ids.select(F.col("doc_id").alias("_gone"))
+    return docs.join(sized(gone, gone.count()), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def free(spark: SparkSession) -> None:
     """Shuffle files of finished queries go when the driver's JVM collects its garbage; this asks for it now."""
     gc.collect()

@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import table
 
@@ -34,7 +35,6 @@ SEQUENCE, BATCH, EPOCHS, RATE, DECAY = 32, 128, 4, 0.2, 1e-6
 #: Entries a worker keeps of word -> scores; characters and words handled at a time.
 CACHE_WORDS, GROUP_CHARS, GROUP_WORDS = 400_000, 1 << 22, 1 << 16
 LETTERS = regex.compile(r"\p{L}+")
-OUT = "doc_id long, lang_pred string, score double"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -148,7 +148,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Crf | None:
     if not langs:
         return None
     lexicon = {w: i + 1 for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[:LEXICON])}
-    per = min(2000, max(len(docs[k]) for k in langs))
+    per = min(2000, max(64, *(len(docs[k]) for k in langs)))
     sequences, gold = [], []
     for y, lang in enumerate(langs):
         for j in rng.integers(0, len(docs[lang]), per):
@@ -276,22 +276,24 @@ def _cut(order: list[int], sizes: np.ndarray) -> Iterator[list[int]]:
 _predictors: dict[bytes, Predictor] = {}
 
 
-def predict(docs: DataFrame, crf: Crf | None) -> DataFrame:
-    """(doc_id, lang_pred, score) of every row; with no model all is ``und``."""
+def label(docs: DataFrame, crf: Crf | None) -> DataFrame:
+    """``docs`` with lang_pred and score (which replace columns of these names); with no model all is ``und``."""
+    docs = docs.drop("lang_pred", "score")
     if crf is None:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(crf)
-    key = crf.weights.tobytes()[:4096] + crf.steps.tobytes()
+    key, at = crf.weights.tobytes()[:4096] + crf.steps.tobytes(), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _predictors:
             _predictors.clear()
             _predictors[key] = Predictor(shared.value)
         for batch in batches:
-            found = list(zip(*_predictors[key]([t or "" for t in batch.column(1).to_pylist()]))) or [[], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            found = list(zip(*_predictors[key]([t or "" for t in batch.column(at).to_pylist()]))) or [[], []]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, OUT)
+    schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf | None:
@@ -308,9 +310,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf | None:
 
 
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    return predict(docs, train(docs, sample_docs))
+    """``docs`` with the predicted language of each row and its score."""
+    return label(docs, train(docs, sample_docs))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = identify(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    rows = label(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -20,15 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, table, words_of, written
+from .common import SPACE_CLASS, sized, table, words_of, written
 
 MIN_WORDS = 5
-#: Rows up to which a table of (document, few numbers) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
-
-
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -57,7 +51,7 @@ def _near_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     halves = texts.select("a", "b", "doc_id", "line", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     places = written(halves.join(shared, "half", "left_semi").select("a", "b", "doc_id", "line").distinct(), "candidates")
-    own = _lines(docs).join(_sized(places, places.count()), ["doc_id", "line"])
+    own = _lines(docs).join(sized(places, places.count()), ["doc_id", "line"])
     own = own.filter((F.col("a") == F.xxhash64("w")) & (F.col("b") == F.xxhash64(F.lit(1), F.col("w")))).dropDuplicates(["a", "b"])
     texts = written(own.select("a", "b", F.struct("doc_id", "line").alias("at"), "w"), "texts")
 
@@ -106,13 +100,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines, n_removed (long)."""
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("_gone_id"), "gone")
-    joined = docs.join(_sized(gone, gone.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left")
+    gone = repeated_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone_lines"))
+    joined = docs.join(sized(gone, gone.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left")
     lines = F.split("text", "\n")
     n = F.coalesce(F.size(lines), F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"), "n_removed": F.when(F.col("gone").isNull() | F.col("text").isNull(), 0).otherwise(n - F.size(kept)).cast("long")}
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone_lines"))
+    text = F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"), "n_removed": F.when(F.col("_gone_lines").isNull() | F.col("text").isNull(), 0).otherwise(n - F.size(kept)).cast("long")}
     other = [c for c in docs.columns if c not in ("text", *counts)]
     return joined.select(*[F.col(f"`{c}`") for c in other], text.alias("text"), *[e.alias(k) for k, e in counts.items()])
 
