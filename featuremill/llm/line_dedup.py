@@ -5,7 +5,7 @@ A line is its words joined by one space; lines of fewer than ``MIN_WORDS`` words
 inserted, deleted or replaced), whether or not that earlier line goes itself.
 
 Equal lines are grouped first, so that each text counts once. A text can only have a neighbour if it shares its first
-or its second half with another text (an edit spares one of the halves), so only such texts emit their deletion
+or its last words with another text (an edit spares one of the ends), so only such texts emit their deletion
 neighbourhood: the text itself and, for each word, the text without it, as hashed keys. Equal keys are joined by a
 grouped minimum, never by pairs: each key hands on its earliest text. What a text receives is then verified on the
 words themselves. Native functions only.
@@ -20,25 +20,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, sized, table, words_of, written
+from .common import SPACE_CLASS, sized, table, written
 
 MIN_WORDS = 5
+ENDS = [e << k for k in range(20) for e in (2, 3)]
+#: Line numbers up to which the lists of lines to take out are broadcast.
+BROADCAST_LINES = 1_000_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    rows = rows.select("doc_id", "line", words_of(F.col("raw")).alias("w"))
+    """(doc_id, line, w): the lines of ``MIN_WORDS`` words and more. Splits at single characters, which needs no regex."""
+    text = F.when(F.col("text").rlike(r"[\x09\x0B-\x0D]"), F.translate("text", "\t\x0b\x0c\r", "    ")).otherwise(F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    rows = rows.select("doc_id", "line", F.array_remove(F.split("raw", " "), "").alias("w"))
     return rows.filter(F.size("w") >= MIN_WORDS)
 
 
-def _half_keys(w: Column) -> Column:
-    """Hashes of the halves, for neighbours of the same length and (cut as if one word shorter) one word shorter."""
+def _hashed(docs: DataFrame) -> DataFrame:
+    w = F.col("w")
+    return _lines(docs).select("doc_id", "line", F.xxhash64(w).alias("a"), F.hash(w).alias("b"), _end_keys(w).alias("ends"))
+
+
+def _end_keys(w: Column) -> Column:
+    """Hashes of the first and of the last words, as many as the largest of ``ENDS`` in half the line.
+
+    Texts at distance 1 share one of them: an edit spares one end, and lengths that differ by one have the same number
+    of end words unless the longer one has just twice a number of ``ENDS``; that one emits the shorter ends, too.
+    """
     n = F.size(w)
-    keys = []
-    for tag in (n, n - 1):
-        h = F.floor(tag / 2).cast("int")
-        keys += [F.xxhash64(F.lit("p"), tag, F.slice(w, F.lit(1), h)), F.xxhash64(F.lit("s"), tag, F.slice(w, n - (tag - h) + 1, tag - h))]
-    return F.array(*keys)
+    fit = lambda m: F.greatest(F.lit(0), *[F.when(2 * e <= m, F.lit(e)) for e in ENDS])
+    keys = lambda p: [F.xxhash64(F.lit("first"), p, F.slice(w, F.lit(1), p)), F.xxhash64(F.lit("last"), p, F.slice(w, n - p + 1, p))]
+    p = fit(n)
+    return F.when(n == 2 * p, F.array(*keys(p), *keys(fit(n - 1)))).otherwise(F.array(*keys(p)))
 
 
 def _without(w: Column, i: Column) -> Column:
@@ -48,11 +61,13 @@ def _without(w: Column, i: Column) -> Column:
 
 def _near_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, near): texts that have an earlier text at distance 1, and the place of the earliest one."""
-    halves = texts.select("a", "b", "doc_id", "line", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    places = written(halves.join(shared, "half", "left_semi").select("a", "b", "doc_id", "line").distinct(), "candidates")
-    own = _lines(docs).join(sized(places, places.count()), ["doc_id", "line"])
-    own = own.filter((F.col("a") == F.xxhash64("w")) & (F.col("b") == F.xxhash64(F.lit(1), F.col("w")))).dropDuplicates(["a", "b"])
+    ends = texts.select("doc_id", "line", F.explode("ends").alias("end"))
+    shared = ends.groupBy("end").agg(F.count("*").alias("n")).filter("n > 1").select("end")
+    places = written(ends.join(shared, "end", "left_semi").select("doc_id", "line").distinct(), "candidates")
+    places = sized(places, places.count())
+    own = _lines(docs).join(places, ["doc_id", "line"]).select(F.xxhash64("w").alias("a"), F.hash("w").alias("b"), "doc_id", "line", "w")
+    first = F.min_by(F.struct("doc_id", "line", "w"), F.struct("doc_id", "line")).alias("x")
+    own = own.groupBy("a", "b").agg(first).select("a", "b", "x.*")
     texts = written(own.select("a", "b", F.struct("doc_id", "line").alias("at"), "w"), "texts")
 
     words = texts.select("a", "b", "at", F.posexplode("w").alias("i", "word"))
@@ -85,23 +100,22 @@ def _near_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): for each document that loses lines, the numbers of these lines."""
-    w = F.col("w")
-    seen = _lines(docs).select("doc_id", "line", F.xxhash64(w).alias("a"), F.xxhash64(F.lit(1), w).alias("b"), _half_keys(w).alias("halves"))
-    texts = seen.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("halves").alias("halves"), F.count("*").alias("n"))
-    texts = written(texts.select("a", "b", "at.doc_id", "at.line", "halves", "n"), "lines")
+    seen = written(_hashed(docs), "lines")
+    texts = seen.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("ends").alias("ends"), F.count("*").alias("n"))
+    texts = written(texts.select("a", "b", "at.doc_id", "at.line", "ends", "n"), "distinct-lines")
     near = written(_near_texts(docs, texts), "near")
     active = texts.join(near, ["a", "b"], "left").filter("n > 1 OR near IS NOT NULL")
     at = F.struct("doc_id", "line")
     active = written(active.select("a", "b", F.least(at, F.coalesce("near", at)).alias("first")), "active")
-    places = _lines(docs).select("doc_id", "line", F.xxhash64(w).alias("a"), F.xxhash64(F.lit(1), w).alias("b"))
-    gone = places.join(active, ["a", "b"]).filter(F.col("first") < F.struct("doc_id", "line"))
+    gone = seen.select("doc_id", "line", "a", "b").join(sized(active, active.count()), ["a", "b"]).filter(F.col("first") < F.struct("doc_id", "line"))
     return written(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines, n_removed (long)."""
     gone = repeated_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone_lines"))
-    joined = docs.join(sized(gone, gone.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left")
+    n_gone = gone.agg(F.coalesce(F.sum(F.size("_gone_lines")), F.lit(0))).first()[0]
+    joined = docs.join(sized(gone, n_gone, BROADCAST_LINES), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left")
     lines = F.split("text", "\n")
     n = F.coalesce(F.size(lines), F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone_lines"))
