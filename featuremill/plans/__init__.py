@@ -1,0 +1,6 @@
+"""The registered queries of the library."""
+
+from . import features, tables_and_quality
+from .catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "features", "tables_and_quality"]
