@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table, work_dir
 
 #: Entries a worker keeps of word -> ids.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 900_000
 #: Chunks of more characters are not kept.
 LONG_CHUNK = 100
 MANIFEST = "shard int, n_docs long, n_null_ids long, n_tokens long, width int, name string"
@@ -67,8 +67,8 @@ class WordEncoder:
                     self.new[c] = ids
                 else:
                     fresh.append(c)
-            for c, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                self.new[c] = np.array(e.ids, dtype=self.dtype).tobytes()
+            if fresh:
+                self._learn(fresh)
         data = b"".join(map(self.new.__getitem__, chunks))
         for c in missing:
             if len(c) > LONG_CHUNK:
@@ -76,6 +76,32 @@ class WordEncoder:
         return data
 
 
+    def _learn(self, fresh: list[str]) -> None:
+        """Adds ``fresh`` chunks; the library gets each stem once.
+
+        Where a chunk is ASCII, its lower-case form has the same ids (the tokenizer lower-cases), and full stops and
+        commas after a letter or digit are a piece of their own.
+        """
+        stems = {c: _stem(c) for c in fresh}
+        parts = {p for pair in stems.values() for p in pair if p and p not in self.new}
+        parts = list(parts)
+        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
+            self.new[p] = np.array(e.ids, dtype=self.dtype).tobytes()
+        for c, (stem, tail) in stems.items():
+            self.new[c] = self.new[stem] + self.new[tail] if tail else self.new[stem] if stem else b""
+        for p in parts:
+            if len(p) > LONG_CHUNK and p not in stems:
+                del self.new[p]
+
+
+def _stem(chunk: str) -> tuple[str, str]:
+    if not chunk.isascii() or "<|" in chunk:
+        return chunk, ""
+    low = chunk.lower()
+    stem = low.rstrip(".,")
+    return (stem, low[len(stem) :]) if stem and stem[-1].isalnum() else (low, "")
+
+
 def id_width(tokenizer_path: str, end_id: int) -> int:
     from tokenizers import Tokenizer
 
