@@ -7,7 +7,8 @@ is known, too. Such a parse against one block at a time would miss the windows t
 end in the next one's, so the windows across each factor boundary are looked up like all others. Factors of
 ``SPAN`` words and more are the duplicate spans.
 
-Three steps keep the index small. (1) Every window picks its least hashed ``SEED``-word seed; windows with equal
+Rows with the same text are indexed once: all their windows occur elsewhere. Three steps keep the index small for the
+others. (1) Every window picks its least hashed ``SEED``-word seed; windows with equal
 words pick equal seeds, so that a window can only occur twice if its seed is chosen at two places. About one word in
 fifteen is a chosen seed; seeds are counted by a grouped sum. (2) Documents with repeated seeds emit the 96-bit hashes
 of the windows that picked those seeds; hashes met twice are joined back to their places. (3) Places are gathered per
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, table, written
+from .common import drop, sized, table, written
 
 SPAN, SEED = 35, 8
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -80,7 +81,7 @@ def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             value, count = np.unique(seeds(_hashes(ws))[1], return_counts=True)
             values.append(value)
-            counts.append(count)
+            counts.append(count * (2 if batch.column(3)[k].as_py() else 1))
             owners.append(np.full(len(value), k))
         if values:
             owner = pa.array(np.concatenate(owners))
@@ -97,8 +98,8 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             a, b = (_rolled(h, SPAN, base)[at] for base in _BASES)
             owner = pa.array(np.full(len(at), k))
-            columns = [pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "mark", "at"])
+            columns = [pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at.astype(np.int32)), batch.column(4).take(owner)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "mark", "at", "copied"])
 
 
 def factors(known: np.ndarray, span: int = SPAN) -> list[tuple[int, int]]:
@@ -111,20 +112,31 @@ def factors(known: np.ndarray, span: int = SPAN) -> list[tuple[int, int]]:
     return [(int(s), int(e) - int(s) + span) for s, e in zip(known[first], known[last])]
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, places): per document with repeats, the starts of its windows that occur elsewhere, too."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), "text")
+def copied_texts(rows: DataFrame) -> DataFrame:
+    """(x, mark, copies, first): hashes of the texts that several rows have, how many, and the least doc_id."""
+    copies = rows.filter(F.col("text").isNotNull()).groupBy("x", "mark").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
+    return written(copies.filter("copies > 1"), "copies")
+
+
+def repeated_windows(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, mark, places): per document with repeats, the starts of its windows that occur elsewhere, too.
+
+    All windows of a copied text do; one row of each such text stands for them in the index and needs no places."""
+    joined = rows.join(sized(copies, copies.count()), ["x", "mark"], "left")
+    rows = joined.filter(F.col("copies").isNull() | F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "mark", "text", F.col("copies").isNotNull().alias("copied"))
     found = written(rows.mapInArrow(_emit_seeds, "seed long, n int, doc_id long, mark int"), "seeds")
     again = written(found.groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed"), "again")
     # copies of a row have one mark and the same seeds: a set, so that the row is joined once
     owned = written(found.join(again, "seed").groupBy("doc_id", "mark").agg(F.collect_set("seed").alias("known")), "owned")
     drop(found)
     o = owned.select(F.col("doc_id").alias("o_id"), F.col("mark").alias("o_mark"), "known")
-    seen = rows.join(o, rows.doc_id.eqNullSafe(o.o_id) & (rows.mark == o.o_mark)).select("doc_id", "mark", "text", "known")
-    windows = written(seen.mapInArrow(_emit_windows, "a long, b int, doc_id long, mark int, at int"), "windows")
+    seen = rows.join(o, rows.doc_id.eqNullSafe(o.o_id) & (rows.mark == o.o_mark)).select("doc_id", "mark", "text", "known", "copied")
+    windows = written(seen.mapInArrow(_emit_windows, "a long, b int, doc_id long, mark int, at int, copied boolean"), "windows")
     drop(owned)
-    twice = written(windows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1").select("a", "b"), "twice")
-    places = written(windows.join(twice, ["a", "b"], "left_semi").select("doc_id", "mark", "at"), "places")
+    twice = windows.groupBy("a", "b").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("n")).filter("n > 1").select("a", "b")
+    twice = written(twice, "twice")
+    places = windows.filter(~F.col("copied")).select("a", "b", "doc_id", "mark", "at").join(twice, ["a", "b"], "left_semi")
+    places = written(places.select("doc_id", "mark", "at"), "places")
     drop(windows)
     out = written(places.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("places")), "factors")
     drop(places)
@@ -138,9 +150,11 @@ def _parse(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for doc_id, text, places, copied in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
                 ws = _words(text.as_py())
                 spans = factors(np.asarray(places.values.to_numpy(zero_copy_only=False))) if places.is_valid else []
+                if copied and len(ws) >= SPAN:
+                    spans = [(0, len(ws))]
                 keep, at = [], 0
                 for s, n in spans:
                     keep += ws[at:s]
@@ -158,10 +172,12 @@ def _parse(full: bool):
 
 def dedup_substrings(docs: DataFrame, full: bool = True) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256; with ``full`` also the kept text and the removed factors."""
-    found = repeated_windows(docs.select("doc_id", "text")).select(F.col("doc_id").alias("p_id"), F.col("mark").alias("p_mark"), "places")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), "text")
-    joined = rows.join(found, rows.doc_id.eqNullSafe(found.p_id) & (rows.mark == found.p_mark), "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(_parse(full), RESULT if full else RESULT.split(", kept string")[0])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), F.xxhash64("text").alias("x"), "text")
+    copies = copied_texts(rows)
+    found = repeated_windows(rows, copies).select(F.col("doc_id").alias("p_id"), F.col("mark").alias("p_mark"), "places")
+    joined = rows.join(found, rows.doc_id.eqNullSafe(found.p_id) & (rows.mark == found.p_mark), "left").select("doc_id", "x", "mark", "text", "places")
+    marked = joined.join(sized(copies.select("x", "mark", F.lit(True).alias("copied")), copies.count()), ["x", "mark"], "left")
+    return marked.select("doc_id", "text", "places", "copied").mapInArrow(_parse(full), RESULT if full else RESULT.split(", kept string")[0])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
