@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _timed(df: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need a timestamp with a zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def trailing_stream(df: DataFrame, ts: str, entity: Sequence[str], value: str, days: int = 7, late: str = "1 day") -> DataFrame:
     """Per entity and day, statistics of the last ``days`` days."""
-    rows = df.withWatermark(ts, late).groupBy(F.window(ts, f"{days} days", "1 day"), *entity)
+    rows = _timed(df, ts).withWatermark(ts, late).groupBy(F.window(ts, f"{days} days", "1 day"), *entity)
     return rows.agg(F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"), F.count(value).alias("count")).select(F.col("window.end").alias("until"), *entity, "min", "mean", "max", "count")
 
 
 def daily_counts_stream(df: DataFrame, ts: str, category: str, late: str = "1 day") -> DataFrame:
-    rows = df.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), category).agg(F.count("*").alias("n"))
+    rows = _timed(df, ts).withWatermark(ts, late).groupBy(F.window(ts, "1 day"), category).agg(F.count("*").alias("n"))
     return rows.select(F.to_date("window.start").alias("day"), category, "n")
