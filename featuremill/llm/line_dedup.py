@@ -5,7 +5,7 @@ A line is its words joined by one space; lines of fewer than ``MIN_WORDS`` words
 inserted, deleted or replaced), whether or not that earlier line goes itself.
 
 Equal lines are grouped first, so that each text counts once. A text can only have a neighbour if it shares its first
-or its last words with another text (an edit spares one of the ends), so only such texts emit their deletion
+or its second half with another text (an edit spares one of the halves), so only such texts emit their deletion
 neighbourhood: the text itself and, for each word, the text without it, as hashed keys. Equal keys are joined by a
 grouped minimum, never by pairs: each key hands on its earliest text. What a text receives is then verified on the
 words themselves. Native functions only.
@@ -23,35 +23,38 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, sized, table, written
 
 MIN_WORDS = 5
-ENDS = [e << k for k in range(20) for e in (2, 3)]
 #: Line numbers up to which the lists of lines to take out are broadcast.
 BROADCAST_LINES = 1_000_000
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, w): the lines of ``MIN_WORDS`` words and more. Splits at single characters, which needs no regex."""
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, raw). Splits at a single character, which needs no regex."""
     text = F.when(F.col("text").rlike(r"[\x09\x0B-\x0D]"), F.translate("text", "\t\x0b\x0c\r", "    ")).otherwise(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    rows = rows.select("doc_id", "line", F.array_remove(F.split("raw", " "), "").alias("w"))
-    return rows.filter(F.size("w") >= MIN_WORDS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    w = F.col("w")
-    return _lines(docs).select("doc_id", "line", F.xxhash64(w).alias("a"), F.hash(w).alias("b"), _end_keys(w).alias("ends"))
+def _words(raw: DataFrame) -> DataFrame:
+    """``raw`` column to ``w``: the words of lines of ``MIN_WORDS`` and more."""
+    rows = raw.withColumn("w", F.array_remove(F.split("raw", " "), "")).drop("raw")
+    return rows.filter(F.size("w") >= MIN_WORDS)
 
 
-def _end_keys(w: Column) -> Column:
-    """Hashes of the first and of the last words, as many as the largest of ``ENDS`` in half the line.
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, a, b, halves): hashes of each line and of its halves.
 
-    Texts at distance 1 share one of them: an edit spares one end, and lengths that differ by one have the same number
-    of end words unless the longer one has just twice a number of ``ENDS``; that one emits the shorter ends, too.
+    Texts at distance 1 share a half, as an edit spares one of them: the halves are cut for the line's length and, for
+    neighbours with one word less, for the length below.
     """
-    n = F.size(w)
-    fit = lambda m: F.greatest(F.lit(0), *[F.when(2 * e <= m, F.lit(e)) for e in ENDS])
-    keys = lambda p: [F.xxhash64(F.lit("first"), p, F.slice(w, F.lit(1), p)), F.xxhash64(F.lit("last"), p, F.slice(w, n - p + 1, p))]
-    p = fit(n)
-    return F.when(n == 2 * p, F.array(*keys(p), *keys(fit(n - 1)))).otherwise(F.array(*keys(p)))
+    n = F.size("w")
+    rows = _words(_raw_lines(docs)).select("*", n.alias("n"), F.shiftright(n, 1).alias("h"), F.shiftright(n - 1, 1).alias("g"))
+    w, n, h, g = (F.col(c) for c in "wnhg")
+    halves = [
+        F.xxhash64(F.lit("first"), n, F.slice(w, F.lit(1), h)),
+        F.xxhash64(F.lit("last"), n, F.slice(w, h + 1, n - h)),
+        F.xxhash64(F.lit("first"), n - 1, F.slice(w, F.lit(1), g)),
+        F.xxhash64(F.lit("last"), n - 1, F.slice(w, g + 2, n - 1 - g)),
+    ]
+    return rows.select("doc_id", "line", F.xxhash64(w).alias("a"), F.hash(w).alias("b"), F.array(*halves).alias("halves"))
 
 
 def _without(w: Column, i: Column) -> Column:
@@ -61,11 +64,11 @@ def _without(w: Column, i: Column) -> Column:
 
 def _near_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, near): texts that have an earlier text at distance 1, and the place of the earliest one."""
-    ends = texts.select("doc_id", "line", F.explode("ends").alias("end"))
-    shared = ends.groupBy("end").agg(F.count("*").alias("n")).filter("n > 1").select("end")
-    places = written(ends.join(shared, "end", "left_semi").select("doc_id", "line").distinct(), "candidates")
+    halves = texts.select("doc_id", "line", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
+    places = written(halves.join(shared, "half", "left_semi").select("doc_id", "line").distinct(), "candidates")
     places = sized(places, places.count())
-    own = _lines(docs).join(places, ["doc_id", "line"]).select(F.xxhash64("w").alias("a"), F.hash("w").alias("b"), "doc_id", "line", "w")
+    own = _words(_raw_lines(docs).join(places, ["doc_id", "line"])).select(F.xxhash64("w").alias("a"), F.hash("w").alias("b"), "doc_id", "line", "w")
     first = F.min_by(F.struct("doc_id", "line", "w"), F.struct("doc_id", "line")).alias("x")
     own = own.groupBy("a", "b").agg(first).select("a", "b", "x.*")
     texts = written(own.select("a", "b", F.struct("doc_id", "line").alias("at"), "w"), "texts")
@@ -101,8 +104,8 @@ def _near_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): for each document that loses lines, the numbers of these lines."""
     seen = written(_hashed(docs), "lines")
-    texts = seen.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("ends").alias("ends"), F.count("*").alias("n"))
-    texts = written(texts.select("a", "b", "at.doc_id", "at.line", "ends", "n"), "distinct-lines")
+    texts = seen.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("halves").alias("halves"), F.count("*").alias("n"))
+    texts = written(texts.select("a", "b", "at.doc_id", "at.line", "halves", "n"), "distinct-lines")
     near = written(_near_texts(docs, texts), "near")
     active = texts.join(near, ["a", "b"], "left").filter("n > 1 OR near IS NOT NULL")
     at = F.struct("doc_id", "line")
