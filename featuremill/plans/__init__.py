@@ -1,6 +1,6 @@
 """The registered queries of the library."""
 
-from . import features, tables_and_quality
+from . import features, more, tables_and_quality
 from .catalog import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "features", "tables_and_quality"]
+__all__ = ["QUERIES", "SQL", "features", "more", "tables_and_quality"]
