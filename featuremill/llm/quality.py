@@ -27,7 +27,7 @@ METRICS = {
     "word_length": ("word_chars", "n_words", 0.5),
     "symbol_rate": ("n_symbols", "n_words", 0.1),
     "dup_line_rate": ("n_dup_lines", "n_lines", 0.25),
-    "repeat_rate": ("n_repeat_words", "n_words", 0.1),
+    "repeat_rate": ("n_repeat_words", "n_words", 0.2),
 }
 SYMBOLS = r"[#*$%&|<>]+"
 
