@@ -6,7 +6,7 @@ inserted, deleted or replaced), whether or not that earlier line goes itself.
 
 Equal lines are grouped first, so that each text counts once. A text can only have a neighbour if it shares its first
 or its second half with another text (an edit spares one of the halves), so only such texts emit their deletion
-neighbourhood: the text itself and, for each word, the text without it, as hashed keys. Equal keys are joined by a
+neighbourhood: the text itself and, for each word outside the shared half, the text without it, as hashed keys. Equal keys are joined by a
 grouped minimum, never by pairs: each key hands on its earliest text. What a text receives is then verified on the
 words themselves. Native functions only.
 
@@ -29,32 +29,40 @@ BROADCAST_LINES = 1_000_000
 
 def _raw_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line, raw). Splits at a single character, which needs no regex."""
-    text = F.when(F.col("text").rlike(r"[\x09\x0B-\x0D]"), F.translate("text", "\t\x0b\x0c\r", "    ")).otherwise(F.col("text"))
+    odd = [F.col("text").contains(c) for c in "\t\x0b\x0c\r"]
+    text = F.when(odd[0] | odd[1] | odd[2] | odd[3], F.translate("text", "\t\x0b\x0c\r", "    ")).otherwise(F.col("text"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
 
 
-def _words(raw: DataFrame) -> DataFrame:
-    """``raw`` column to ``w``: the words of lines of ``MIN_WORDS`` and more."""
-    rows = raw.withColumn("w", F.array_remove(F.split("raw", " "), "")).drop("raw")
-    return rows.filter(F.size("w") >= MIN_WORDS)
+def _count(text: Column, char: str) -> Column:
+    """How often the one-byte ``char`` is in ``text``."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
+
+
+def _lines(raw: DataFrame) -> DataFrame:
+    """``raw`` column to ``x``, the line's words joined by one space, and ``n``, their number; of ``MIN_WORDS`` and more."""
+    x = F.trim("raw")
+    x = F.when(x.contains("  "), F.regexp_replace(x, " {2,}", " ")).otherwise(x)
+    rows = raw.withColumn("x", x).drop("raw")
+    return rows.withColumn("n", _count(F.col("x"), " ") + 1).filter(f"n >= {MIN_WORDS}")
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
     """(doc_id, line, a, b, halves): hashes of each line and of its halves.
 
     Texts at distance 1 share a half, as an edit spares one of them: the halves are cut for the line's length and, for
-    neighbours with one word less, for the length below.
+    neighbours with one word less, for the length below. All are cut from the line's text, without splitting it.
     """
-    n = F.size("w")
-    rows = _words(_raw_lines(docs)).select("*", n.alias("n"), F.shiftright(n, 1).alias("h"), F.shiftright(n - 1, 1).alias("g"))
-    w, n, h, g = (F.col(c) for c in "wnhg")
+    x, n = F.col("x"), F.col("n")
+    h, g = F.shiftright(n, 1), F.shiftright(n - 1, 1)
+    cut = lambda k: F.call_function("substring_index", x, F.lit(" "), k)
     halves = [
-        F.xxhash64(F.lit("first"), n, F.slice(w, F.lit(1), h)),
-        F.xxhash64(F.lit("last"), n, F.slice(w, h + 1, n - h)),
-        F.xxhash64(F.lit("first"), n - 1, F.slice(w, F.lit(1), g)),
-        F.xxhash64(F.lit("last"), n - 1, F.slice(w, g + 2, n - 1 - g)),
+        F.xxhash64(F.lit("first"), n, cut(h)),
+        F.xxhash64(F.lit("last"), n, cut(h - n)),
+        F.xxhash64(F.lit("first"), n - 1, cut(g)),
+        F.xxhash64(F.lit("last"), n - 1, cut(g - n + 1)),
     ]
-    return rows.select("doc_id", "line", F.xxhash64(w).alias("a"), F.hash(w).alias("b"), F.array(*halves).alias("halves"))
+    return _lines(_raw_lines(docs)).select("doc_id", "line", F.xxhash64(x).alias("a"), F.hash(x).alias("b"), F.array(*halves).alias("halves"))
 
 
 def _without(w: Column, i: Column) -> Column:
@@ -64,21 +72,28 @@ def _without(w: Column, i: Column) -> Column:
 
 def _near_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, near): texts that have an earlier text at distance 1, and the place of the earliest one."""
-    halves = texts.select("doc_id", "line", F.explode("halves").alias("half"))
+    halves = texts.select("doc_id", "line", F.posexplode("halves").alias("side", "half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    places = written(halves.join(shared, "half", "left_semi").select("doc_id", "line").distinct(), "candidates")
-    places = sized(places, places.count())
-    own = _words(_raw_lines(docs).join(places, ["doc_id", "line"])).select(F.xxhash64("w").alias("a"), F.hash("w").alias("b"), "doc_id", "line", "w")
-    first = F.min_by(F.struct("doc_id", "line", "w"), F.struct("doc_id", "line")).alias("x")
+    places = halves.join(shared, "half", "left_semi").groupBy("doc_id", "line").agg(F.bool_or(F.col("side") % 2 == 0).alias("head"), F.bool_or(F.col("side") % 2 == 1).alias("tail"))
+    places = written(places.select(F.col("doc_id").alias("at_id"), F.col("line").alias("at_line"), "head", "tail"), "candidates")
+    ids = places.select("at_id").distinct()
+    id_is = lambda d: d["doc_id"].cast("long").eqNullSafe(F.col("at_id"))
+    found = docs.join(sized(ids, places.count()), id_is(docs), "left_semi")
+    raw = _raw_lines(found)
+    own = _lines(raw.join(sized(places, places.count()), id_is(raw) & (F.col("line") == F.col("at_line"))))
+    own = own.select(F.xxhash64("x").alias("a"), F.hash("x").alias("b"), "doc_id", "line", F.split("x", " ").alias("w"), "head", "tail")
+    first = F.min_by(F.struct("doc_id", "line", "w", "head", "tail"), F.struct("doc_id", "line")).alias("x")
     own = own.groupBy("a", "b").agg(first).select("a", "b", "x.*")
-    texts = written(own.select("a", "b", F.struct("doc_id", "line").alias("at"), "w"), "texts")
+    texts = written(own.select("a", "b", F.struct("doc_id", "line").alias("at"), "w", "head", "tail"), "texts")
 
-    words = texts.select("a", "b", "at", F.posexplode("w").alias("i", "word"))
-    words = words.select("a", "b", "at", (F.col("i") + 1).alias("i"), F.xxhash64("word", F.col("i") + 1).alias("here"), F.xxhash64("word", "i").alias("moved"))
+    # an edit beside a shared first half is behind it, one beside a shared last half before it
+    g = F.shiftright(F.size("w") - 1, 1)
+    words = texts.select("a", "b", "at", F.when(F.col("head"), g).alias("behind"), F.when(F.col("tail"), g + 1).alias("until"), F.posexplode("w").alias("i", "word"))
+    words = words.select("a", "b", "at", "behind", "until", (F.col("i") + 1).alias("i"), F.xxhash64("word", F.col("i") + 1).alias("here"), F.xxhash64("word", "i").alias("moved"))
     text = Window.partitionBy("a", "b").orderBy("i")
     left = F.coalesce(F.bit_xor("here").over(text.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     right = F.coalesce(F.bit_xor("moved").over(text.rowsBetween(1, Window.unboundedFollowing)), F.lit(0).cast("long"))
-    cut = words.select("a", "b", "at", "i", left.bitwiseXOR(right).alias("rest"))
+    cut = words.select("a", "b", "at", "i", "behind", "until", left.bitwiseXOR(right).alias("rest")).filter("i > behind OR i <= until")
     whole = words.groupBy("a", "b").agg(F.first("at").alias("at"), F.bit_xor("here").alias("rest"))
     cut = cut.select("a", "b", "at", "i", F.explode(F.array(F.struct(F.xxhash64("rest", "i").alias("key"), F.lit("r").alias("kind")), F.struct(F.xxhash64("rest", F.lit(0)).alias("key"), F.lit("d").alias("kind")))).alias("k"))
     variants = cut.select("a", "b", "at", "i", "k.key", "k.kind").unionByName(
@@ -120,9 +135,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n_gone = gone.agg(F.coalesce(F.sum(F.size("_gone_lines")), F.lit(0))).first()[0]
     joined = docs.join(sized(gone, n_gone, BROADCAST_LINES), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left")
     lines = F.split("text", "\n")
-    n = F.coalesce(F.size(lines), F.lit(0))
+    n = _count(F.col("text"), "\n") + 1
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone_lines"))
-    text = F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    # the array of one array binds the lines, so that the text is split once
+    joined_text = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(kept, lambda i: F.get(ls, i)), "\n"))[0]
+    text = F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(joined_text)
     counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"), "n_removed": F.when(F.col("_gone_lines").isNull() | F.col("text").isNull(), 0).otherwise(n - F.size(kept)).cast("long")}
     other = [c for c in docs.columns if c not in ("text", *counts)]
     return joined.select(*[F.col(f"`{c}`") for c in other], text.alias("text"), *[e.alias(k) for k, e in counts.items()])
