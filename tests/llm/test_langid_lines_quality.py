@@ -183,3 +183,18 @@ def test_pipeline(spark):
         sizes.append(docs.count())
         assert k == 4 or docs.columns == columns
     assert sizes[1] >= 0.95 * sizes[0] and sizes[2] > 0.85 * sizes[1] and sizes[2] > sizes[3] >= sizes[4] == sizes[5]
+
+
+def test_lines_with_null_ids_separators_and_equal_words(spark):
+    """A null id is the earliest and takes part in near matches; odd separators and repeated words do not hide an edit."""
+    rows = [
+        (5, "one  two\tthree four five six seven"),
+        (None, "one two three four five six eight"),
+        (6, " a a a b c d "),
+        (7, "a a b c d\nshort line"),
+        (8, "x\x0by\x0cz p q\rr"),
+        (9, "x y z p q r"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'y' AS at_id", "'y' AS head")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in dedup_lines(docs).collect()}
+    assert got == {None: (1, 0), 5: (1, 1), 6: (1, 0), 7: (2, 1), 8: (1, 0), 9: (1, 1)}
