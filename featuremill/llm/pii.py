@@ -4,10 +4,11 @@ Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. Ea
 entity. Terms are words of four letters or digits and more within ``NEAR`` words of an entity. Co-occurrence over the
 whole corpus, counted in distinct texts, estimates how much of an entity ``e`` a term ``t`` tells:
 
-    disclosure(e; t) = log(df(e, t) N / (df(e) df(t))) / log(N / df(e))
+    disclosure(e; t) = log(df(e, t) N / (df(e) (df(t) + 1))) / log(N / df(e))
 
-that is, their pointwise mutual information over the entity's own information; 1 means that ``t`` occurs with ``e``
-alone. Where it reaches ``DISCLOSE`` in ``SUPPORT`` distinct texts or more, the term is a span of its own wherever it
+that is, their pointwise mutual information over the entity's own information, with one text more added to the term's
+count: near 1 means that ``t`` occurs with ``e`` alone, and few texts have to be rare among many to tell as much. An
+entity of a single text is protected, too. Where it reaches ``DISCLOSE``, the term is a span of its own wherever it
 stands near that entity: ``sanitise`` replaces it by ``[term]`` and from ``REMOVE`` on takes it out. Documents without
 an entity are left as they are. Copies of a text count once, so that mere copying reveals nothing.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR, SUPPORT, DISCLOSE, REMOVE = 8, 3, 0.8, 0.95
+NEAR, DISCLOSE, REMOVE = 8, 0.8, 0.95
 #: Characters looked at on either side of an entity for its near words; candidate terms up to which a set is broadcast.
 REACH, BROADCAST_TERMS = 200, 100_000
 
@@ -165,12 +166,12 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     found = written(rows.mapInArrow(_find, FOUND), "found")
     near = written(found.filter(F.size("near") > 0).select("doc_id", "mark", F.explode("near").alias("x")).select("doc_id", "mark", "x.*").distinct(), "near")
     both = near.select("entity", "term", "mark").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    both = written(both.filter(F.col("n_both") >= SUPPORT), "both")
+    both = written(both, "both")
     n_texts = found.select("mark").distinct().count()
     alone = near.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     of_term = written(_document_counts(rows.select("text"), both.select("term").distinct()), "counts")
     # documents, not distinct texts: a term in copies counts more often, which only lowers its disclosure
-    told = F.log(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_entity") * F.greatest("n", "n_both"))) / F.log(F.lit(float(n_texts)) / F.col("n_entity"))
+    told = F.log(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_entity") * (F.greatest("n", "n_both") + 1))) / F.log(F.lit(float(n_texts)) / F.col("n_entity"))
     revealing = both.join(alone, "entity").join(of_term, "term").filter(F.col("n_entity") < n_texts).select("entity", "term", told.alias("disclosure"))
     revealing = written(revealing.filter(F.col("disclosure") >= DISCLOSE), "revealing")
     spans = near.join(revealing, ["entity", "term"]).groupBy("doc_id", "mark", "start", "end").agg(F.max("disclosure").alias("disclosure"))

@@ -57,3 +57,12 @@ def test_terms_that_reveal(spark):
     clean = {r.doc_id: r.text for r in sanitise(docs).collect()}
     assert "Zanzibar" not in clean[0] and "[email]" in clean[0] and clean[10] == text[10] and clean[42] is None
     assert find_personal_data(docs.limit(0)).count() == 0
+
+
+def test_terms_of_an_entity_in_one_text(spark):
+    rows = [(k, f"some common words stand in every letter about the weather {k}") for k in range(300)]
+    rows += [(500, "some common words about Quillfeather and one@only.org in the weather")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.terms for r in find_personal_data(docs).collect()}
+    assert [rows[-1][1][x.start : x.end] for x in got[500] if x.end - x.start > 3] == ["Quillfeather"]
+    assert all(v is None for k, v in got.items() if k != 500)
