@@ -1,16 +1,17 @@
 """Personal data: patterns for entities, and information-theoretic sanitisation of the terms that reveal them.
 
 Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. Each distinct value is a protected
-entity. Terms are words of four letters or digits and more within ``NEAR`` words of an entity. Co-occurrence over the
-whole corpus, counted in distinct texts, estimates how much of an entity ``e`` a term ``t`` tells:
+entity. Terms are the words of a text outside all entities. Co-occurrence in whole texts over the whole corpus, counted
+in distinct texts, estimates how much of an entity ``e`` a term ``t`` tells:
 
     disclosure(e; t) = log(df(e, t) N / (df(e) (df(t) + 1))) / log(N / df(e))
 
 that is, their pointwise mutual information over the entity's own information, with one text more added to the term's
 count: near 1 means that ``t`` occurs with ``e`` alone, and few texts have to be rare among many to tell as much. An
 entity of a single text is protected, too. Where it reaches ``DISCLOSE``, the term is a span of its own wherever it
-stands near that entity: ``sanitise`` replaces it by ``[term]`` and from ``REMOVE`` on takes it out. Documents without
-an entity are left as they are. Copies of a text count once, so that mere copying reveals nothing.
+stands in any document: ``sanitise`` replaces it by ``[term]`` and from ``REMOVE`` on takes it out. A term has
+the largest of its disclosures. Pairs that cannot reach ``DISCLOSE``, as the term is in too many texts, are left out by
+an exact bound before they are counted. Copies of a text count once, so that mere copying reveals nothing.
 
 Defined cases: null text counts as empty; equal rows each get a row; null ids are kept; an entity in every text has no
 information and nothing reveals it; an empty table gives an empty result; further columns are ignored.
@@ -24,17 +25,18 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import sized, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR, DISCLOSE, REMOVE = 8, 0.8, 0.95
-#: Characters looked at on either side of an entity for its near words; candidate terms up to which a set is broadcast.
-REACH, BROADCAST_TERMS = 200, 100_000
+DISCLOSE, REMOVE = 0.8, 0.95
+#: Terms up to which a set of them is broadcast; beyond it, 16 bits a term.
+BROADCAST_TERMS = 100_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -103,34 +105,24 @@ def entities(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of the terms near each entity that lie outside all entities."""
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words that lie outside all entities."""
     starts = [s for s, _, _ in spans]
     reach = 0  # the furthest end so far, by entity: spans of different kinds may overlap
     ends = [reach := max(reach, e) for _, _, e in spans]
+    for m in _WORD.finditer(text):
+        k = bisect_left(starts, m.end())
+        if k == 0 or ends[k - 1] <= m.start():
+            yield m[0].lower(), m.start(), m.end()
 
-    def free(s: int, e: int) -> bool:
-        k = bisect_left(starts, e)
-        return k == 0 or ends[k - 1] <= s
 
-    out = []
-    for s, kind, e in spans:
-        entity = xxhash.xxh3_64_intdigest(f"{kind}:{text[s:e]}".encode()) - (1 << 63)
-        low, high = max(0, s - REACH), min(len(text), e + REACH)
-        left = [(m.start(), m.end()) for m in _WORD.finditer(text, low, s) if m.start() > low or low == 0][-NEAR:]
-        right = [(m.start(), m.end()) for m in _WORD.finditer(text, e, high) if m.end() < high or high == len(text)][:NEAR]
-        out += [(entity, text[a:b].lower(), a, b) for a, b in left + right if b - a >= 4 and free(a, b)]
-    return out
-
-
-FOUND = "doc_id long, mark long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:string,start:int,end:int>>"
+FOUND = "doc_id long, mark long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, entities array<long>, words array<string>"
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_TERM = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, digests, base, near = [], [], [], []
+        counts, digests, base, named, words = [], [], [], [], []
         for text in batch.column(2):
             t = text.as_py() or ""
             spans = entities(t)
@@ -138,46 +130,99 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts.append([n[k] for k in range(4)])
             digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest())
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-            near.append([dict(zip(("entity", "term", "start", "end"), x)) for x in near_terms(t, spans)])
-        columns = [batch.column(0), batch.column(1), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)], pa.array(digests, pa.string()), pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_TERM))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+            named.append(list({xxhash.xxh3_64_intdigest(f"{k}:{t[s:e]}".encode()) - (1 << 63) for s, k, e in spans}))
+            words.append(list({w for w, _, _ in free_words(t, spans)}) if spans else [])
+        columns = [batch.column(0), batch.column(1), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)], pa.array(digests, pa.string()), pa.array(base, pa.list_(_SPAN)), pa.array(named, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "words"])
+
+
+class Wanted:
+    """The words of a text that may be in a set of terms: the set itself, or bits at the hashes of a larger one."""
+
+    def __init__(self, terms: DataFrame):
+        n, self.terms, self.bits, self.mask = terms.count(), None, b"", 0
+        if n <= BROADCAST_TERMS:
+            self.terms = frozenset(r.term for r in terms.collect())
+            return
+        self.mask = (1 << (16 * n).bit_length()) - 1
+        places = terms.select(F.xxhash64("term").bitwiseAND(F.lit(self.mask)).alias("p")).toArrow().column(0).to_numpy()
+        bits = np.zeros(self.mask + 1, bool)
+        bits[places] = True
+        self.bits = np.packbits(bits).tobytes()
+
+    def __call__(self, text: str) -> set[str]:
+        words = set(map(str.lower, _WORD.findall(text)))
+        if self.terms is not None:
+            return words & self.terms
+        # XXH64 with seed 42 is Spark's xxhash64
+        return {w for w in words if self.bits[(p := xxhash.xxh64_intdigest(w.encode(), 42) & self.mask) >> 3] >> (7 - (p & 7)) & 1}
 
 
 def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): in how many of ``texts`` each of ``terms`` occurs."""
-    small = terms.count() <= BROADCAST_TERMS
-    wanted = texts.sparkSession.sparkContext.broadcast(frozenset(r.term for r in terms.collect())) if small else None
+    wanted = texts.sparkSession.sparkContext.broadcast(Wanted(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: Counter = Counter()
             for text in batch.column(0):
-                words = set(_WORD.findall((text.as_py() or "").lower()))
-                n.update(words & wanted.value if wanted else (w for w in words if len(w) >= 4))
+                n.update(wanted.value(text.as_py() or ""))
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
-    counts = texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return counts if small else counts.join(terms, "term", "left_semi")
+    return texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term", "left_semi")
+
+
+def _occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, mark, term, start, end) of the words of ``rows`` outside entities that may be in ``terms``."""
+    wanted = rows.sparkSession.sparkContext.broadcast(Wanted(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for doc, mark, text in zip(*batch.columns):
+                t = text.as_py()
+                if hits := wanted.value(t):
+                    found += [(doc.as_py(), mark.as_py(), *x) for x in free_words(t, entities(t)) if x[0] in hits]
+            kinds = {"doc_id": pa.int64(), "mark": pa.int64(), "term": pa.string(), "start": pa.int32(), "end": pa.int32()}
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
+
+    return rows.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, term string, start int, end int")
+
+
+def revealing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, disclosure) of the terms that reveal an entity."""
+    n_texts = found.select("mark").distinct().count()
+    held = written(found.filter(F.size("entities") > 0).select("mark", "entities", "words").dropDuplicates(["mark"]), "held")
+    of_text = held.select("mark", F.explode("entities").alias("entity"))
+    alone = written(of_text.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") < n_texts), "entities")
+    of_text = of_text.join(alone, "entity").groupBy("mark").agg(F.collect_list(F.struct("entity", "n_entity")).alias("named"), F.max("n_entity").alias("most"))
+    terms = written(held.select(F.explode("words").alias("term")).distinct(), "words")
+    # documents, not distinct texts: a term in copies counts more often, which only lowers its disclosure
+    of_term = written(_document_counts(rows.select("text"), terms), "counts")
+
+    def may(n_entity: Column) -> Column:
+        """No term in n texts tells DISCLOSE of an entity in n_entity unless this holds (the rest is for rounding)."""
+        return F.col("n") + 1 <= F.pow(F.lit(float(max(n_texts, 1))), 1 - DISCLOSE) * F.pow(n_entity.cast("double"), DISCLOSE) * (1 + 1e-9)
+
+    rare = written(of_term.filter(may(F.lit(alone.agg(F.max("n_entity")).first()[0] or 0))), "rare")
+    in_text = written(held.select("mark", F.explode("words").alias("term")).join(sized(rare, rare.count()), "term"), "in-text")
+    both = in_text.join(of_text, "mark").filter(may(F.col("most"))).select("term", "n", F.explode("named").alias("x")).select("term", "n", "x.*").filter(may(F.col("n_entity")))
+    both = both.groupBy("entity", "n_entity", "term", "n").agg(F.count("*").alias("n_both"))
+    told = F.log(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_entity") * (F.greatest("n", "n_both") + 1))) / F.log(F.lit(float(n_texts)) / F.col("n_entity"))
+    revealing = both.select("term", told.alias("disclosure")).filter(F.col("disclosure") >= DISCLOSE)
+    return written(revealing.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "revealing")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, mark, counts, base_sha256, base and terms: arrays of spans; a term has its disclosure, too."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
     found = written(rows.mapInArrow(_find, FOUND), "found")
-    near = written(found.filter(F.size("near") > 0).select("doc_id", "mark", F.explode("near").alias("x")).select("doc_id", "mark", "x.*").distinct(), "near")
-    both = near.select("entity", "term", "mark").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    both = written(both, "both")
-    n_texts = found.select("mark").distinct().count()
-    alone = near.select("entity", "mark").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    of_term = written(_document_counts(rows.select("text"), both.select("term").distinct()), "counts")
-    # documents, not distinct texts: a term in copies counts more often, which only lowers its disclosure
-    told = F.log(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_entity") * (F.greatest("n", "n_both") + 1))) / F.log(F.lit(float(n_texts)) / F.col("n_entity"))
-    revealing = both.join(alone, "entity").join(of_term, "term").filter(F.col("n_entity") < n_texts).select("entity", "term", told.alias("disclosure"))
-    revealing = written(revealing.filter(F.col("disclosure") >= DISCLOSE), "revealing")
-    spans = near.join(revealing, ["entity", "term"]).groupBy("doc_id", "mark", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    revealing = revealing_terms(rows, found)
+    places = written(_occurrences(rows, revealing.select("term")), "places")
+    spans = places.join(sized(revealing, revealing.count()), "term").groupBy("doc_id", "mark", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     terms = spans.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure"))).alias("terms"))
     t = written(terms, "terms").select(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark"), "terms")
-    return found.drop("near").join(t, found.doc_id.eqNullSafe(t.t_id) & (found.mark == t.t_mark), "left").drop("t_id", "t_mark")
+    return found.drop("entities", "words").join(t, found.doc_id.eqNullSafe(t.t_id) & (found.mark == t.t_mark), "left").drop("t_id", "t_mark")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

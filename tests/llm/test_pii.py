@@ -66,3 +66,17 @@ def test_terms_of_an_entity_in_one_text(spark):
     got = {r.doc_id: r.terms for r in find_personal_data(docs).collect()}
     assert [rows[-1][1][x.start : x.end] for x in got[500] if x.end - x.start > 3] == ["Quillfeather"]
     assert all(v is None for k, v in got.items() if k != 500)
+
+
+def test_terms_far_from_the_entity_and_in_other_documents(spark, monkeypatch):
+    from featuremill.llm import pii
+
+    rows = [(k, f"some common words stand in every letter about the weather {k}") for k in range(1500)]
+    far = "Bo Quillfeather " + "some common words " * 20 + "two@only.org"
+    rows += [(5000, far), (5001, "the letter says Quillfeather and some words"), (None, far)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (pii.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+        got = {r.doc_id: r for r in find_personal_data(docs).collect()}
+        marked = {k: [(rows[1500 + i][1][x.start : x.end], x.start) for x in got[k].terms] for i, k in enumerate((5000, 5001, None))}
+        assert marked == {5000: [("Bo", 0), ("Quillfeather", 3)], None: [("Bo", 0), ("Quillfeather", 3)], 5001: [("Quillfeather", 16)]}
