@@ -1,6 +1,8 @@
 """Line dedup within one word edit, by a deletion-neighbourhood join.
 
-A line is its words joined by one space; lines of fewer than ``MIN_WORDS`` words stay. Lines are ordered by
+A line is its words joined by one space. Lines of fewer than ``MIN_WORDS`` words stay in ``op10_line_dedup``, as its SQL
+has it; with ``short`` (the pipeline) each that is not blank goes if an earlier line has equal words, while one edit
+still takes ``MIN_WORDS``. Lines are ordered by
 (doc_id, line number). A line goes if an earlier line of the corpus is at word edit distance 0 or 1 from it (one word
 inserted, deleted or replaced), whether or not that earlier line goes itself.
 
@@ -39,16 +41,16 @@ def _count(text: Column, char: str) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def _lines(raw: DataFrame) -> DataFrame:
-    """``raw`` column to ``x``, the line's words joined by one space, and ``n``, their number; of ``MIN_WORDS`` and more."""
+def _lines(raw: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """``raw`` column to ``x``, the line's words joined by one space, and ``n``, their number; of ``least`` and more."""
     x = F.trim("raw")
     x = F.when(x.contains("  "), F.regexp_replace(x, " {2,}", " ")).otherwise(x)
     rows = raw.withColumn("x", x).drop("raw")
-    return rows.withColumn("n", _count(F.col("x"), " ") + 1).filter(f"n >= {MIN_WORDS}")
+    return rows.withColumn("n", _count(F.col("x"), " ") + 1).filter(f"n >= {least} AND x <> ''")
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, a, b, halves): hashes of each line and of its halves.
+def _hashed(docs: DataFrame, short: bool) -> DataFrame:
+    """(doc_id, line, a, b, halves): hashes of each line and of its halves; lines below ``MIN_WORDS`` have no halves.
 
     Texts at distance 1 share a half, as an edit spares one of them: the halves are cut for the line's length and, for
     neighbours with one word less, for the length below. All are cut from the line's text, without splitting it.
@@ -62,7 +64,8 @@ def _hashed(docs: DataFrame) -> DataFrame:
         F.xxhash64(F.lit("first"), n - 1, cut(g)),
         F.xxhash64(F.lit("last"), n - 1, cut(g - n + 1)),
     ]
-    return _lines(_raw_lines(docs)).select("doc_id", "line", F.xxhash64(x).alias("a"), F.hash(x).alias("b"), F.array(*halves).alias("halves"))
+    found = F.when(n >= MIN_WORDS, F.array(*halves)) if short else F.array(*halves)
+    return _lines(_raw_lines(docs), 1 if short else MIN_WORDS).select("doc_id", "line", F.xxhash64(x).alias("a"), F.hash(x).alias("b"), found.alias("halves"))
 
 
 def _without(w: Column, i: Column) -> Column:
@@ -117,9 +120,9 @@ def _near_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return verified.groupBy("a", "b").agg(F.min("near").alias("near"))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, gone): for each document that loses lines, the numbers of these lines."""
-    seen = written(_hashed(docs), "lines")
+    seen = written(_hashed(docs, short), "lines")
     texts = seen.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("halves").alias("halves"), F.count("*").alias("n"))
     texts = written(texts.select("a", "b", "at.doc_id", "at.line", "halves", "n"), "distinct-lines")
     near = written(_near_texts(docs, texts), "near")
@@ -130,9 +133,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return written(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and n_lines, n_removed (long)."""
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone_lines"))
+    gone = repeated_lines(docs, short).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone_lines"))
     n_gone = gone.agg(F.coalesce(F.sum(F.size("_gone_lines")), F.lit(0))).first()[0]
     joined = docs.join(sized(gone, n_gone, BROADCAST_LINES), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left")
     lines = F.split("text", "\n")
