@@ -35,7 +35,7 @@ from .common import sized, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSE, REMOVE = 0.8, 0.95
-#: Terms up to which a set of them is broadcast; beyond it, 16 bits a term.
+#: Terms up to which a set of them is broadcast; beyond it, 64 bits a term.
 BROADCAST_TERMS = 100_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -137,25 +137,24 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Wanted:
-    """The words of a text that may be in a set of terms: the set itself, or bits at the hashes of a larger one."""
+    """Which words of a text are in a set of terms: looked up in the set, or by the sorted hashes of a larger one."""
 
     def __init__(self, terms: DataFrame):
-        n, self.terms, self.bits, self.mask = terms.count(), None, b"", 0
-        if n <= BROADCAST_TERMS:
-            self.terms = frozenset(r.term for r in terms.collect())
-            return
-        self.mask = (1 << (16 * n).bit_length()) - 1
-        places = terms.select(F.xxhash64("term").bitwiseAND(F.lit(self.mask)).alias("p")).toArrow().column(0).to_numpy()
-        bits = np.zeros(self.mask + 1, bool)
-        bits[places] = True
-        self.bits = np.packbits(bits).tobytes()
+        small = terms.count() <= BROADCAST_TERMS
+        self.terms = frozenset(r.term for r in terms.collect()) if small else None
+        self.hashes = None if small else np.sort(terms.select(F.xxhash64("term").alias("h")).toArrow().column(0).to_numpy())
 
     def __call__(self, text: str) -> set[str]:
         words = set(map(str.lower, _WORD.findall(text)))
         if self.terms is not None:
             return words & self.terms
+        every = list(words)
         # XXH64 with seed 42 is Spark's xxhash64
-        return {w for w in words if self.bits[(p := xxhash.xxh64_intdigest(w.encode(), 42) & self.mask) >> 3] >> (7 - (p & 7)) & 1}
+        h = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in every), np.uint64, len(every)).view(np.int64)
+        if not len(self.hashes):
+            return set()
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return {every[k] for k in np.flatnonzero(self.hashes[at] == h)}
 
 
 def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
