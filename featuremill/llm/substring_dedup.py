@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against an index of all documents.
+"""Substring dedup by a seeded join of window hashes over all documents, instead of relative Lempel-Ziv parsing.
 
 A factor is a run of words of a document that can be copied from elsewhere in the corpus. The index holds every
 window of ``SPAN`` words that may occur twice; a document is factored greedily from the left: a factor starts at the
