@@ -13,7 +13,11 @@ stands in any document: ``sanitise`` replaces it by ``[term]`` and from ``REMOVE
 the largest of its disclosures. Pairs that cannot reach ``DISCLOSE``, as the term is in too many texts, are left out by
 an exact bound before they are counted. Copies of a text count once, so that mere copying reveals nothing.
 
-Defined cases: null text counts as empty; equal rows each get a row; null ids are kept; an entity in every text has no
+The words of the corpus are counted in each task before any shuffle; entities of the same texts are one. Sieves of fixed
+size, sent to the tasks, keep most words that cannot matter out of the shuffles; joins decide. Terms and entities are
+held as 64-bit hashes.
+
+Defined cases: digit runs of any length are compared as text; null text counts as empty; equal rows each get a row; null ids are kept; an entity in every text has no
 information and nothing reveals it; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -28,15 +32,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, table, written
+from .common import drop, sized, table, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSE, REMOVE = 0.8, 0.95
-#: Terms up to which a set of them is broadcast; beyond it, 64 bits a term.
-BROADCAST_TERMS = 100_000
+#: Bits of a sieve (as a power of two); words that a worker holds at a time.
+SIEVE_BITS, HELD_WORDS = 26, 300_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -63,13 +68,18 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(done, at + 1))
 
 
+def _part(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def ips(text: str) -> Iterator[tuple[int, int]]:
     for m in _DOTTED.finditer(text):
         parts, at = m[0].split("."), m.start()
         for k in range(0, len(parts) - 3, 4):
             four = parts[k : k + 4]
             end = at + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(_part(p) for p in four):
                 yield at, end
             at = end + 1
 
@@ -116,112 +126,190 @@ def free_words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[s
             yield m[0].lower(), m.start(), m.end()
 
 
-FOUND = "doc_id long, mark long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, entities array<long>, words array<string>"
+FOUND = "doc_id long, mark long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, entities array<long>, terms array<long>"
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
 
 
+def term_hash(word: str) -> int:
+    """A term's 64-bit hash, signed; terms are counted and joined by it."""
+    return xxhash.xxh3_64_intdigest(word.encode()) - (1 << 63)
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(term_hash, words), np.int64, len(words))
+
+
+def _words(text: str) -> set[str]:
+    return set(map(str.lower, _WORD.findall(text)))
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, digests, base, named, words = [], [], [], [], []
+        counts, digests, base, named, terms = [], [], [], [], []
         for text in batch.column(2):
-            t = text.as_py() or ""
+            t = text.as_py()
             spans = entities(t)
             n = Counter(k for _, k, _ in spans)
             counts.append([n[k] for k in range(4)])
             digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest())
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-            named.append(list({xxhash.xxh3_64_intdigest(f"{k}:{t[s:e]}".encode()) - (1 << 63) for s, k, e in spans}))
-            words.append(list({w for w, _, _ in free_words(t, spans)}) if spans else [])
-        columns = [batch.column(0), batch.column(1), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)], pa.array(digests, pa.string()), pa.array(base, pa.list_(_SPAN)), pa.array(named, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "words"])
+            named.append(list({term_hash(f"{k}:{t[s:e]}") for s, k, e in spans}))
+            terms.append(list({term_hash(w) for w in {w for w, _, _ in free_words(t, spans)}}) if spans else [])
+        columns = [batch.column(0), batch.column(1), *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)], pa.array(digests, pa.string()), pa.array(base, pa.list_(_SPAN)), pa.array(named, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms"])
+
 
+class Sieve:
+    """A Bloom filter of 64-bit hashes with ``2**SIEVE_BITS`` bits, whatever it holds.
 
-class Wanted:
-    """Which words of a text are in a set of terms: looked up in the set, or by the sorted hashes of a larger one."""
+    It only spares rows the shuffle: what passes is joined exactly, so a full sieve costs time and no result. The bits
+    are gathered by a grouped ``bit_or`` into ``2**(SIEVE_BITS - 6)`` numbers at most.
+    """
 
-    def __init__(self, terms: DataFrame):
-        small = terms.count() <= BROADCAST_TERMS
-        self.terms = frozenset(r.term for r in terms.collect()) if small else None
-        self.hashes = None if small else np.sort(terms.select(F.xxhash64("term").alias("h")).toArrow().column(0).to_numpy())
+    def __init__(self, hashes: DataFrame):
+        self.width, self.mask = SIEVE_BITS, (1 << SIEVE_BITS) - 1
+        h = F.col(hashes.columns[0])
+        bit = F.explode(F.array(h.bitwiseAND(F.lit(self.mask)), F.shiftright(h, self.width).bitwiseAND(F.lit(self.mask)))).alias("bit")
+        slots = hashes.select(bit).groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+        self.bits = np.zeros(1 << self.width - 6, np.int64)
+        self.bits[slots.column(0).to_numpy()] = slots.column(1).to_numpy()
 
-    def __call__(self, text: str) -> set[str]:
-        words = set(map(str.lower, _WORD.findall(text)))
-        if self.terms is not None:
-            return words & self.terms
-        every = list(words)
-        # XXH64 with seed 42 is Spark's xxhash64
-        h = np.fromiter((xxhash.xxh64_intdigest(w.encode(), 42) for w in every), np.uint64, len(every)).view(np.int64)
-        if not len(self.hashes):
-            return set()
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return {every[k] for k in np.flatnonzero(self.hashes[at] == h)}
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        a, b = h & self.mask, h >> self.width & self.mask
+        return ((self.bits[a >> 6] >> (a & 63)) & (self.bits[b >> 6] >> (b & 63)) & 1).astype(bool)
 
 
-def _document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): in how many of ``texts`` each of ``terms`` occurs."""
-    wanted = texts.sparkSession.sparkContext.broadcast(Wanted(terms))
+def _counts(texts: DataFrame, copied: Broadcast, wanted: Broadcast) -> DataFrame:
+    """(h, n): in how many of ``texts`` (mark, text), but for copied ones, each of the wanted terms is."""
+
+    def flushed(n: Counter) -> pa.RecordBatch:
+        h = _hashes(list(n))
+        keep = wanted.value.passes(h)
+        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(np.fromiter(n.values(), np.int64, len(n))[keep])], names=["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
         for batch in batches:
-            n: Counter = Counter()
-            for text in batch.column(0):
-                n.update(wanted.value(text.as_py() or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+            several = copied.value.passes(batch.column(0).to_numpy())
+            for text, skip in zip(batch.column(1), several.tolist()):
+                if not skip:
+                    n.update(_words(text.as_py()))
+                    if len(n) > HELD_WORDS:
+                        yield flushed(n)
+                        n.clear()
+        yield flushed(n)
+
+    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
 
-    return texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).join(terms, "term", "left_semi")
+class Lookup:
+    """Which words of a text pass a sieve; keeps the answers of up to ``HELD_WORDS`` words."""
 
+    def __init__(self, sieve: Sieve):
+        self.sieve, self.known = sieve, {}
 
-def _occurrences(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, mark, term, start, end) of the words of ``rows`` outside entities that may be in ``terms``."""
-    wanted = rows.sparkSession.sparkContext.broadcast(Wanted(terms))
+    def __call__(self, text: str) -> list[str]:
+        words = _words(text)
+        if new := words.difference(self.known):
+            if len(self.known) + len(new) > HELD_WORDS:
+                self.known, new = {}, words
+            fresh = list(new)
+            self.known.update(zip(fresh, self.sieve.passes(_hashes(fresh)).tolist()))
+        return [w for w in words if self.known[w]]
+
+
+def _counts_in_copies(texts: DataFrame, copied: Broadcast, wanted: Broadcast) -> DataFrame:
+    """(h, n) as ``_counts``, of the copied texts: each text counts once, however many rows have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, seen = Lookup(wanted.value), set()
+        for batch in batches:
+            marks = batch.column(0).to_numpy()
+            for k in np.flatnonzero(copied.value.passes(marks)).tolist():
+                if marks[k] in seen:
+                    continue
+                if len(seen) >= HELD_WORDS:
+                    seen.clear()
+                seen.add(marks[k])
+                h = _hashes(look(batch.column(1)[k].as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), marks[k]))], names=["h", "mark"])
+
+    return texts.mapInArrow(run, "h long, mark long").distinct().groupBy("h").agg(F.count("*").alias("n"))
+
+
+def _occurrences(rows: DataFrame, wanted: Broadcast) -> DataFrame:
+    """(doc_id, mark, h, start, end) of the words of ``rows`` outside entities whose terms pass the sieve."""
+    kinds = {"doc_id": pa.int64(), "mark": pa.int64(), "h": pa.int64(), "start": pa.int32(), "end": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Lookup(wanted.value)
         for batch in batches:
             found = []
             for doc, mark, text in zip(*batch.columns):
                 t = text.as_py()
-                if hits := wanted.value(t):
-                    found += [(doc.as_py(), mark.as_py(), *x) for x in free_words(t, entities(t)) if x[0] in hits]
-            kinds = {"doc_id": pa.int64(), "mark": pa.int64(), "term": pa.string(), "start": pa.int32(), "end": pa.int32()}
+                if hits := {w: term_hash(w) for w in look(t)}:
+                    found += [(doc.as_py(), mark.as_py(), hits[w], s, e) for w, s, e in free_words(t, entities(t)) if w in hits]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
-    return rows.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, term string, start int, end int")
+    return rows.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, h long, start int, end int")
+
+
+def protected(held: DataFrame, n_texts: int) -> DataFrame:
+    """(entity, n_entity): one entity for each set of texts that some entity is in, with the number of these texts.
+
+    Entities of the same texts (equal counts and sums of hashes) are told by the same terms equally."""
+    sums = held.select("mark", F.explode("entities").alias("entity")).groupBy("entity")
+    sums = sums.agg(F.count("*").alias("n_entity"), F.bit_xor(F.xxhash64("mark")).alias("a"), F.bit_xor(F.xxhash64("mark", F.lit(1))).alias("b"))
+    return sums.filter(F.col("n_entity") < n_texts).groupBy("n_entity", "a", "b").agg(F.min("entity").alias("entity")).select("entity", "n_entity")
 
 
 def revealing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(term, disclosure) of the terms that reveal an entity."""
-    n_texts = found.select("mark").distinct().count()
-    held = written(found.filter(F.size("entities") > 0).select("mark", "entities", "words").dropDuplicates(["mark"]), "held")
-    of_text = held.select("mark", F.explode("entities").alias("entity"))
-    alone = written(of_text.groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") < n_texts), "entities")
-    of_text = of_text.join(alone, "entity").groupBy("mark").agg(F.collect_list(F.struct("entity", "n_entity")).alias("named"), F.max("n_entity").alias("most"))
-    terms = written(held.select(F.explode("words").alias("term")).distinct(), "words")
-    # documents, not distinct texts: a term in copies counts more often, which only lowers its disclosure
-    of_term = written(_document_counts(rows.select("text"), terms), "counts")
-
-    def may(n_entity: Column) -> Column:
+    """(h, disclosure) of the terms that reveal an entity."""
+    share = rows.sparkSession.sparkContext.broadcast
+    texts = rows.select("mark", "text")
+    marks = written(found.groupBy("mark").agg(F.count("*").alias("n")), "marks")
+    n_texts = marks.count()
+    copied = share(Sieve(marks.filter("n > 1").select("mark")))
+    held = written(found.filter(F.size("entities") > 0).select("mark", "entities", "terms").dropDuplicates(["mark"]), "held")
+    alone = written(protected(held, n_texts), "entities")
+    most = alone.agg(F.max("n_entity")).first()[0] or 0
+
+    def may(n: Column, n_entity: Column) -> Column:
         """No term in n texts tells DISCLOSE of an entity in n_entity unless this holds (the rest is for rounding)."""
-        return F.col("n") + 1 <= F.pow(F.lit(float(max(n_texts, 1))), 1 - DISCLOSE) * F.pow(n_entity.cast("double"), DISCLOSE) * (1 + 1e-9)
-
-    rare = written(of_term.filter(may(F.lit(alone.agg(F.max("n_entity")).first()[0] or 0))), "rare")
-    in_text = written(held.select("mark", F.explode("words").alias("term")).join(sized(rare, rare.count()), "term"), "in-text")
-    both = in_text.join(of_text, "mark").filter(may(F.col("most"))).select("term", "n", F.explode("named").alias("x")).select("term", "n", "x.*").filter(may(F.col("n_entity")))
-    both = both.groupBy("entity", "n_entity", "term", "n").agg(F.count("*").alias("n_both"))
+        return n + 1 <= F.pow(F.lit(float(max(n_texts, 1))), 1 - DISCLOSE) * F.pow(n_entity.cast("double"), DISCLOSE) * (1 + 1e-9)
+
+    terms = written(held.select(F.explode("terms").alias("h")).distinct(), "terms")
+    once = _counts(texts, copied, share(Sieve(terms)))
+    some = terms.join(once, "h", "left").select("h", F.coalesce("n", F.lit(0)).alias("n")).filter(may(F.col("n"), F.lit(most)))
+    some = written(some, "rare")
+    more = _counts_in_copies(texts, copied, share(Sieve(some.select("h")))).withColumnRenamed("n", "more")
+    rare = some.join(more, "h", "left").select("h", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")).filter(may(F.col("n"), F.lit(most)))
+    rare = written(rare, "counts")
+    of_text = held.select("mark", F.explode("entities").alias("entity")).join(alone, "entity")
+    of_text = of_text.groupBy("mark").agg(F.collect_list(F.struct("entity", "n_entity")).alias("named"), F.max("n_entity").alias("most"))
+    in_text = written(held.select("mark", F.explode("terms").alias("h")).join(sized(rare, rare.count()), "h"), "in-text")
+    both = in_text.join(of_text, "mark").filter(may(F.col("n"), F.col("most"))).select("h", "n", F.explode("named").alias("x")).select("h", "n", "x.*")
+    both = both.filter(may(F.col("n"), F.col("n_entity"))).groupBy("entity", "n_entity", "h", "n").agg(F.count("*").alias("n_both"))
     told = F.log(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_entity") * (F.greatest("n", "n_both") + 1))) / F.log(F.lit(float(n_texts)) / F.col("n_entity"))
-    revealing = both.select("term", told.alias("disclosure")).filter(F.col("disclosure") >= DISCLOSE)
-    return written(revealing.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "revealing")
+    revealing = both.select("h", told.alias("disclosure")).filter(F.col("disclosure") >= DISCLOSE)
+    revealing = written(revealing.groupBy("h").agg(F.max("disclosure").alias("disclosure")), "revealing")
+    for gone in (marks, held, alone, terms, some, rare, in_text):
+        drop(gone)
+    return revealing
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, mark, counts, base_sha256, base and terms: arrays of spans; a term has its disclosure, too."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     found = written(rows.mapInArrow(_find, FOUND), "found")
     revealing = revealing_terms(rows, found)
-    places = written(_occurrences(rows, revealing.select("term")), "places")
-    spans = places.join(sized(revealing, revealing.count()), "term").groupBy("doc_id", "mark", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    places = written(_occurrences(rows, rows.sparkSession.sparkContext.broadcast(Sieve(revealing.select("h")))), "places")
+    spans = places.join(sized(revealing, revealing.count()), "h").groupBy("doc_id", "mark", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     terms = spans.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "disclosure"))).alias("terms"))
-    t = written(terms, "terms").select(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark"), "terms")
-    return found.drop("entities", "words").join(t, found.doc_id.eqNullSafe(t.t_id) & (found.mark == t.t_mark), "left").drop("t_id", "t_mark")
+    t = written(terms, "spans").select(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark"), "terms")
+    drop(places)
+    return found.drop("entities", "terms").join(t, found.doc_id.eqNullSafe(t.t_id) & (found.mark == t.t_mark), "left").drop("t_id", "t_mark")
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -251,4 +339,5 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = F.transform(F.coalesce("terms", F.array()), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     names = F.array(*map(F.lit, KINDS))
     every = F.transform(F.array_sort(F.concat("base", terms)), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string")))
-    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(every, ",").alias("spans"))
+    n_base, n_terms = F.size("base").cast("long"), F.size(terms).cast("long")
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(every, ",").alias("spans"), n_base.alias("n_base"), n_terms.alias("n_terms"))

@@ -75,8 +75,54 @@ def test_terms_far_from_the_entity_and_in_other_documents(spark, monkeypatch):
     far = "Bo Quillfeather " + "some common words " * 20 + "two@only.org"
     rows += [(5000, far), (5001, "the letter says Quillfeather and some words"), (None, far)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for most in (pii.BROADCAST_TERMS, 0):
-        monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+    for bits in (pii.SIEVE_BITS, 8):
+        monkeypatch.setattr(pii, "SIEVE_BITS", bits)
         got = {r.doc_id: r for r in find_personal_data(docs).collect()}
         marked = {k: [(rows[1500 + i][1][x.start : x.end], x.start) for x in got[k].terms] for i, k in enumerate((5000, 5001, None))}
         assert marked == {5000: [("Bo", 0), ("Quillfeather", 3)], None: [("Bo", 0), ("Quillfeather", 3)], 5001: [("Quillfeather", 16)]}
+
+
+def test_disclosure_against_brute_force(spark):
+    """Random texts with copies, repeated rows, several entities in a text and entities of several texts."""
+    import math
+
+    from featuremill.llm.pii import DISCLOSE, _words, free_words
+
+    rng = random.Random(5)
+    mails = [f"p{k}@mail{k % 3}.org" for k in range(12)]
+    rows = []
+    for k in range(1200):
+        ws = [f"w{int(rng.paretovariate(0.7)) % 3000}" for _ in range(rng.randrange(1, 9))]
+        if rng.random() < 0.05:
+            ws += rng.sample(mails, rng.randrange(1, 3))
+        rng.shuffle(ws)
+        rows.append((k, " ".join(ws)))
+    rows += [(2000 + k, rows[rng.randrange(300)][1]) for k in range(400)] + rows[:20] + [(None, rows[7][1]), (None, None)]
+    texts = {t or "" for _, t in rows}
+    n = len(texts)
+    held = {t: {f"{k}:{t[s:e]}" for s, k, e in entities(t)} for t in texts}
+    terms = {t: {w for w, _, _ in free_words(t, entities(t))} for t in texts}
+    df = {}
+    for t in texts:
+        for w in _words(t):
+            df[w] = df.get(w, 0) + 1
+    disclosure = {}
+    for e in {e for x in held.values() for e in x}:
+        inside = [t for t in texts if e in held[t]]
+        for w in {w for t in inside for w in terms[t]}:
+            both = sum(w in terms[t] for t in inside)
+            told = math.log(both * n / (len(inside) * (df[w] + 1))) / math.log(n / len(inside))
+            disclosure[w] = max(told, disclosure.get(w, 0))
+    found = {w for w, x in disclosure.items() if x >= DISCLOSE}
+    assert 5 < len(found) < len(df)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = find_personal_data(docs).collect()
+    assert len(got) == len(rows)
+    want = {(i, tuple((s, e) for w, s, e in free_words(t or "", entities(t or "")) if w in found)) for i, t in rows}
+    assert {(r.doc_id, tuple((x.start, x.end) for x in r.terms or [])) for r in got} == want
+
+
+def test_long_digit_runs():
+    assert entities("1.2.3." + "0" * 5000 + "1") == [(0, 1, 5007)]
+    assert entities("1.2.3." + "9" * 5001) == []
+    assert entities("+" + "1" * 5000) == []
