@@ -26,7 +26,6 @@ import re as stdre
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +35,10 @@ from .common import table
 
 #: The pattern of the byte-level pre-tokenizer.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters handed on at a time, entries kept of piece -> ids, and the bytes up to which a piece is merged at once.
-CHUNK, CACHE_PIECES, SHORT = 1 << 16, 500_000, 128
-#: The rank of a pair that no merge joins, and the characters whose new pieces are merged side by side.
-NONE, GROUP = 1 << 40, 1 << 20
+#: Characters handed on at a time, entries kept of piece -> ids, characters of the longest piece kept.
+CHUNK, CACHE_PIECES, KEPT = 1 << 16, 500_000, 32
+#: Bytes up to which the best merge is sought by going through all; what stands for no merge; characters handled together.
+SHORT, NO_MERGE, GROUP = 64, (1 << 40, -1), 1 << 20
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -70,7 +69,7 @@ def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
 
 
 class Transducer:
-    """Bytes of one piece in, final ids out; ``finish`` gives the rest."""
+    """Bytes of one piece in, final ids out; ``finish`` gives the rest. All ids but those of special tokens come from here."""
 
     def __init__(self, vocabulary: BpeVocabulary):
         self.v = vocabulary
@@ -96,6 +95,12 @@ class Transducer:
         return ids
 
 
+def transduced(vocabulary: BpeVocabulary, piece: str) -> list[int]:
+    """The ids of a whole piece."""
+    run = Transducer(vocabulary)
+    return run.feed(piece.encode()) + run.finish()
+
+
 class BpeVocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -109,60 +114,30 @@ class BpeVocabulary:
         self.byte_id = [vocab[bytes([b])] for b in range(256)]
         self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         tokens = {i: t for t, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.tokens: list[bytes] = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
-        self.lengths, self.decimal = [len(t) for t in self.tokens], [str(i) for i in range(len(self.tokens))]
-        self.base = len(self.tokens)
-        self.byte_ids, self.made = np.array(self.byte_id), np.array([i for _, i in self.rank.values()])
-        codes = np.array([a * self.base + b for a, b in self.rank])
-        self.pair_codes, self.pair_ranks = np.sort(codes), np.argsort(codes)
+        self.tokens: list[bytes | None] = [tokens.get(i) for i in range(max(tokens) + 1)]
+        self.lengths, self.decimal = [len(t or b"") for t in self.tokens], [str(i) for i in range(len(self.tokens))]
         self.lookahead = sufficient_lookahead(pairs)
         self.window = 2 * (self.lookahead + max(map(len, vocab)))
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of ``data`` by the merge list, lowest rank and leftmost first."""
-        return self._merge_one([self.byte_id[b] for b in data])
-
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        codes = a.astype(np.int64) * self.base + b
-        at = np.searchsorted(self.pair_codes, codes)
-        at[at == len(self.pair_codes)] = 0
-        return np.where((self.pair_codes[at] == codes) & (b >= 0) & (a >= 0), self.pair_ranks[at], NONE)
-
-    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
-        """``merge`` of many short pieces side by side: each round joins the best pair of every piece."""
-        out: list[list[int]] = [[] for _ in pieces]
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        for low, high in ((0, 8), (8, 12), (12, 20), (20, SHORT)):
-            rows = np.flatnonzero((sizes > low) & (sizes <= high))
-            if not len(rows):
-                continue
-            raw = np.frombuffer(b"".join(pieces[r].ljust(high, b"\0") for r in rows.tolist()), np.uint8).reshape(-1, high)
-            columns = np.arange(high)
-            ids = np.where(columns < sizes[rows][:, None], self.byte_ids[raw], -1)
-            ranks = np.concatenate([self._ranks(ids[:, :-1], ids[:, 1:]), np.full((len(rows), 1), NONE)], axis=1)
-            while len(rows):
-                j = ranks.argmin(axis=1)
-                best = ranks[np.arange(len(rows)), j]
-                over = best == NONE
-                for r, got in zip(rows[over].tolist(), ids[over].tolist()):
-                    out[r] = [i for i in got if i >= 0]
-                more = ~over
-                rows, ids, ranks, j, best = rows[more], ids[more], ranks[more], j[more], best[more]
-                each = np.arange(len(rows))
-                ids[each, j] = self.made[best]
-                shift = columns + (columns > j[:, None])
-                shift[shift == high] = high - 1
-                ids = np.take_along_axis(ids, shift, 1)
-                ids[:, -1] = -1
-                ranks = np.take_along_axis(ranks, shift, 1)
-                ranks[:, -1] = NONE
-                after = np.where(j + 1 < high, ids[each, np.minimum(j + 1, high - 1)], -1)
-                ranks[each, j] = self._ranks(ids[each, j], after)
-                first = np.flatnonzero(j > 0)
-                ranks[first, j[first] - 1] = self._ranks(ids[first, j[first] - 1], ids[first, j[first]])
-        return out
+        ids = [self.byte_id[b] for b in data]
+        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        rank = self.rank
+        ranks = [rank.get(p, NO_MERGE) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) is not NO_MERGE:
+            i = ranks.index(best)
+            ids[i : i + 2] = [best[1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank.get((ids[i - 1], ids[i]), NO_MERGE)
+            if i < len(ranks):
+                ranks[i] = rank.get((ids[i], ids[i + 1]), NO_MERGE)
+        return ids
 
-    def _merge_one(self, ids: list[int]) -> list[int]:
+    def _merge_long(self, ids: list[int]) -> list[int]:
         rank, n = self.rank, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(rank[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
@@ -230,26 +205,21 @@ class Pieces:
 
 
 class Known:
-    """Piece -> ids, bounded: two generations, the older one goes when the younger one is full."""
+    """Piece -> ids as the transducer gave them, bounded: two generations, the older one goes when the younger one is full."""
 
     def __init__(self, vocabulary: BpeVocabulary):
         self.v, self.new, self.old = vocabulary, {}, {}
 
     def learn(self, pieces: Iterable[str]) -> dict[str, list[int]]:
-        """A table that has all of ``pieces``; those too long to keep are merged by the transducer."""
+        """A table that has all of ``pieces``; new ones go through the transducer."""
         pieces = set(pieces)
         missing = pieces.difference(self.new)
         if len(self.new) + len(missing) > CACHE_PIECES:
             self.old, self.new = self.new, {}
             missing = pieces
-        fresh = []
         for p in missing:
-            if (ids := self.old.get(p)) is not None:
-                self.new[p] = ids
-            else:
-                fresh.append(p)
-        for p, ids in zip(fresh, self.v.merge_all([p.encode() for p in fresh])):
-            self.new[p] = ids
+            ids = self.old.get(p)
+            self.new[p] = transduced(self.v, p) if ids is None else ids
         return self.new
 
 
@@ -263,11 +233,11 @@ class StreamEncoder:
         """The part's short pieces as they are, for a table of pieces, and the ids of long ones."""
         if last and self.open is None and not self.pieces.held:
             whole = Pieces.pattern.findall(text)
-            if max(map(len, whole), default=0) <= SHORT // 4:
+            if max(map(len, whole), default=0) <= KEPT:
                 return whole
         out: list[str | list[int]] = []
         for piece, ends in self.pieces.feed(text, last):
-            if ends and self.open is None and len(piece) <= SHORT // 4:
+            if ends and self.open is None and len(piece) <= KEPT:
                 out.append(piece)
                 continue
             self.open = self.open or Transducer(self.v)
@@ -295,8 +265,14 @@ class StreamDecoder:
     def __init__(self, vocabulary: BpeVocabulary):
         self.tokens, self.machine = vocabulary.tokens, codecs.getincrementaldecoder("utf-8")(errors="replace")
 
-    def feed(self, ids: Iterable[int]) -> str:
-        return self.machine.decode(b"".join(map(self.tokens.__getitem__, ids)))
+    def feed(self, ids: list[int]) -> str:
+        try:
+            if ids and min(ids) < 0:
+                raise IndexError
+            data = b"".join(map(self.tokens.__getitem__, ids))
+        except (IndexError, TypeError):
+            raise KeyError("an id that the vocabulary does not have") from None
+        return self.machine.decode(data)
 
     def finish(self) -> str:
         return self.machine.decode(b"", True)
@@ -321,7 +297,7 @@ class Codec:
                 yield run.take(span[at : at + CHUNK], last=at + CHUNK >= len(span))
 
     def parts(self, texts: Iterable[str]) -> Iterator[tuple[int, list[int]]]:
-        """(number of the text, ids) part by part; new pieces of about ``GROUP`` characters are merged together."""
+        """(number of the text, ids) part by part; texts of about ``GROUP`` characters are handled together."""
         held: list[tuple[int, list[str | list[int]]]] = []
         size = 0
         for k, text in enumerate(texts):

@@ -44,6 +44,39 @@ def test_any_cut_of_the_stream_gives_the_same_ids(codec, size):
         assert ids == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_id_comes_out_of_the_transducer(monkeypatch):
+    """Over all texts of the small documents table: what the transducer gives for each piece, weighed by its occurrences."""
+    import pandas as pd
+
+    given = {}
+    feed, finish = bpe_stream.Transducer.feed, bpe_stream.Transducer.finish
+
+    def counted(f):
+        def run(self, *data):
+            out = f(self, *data)
+            self.seen = getattr(self, "seen", b"") + b"".join(data)
+            self.n = getattr(self, "n", 0) + len(out)
+            given[self.seen] = self.n
+            return out
+
+        return run
+
+    monkeypatch.setattr(bpe_stream.Transducer, "feed", counted(feed))
+    monkeypatch.setattr(bpe_stream.Transducer, "finish", counted(finish))
+    texts = [t or "" for t in pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text] + ODD
+    ids = Codec(BYTE).ids(texts)
+    library = Tokenizer.from_file(BYTE)
+    assert ids == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    pieces = [p.encode() for t in texts for span in t.split("<|endoftext|>") for p in bpe_stream.Pieces.pattern.findall(span)]
+    assert sum(given[p] for p in pieces) + sum(t.count("<|endoftext|>") for t in texts) == sum(map(len, ids))
+
+
+@pytest.mark.parametrize("bad", [-1, 10_000_000])
+def test_ids_out_of_the_vocabulary_raise(codec, bad):
+    with pytest.raises(KeyError):
+        StreamDecoder(codec.v).feed([5, bad])
+
+
 def test_long_pieces_stream_with_a_bounded_window(codec):
     run = bpe_stream.Transducer(codec.v)
     data = ("antheringtion" * 4000).encode()
