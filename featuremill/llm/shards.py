@@ -1,23 +1,32 @@
 """Sharding by size-tiered compaction.
 
 A store is a folder of immutable runs (folders of Parquet shards) and of numbered manifests. Arrivals are appended as
-small runs. Where ``FANOUT`` runs of similar size have gathered (each within half and one and a half of their mean),
-they are merged into one run of shards of about ``target_bytes``; runs whose shards have that size are left alone. So
-a row is rewritten once per tier, a logarithmic number of times. Every change is a new manifest, written aside and
-renamed into place: readers see the version before or after, writers that lose the race raise ``CommitConflict``.
-Merging reads and writes without a shuffle.
+small runs. Where ``FANOUT`` runs of similar size have gathered (from the smallest on, none over one and a half of the
+mean of the smaller ones), they are merged into one run of shards of about ``target_bytes``; runs whose shards have that
+size are left alone. So a row is rewritten once per tier, a logarithmic number of times. Merging reads and writes without
+a shuffle.
+
+Every change is a new manifest, written aside in full and then given its name only if no manifest has it: readers see
+the version before or after, and of two writers one raises ``CommitConflict`` and may try again. Runs that a commit
+replaced stay for ``retain_seconds``, so that running readers end in peace; ``vacuum`` removes only runs that an expired
+manifest names and no retained one does. Runs that no manifest names (of a writer that is still at work, or that
+failed) are never touched by it; ``remove_orphans`` removes those older than a given age.
 
 Defined cases: empty arrivals commit no run; nulls, equal rows and any columns are stored as they are; a run whose
-columns differ from the store's raises ValueError; a store without a version reads as an error, one that has only
-empty arrivals as an empty frame.
+columns differ from the store's (but for what may be null) raises ValueError; a store without a version reads as an
+error, one that has only empty arrivals as an empty frame. ``arrivals`` cuts by ranges of doc_id, which must be numeric.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import os
+import time
 import uuid
+from urllib.parse import urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,15 +34,56 @@ from pyspark.sql.types import StructType
 from .common import free, hadoop_path, remove, table, work_dir
 
 FANOUT, TARGET_BYTES, ARRIVALS = 4, 128 << 20, 12
+RETAIN_SECONDS = 24 * 3600
 
 
 class CommitConflict(RuntimeError):
     pass
 
 
+def _loose(kind):
+    """A schema's JSON in which everything may be null."""
+    if isinstance(kind, dict):
+        return {k: True if k in ("nullable", "containsNull", "valueContainsNull") else _loose(v) for k, v in kind.items() if k != "metadata"} | ({"metadata": {}} if "metadata" in kind else {})
+    return [_loose(x) for x in kind] if isinstance(kind, list) else kind
+
+
+def _claim(spark: SparkSession, aside: str, final: str) -> bool:
+    """Give the file ``aside`` the name ``final`` if no file has it; whether it was given. The file ``aside`` is gone afterwards.
+
+    A link on a local disk and a rename without overwriting on HDFS are one step each. Elsewhere (object stores) the file
+    is created anew without overwriting, which such stores do when it is closed.
+    """
+    fs, a = hadoop_path(spark, aside)
+    _, z = hadoop_path(spark, final)
+    jvm = spark.sparkContext._jvm
+    local = urlparse(fs.resolvePath(a).toString())
+    try:
+        if local.scheme in ("", "file"):
+            os.link(local.path, f"{os.path.dirname(local.path)}/{z.getName()}")
+        elif fs.getUri().getScheme() in ("hdfs", "viewfs", "webhdfs"):
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(a, z, none)
+        else:
+            stream, out = fs.open(a), fs.create(z, False)
+            out.write(stream.readAllBytes())
+            out.close()
+            stream.close()
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    finally:
+        fs.delete(a, False)
+    return True
+
+
 class ShardStore:
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT):
-        self.spark, self.path, self.target_bytes, self.fanout = spark, path.rstrip("/"), target_bytes, fanout
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, fanout: int = FANOUT, retain_seconds: float = RETAIN_SECONDS):
+        self.spark, self.path, self.target_bytes, self.fanout, self.retain_seconds = spark, path.rstrip("/"), target_bytes, fanout, retain_seconds
 
     def versions(self) -> list[int]:
         fs, p = hadoop_path(self.spark, f"{self.path}/_manifests")
@@ -58,9 +108,7 @@ class ShardStore:
         stream = fs.create(aside, False)
         stream.write(bytearray(json.dumps(manifest | {"version": version}).encode()))
         stream.close()
-        _, final = hadoop_path(self.spark, f"{self.path}/_manifests/v{version:08d}.json")
-        if fs.exists(final) or not fs.rename(aside, final):
-            fs.delete(aside, False)
+        if not _claim(self.spark, aside.toString(), f"{self.path}/_manifests/v{version:08d}.json"):
             raise CommitConflict(f"version {version} exists")
         return version
 
@@ -78,13 +126,11 @@ class ShardStore:
     def append(self, arrivals: DataFrame) -> int:
         """One small run for ``arrivals``; returns the version that holds it."""
         manifest = self.manifest()
-        schema = StructType([f for f in StructType.fromJson(json.loads(arrivals.schema.json()))])
-        for f in schema:
-            f.nullable = True
-        if manifest["schema"] and [(f.name, f.dataType) for f in StructType.fromJson(manifest["schema"])] != [(f.name, f.dataType) for f in schema]:
+        schema = _loose(json.loads(arrivals.schema.json()))
+        if manifest["schema"] and manifest["schema"] != schema:
             raise ValueError("the arrivals' columns are not the store's")
         run = self._write(arrivals)
-        return self.commit(manifest | {"schema": json.loads(schema.json()), "runs": manifest["runs"] + ([run] if run else [])})
+        return self.commit(manifest | {"schema": schema, "runs": manifest["runs"] + ([run] if run else [])})
 
     def _tier(self, runs: list[dict]) -> list[dict]:
         """The smallest runs of similar size that are enough for a merge."""
@@ -98,7 +144,7 @@ class ShardStore:
         return bucket if len(bucket) >= self.fanout else []
 
     def compact(self) -> int:
-        """Merge tiers until none is full; returns the current version. Merged runs go after the commit."""
+        """Merge tiers until none is full; returns the current version."""
         manifest = self.manifest()
         while tier := self._tier(manifest["runs"]):
             size = sum(r["bytes"] for r in tier)
@@ -111,16 +157,26 @@ class ShardStore:
         return manifest["version"]
 
     def vacuum(self) -> None:
-        """Remove runs that the current version does not name, and the manifests that need them."""
-        current = self.manifest()
-        live = {r["name"] for r in current["runs"]}
+        """Remove manifests replaced over ``retain_seconds`` ago, and the runs that only they name."""
+        fs, p = hadoop_path(self.spark, f"{self.path}/_manifests")
+        at = {s.getPath().getName(): s.getModificationTime() / 1000 for s in fs.listStatus(p)}
+        versions = self.versions()
+        # a version is replaced when the next one is committed
+        over = [v for v, after in zip(versions, versions[1:]) if at.get(f"v{after:08d}.json", time.time()) + self.retain_seconds <= time.time()]
+        names = {v: {r["name"] for r in self.manifest(v)["runs"]} for v in versions}
+        live = set().union(*(names[v] for v in versions if v not in over))
+        for v in over:
+            for name in names[v] - live:
+                remove(self.spark, f"{self.path}/{name}")
+            remove(self.spark, f"{self.path}/_manifests/v{v:08d}.json")
+
+    def remove_orphans(self, older_seconds: float) -> None:
+        """Remove runs that no manifest names and that were written over ``older_seconds`` ago, longer than any writer takes."""
+        named = {r["name"] for v in self.versions() for r in self.manifest(v)["runs"]}
         fs, p = hadoop_path(self.spark, self.path)
-        for version in self.versions()[:-1]:
-            if not {r["name"] for r in self.manifest(version)["runs"]} <= live:
-                remove(self.spark, f"{self.path}/_manifests/v{version:08d}.json")
         for s in fs.listStatus(p):
             name = s.getPath().getName()
-            if name.startswith("run-") and name not in live:
+            if name.startswith("run-") and name not in named and s.getModificationTime() / 1000 + older_seconds < time.time():
                 fs.delete(s.getPath(), True)
 
     def _read(self, manifest: dict, runs: list[dict]) -> DataFrame:
