@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the session names none (tests on one machine) a folder under the warehouse is set.
+    Where a session on one machine (tests) names none, a folder under the warehouse is set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors need a shared folder")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
         sc.setCheckpointDir(named)
     return named.rstrip("/")

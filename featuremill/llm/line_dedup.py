@@ -1,18 +1,17 @@
 """Line dedup within one word edit, by a deletion-neighbourhood join.
 
-A line is its words joined by one space. Lines of fewer than ``MIN_WORDS`` words stay in ``op10_line_dedup``, as its SQL
-has it; with ``short`` (the pipeline) each that is not blank goes if an earlier line has equal words, while one edit
-still takes ``MIN_WORDS``. Lines are ordered by
-(doc_id, line number). A line goes if an earlier line of the corpus is at word edit distance 0 or 1 from it (one word
-inserted, deleted or replaced), whether or not that earlier line goes itself.
+A line is its words joined by one space. Lines are ordered by (doc_id, line number). A line with a word goes if an
+earlier line of the corpus has equal words; a line of ``MIN_WORDS`` words and more also goes if an earlier one of as many
+is at word edit distance 1 from it (one word inserted, deleted or replaced), whether or not that earlier line goes
+itself. In shorter lines one edit is too large a part, so only equal ones are repeats.
 
 Equal lines are grouped first, so that each text counts once. A text can only have a neighbour if it shares its first
 or its second half with another text (an edit spares one of the halves), so only such texts emit their deletion
 neighbourhood: the text itself and, for each word outside the shared half, the text without it, as hashed keys. Equal keys are joined by a
 grouped minimum, never by pairs: each key hands on its earliest text. What a text receives is then verified on the
-words themselves. Native functions only.
+words themselves, once for each pair. Native functions only.
 
-Defined cases: null text has no lines and stays null; an empty text has one empty line; rows with the same doc_id
+Defined cases: null text has no lines and stays null; an empty text has one empty line; lines without words stay; rows with the same doc_id
 count as one document, so the same line number in them ties and stays; null ids are the earliest; extra columns
 pass through ``dedup_lines``; an empty table gives an empty result.
 """
@@ -22,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, sized, table, written
+from .common import SPACE_CLASS, drop, sized, table, written
 
 MIN_WORDS = 5
-#: Line numbers up to which the lists of lines to take out are broadcast.
-BROADCAST_LINES = 1_000_000
+#: Bytes up to which the lists of lines to take out are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def _raw_lines(docs: DataFrame) -> DataFrame:
@@ -41,15 +40,15 @@ def _count(text: Column, char: str) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
 
 
-def _lines(raw: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """``raw`` column to ``x``, the line's words joined by one space, and ``n``, their number; of ``least`` and more."""
+def _lines(raw: DataFrame) -> DataFrame:
+    """``raw`` column to ``x``, the line's words joined by one space, and ``n``, their number; lines with words only."""
     x = F.trim("raw")
     x = F.when(x.contains("  "), F.regexp_replace(x, " {2,}", " ")).otherwise(x)
     rows = raw.withColumn("x", x).drop("raw")
-    return rows.withColumn("n", _count(F.col("x"), " ") + 1).filter(f"n >= {least} AND x <> ''")
+    return rows.withColumn("n", _count(F.col("x"), " ") + 1).filter("x <> ''")
 
 
-def _hashed(docs: DataFrame, short: bool) -> DataFrame:
+def _hashed(docs: DataFrame) -> DataFrame:
     """(doc_id, line, a, b, halves): hashes of each line and of its halves; lines below ``MIN_WORDS`` have no halves.
 
     Texts at distance 1 share a half, as an edit spares one of them: the halves are cut for the line's length and, for
@@ -64,8 +63,8 @@ def _hashed(docs: DataFrame, short: bool) -> DataFrame:
         F.xxhash64(F.lit("first"), n - 1, cut(g)),
         F.xxhash64(F.lit("last"), n - 1, cut(g - n + 1)),
     ]
-    found = F.when(n >= MIN_WORDS, F.array(*halves)) if short else F.array(*halves)
-    return _lines(_raw_lines(docs), 1 if short else MIN_WORDS).select("doc_id", "line", F.xxhash64(x).alias("a"), F.hash(x).alias("b"), found.alias("halves"))
+    found = F.when(n >= MIN_WORDS, F.array(*halves))
+    return _lines(_raw_lines(docs)).select("doc_id", "line", F.xxhash64(x).alias("a"), F.hash(x).alias("b"), found.alias("halves"))
 
 
 def _without(w: Column, i: Column) -> Column:
@@ -111,33 +110,44 @@ def _near_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     ).filter("n > 1 AND first < last")
     met = written(met.select("key", "not_cut", "any"), "met")
     given = variants.join(met, "key").withColumn("to", F.when(F.col("kind") == "d", F.col("not_cut")).otherwise(F.col("any")))
-    given = given.filter("to.at < at").select("a", "b", "at", "i", F.col("to.at").alias("near"), F.col("to.i").alias("j"))
-    given = written(given, "given")
+    given = given.filter("to.at < at").select("a", "b", F.col("to.at").alias("near"), "i", F.col("to.i").alias("j"))
+    # equal words in a row give a pair many times; equal keys are equal texts but for collisions, so one is enough
+    given = written(given.groupBy("a", "b", "near").agg(F.min(F.struct("i", "j")).alias("x")).select("a", "b", "near", "x.*"), "given")
+    for gone in (places, variants, met):
+        drop(gone)
     mine, other = texts.select("a", "b", F.col("w").alias("mine")), texts.select(F.col("at").alias("near"), F.col("w").alias("other"))
     both = given.join(mine, ["a", "b"]).join(other, "near")
     allowed = (F.col("i") == F.col("j")) | (F.col("i") == 0) | (F.col("j") == 0)
     verified = both.filter(allowed & (_without(F.col("mine"), F.col("i")) == _without(F.col("other"), F.col("j"))))
-    return verified.groupBy("a", "b").agg(F.min("near").alias("near"))
+    near = written(verified.groupBy("a", "b").agg(F.min("near").alias("near")), "near")
+    drop(texts)
+    drop(given)
+    return near
 
 
-def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, gone): for each document that loses lines, the numbers of these lines."""
-    seen = written(_hashed(docs, short), "lines")
+    seen = written(_hashed(docs), "lines")
     texts = seen.groupBy("a", "b").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("halves").alias("halves"), F.count("*").alias("n"))
     texts = written(texts.select("a", "b", "at.doc_id", "at.line", "halves", "n"), "distinct-lines")
-    near = written(_near_texts(docs, texts), "near")
+    near = _near_texts(docs, texts)
     active = texts.join(near, ["a", "b"], "left").filter("n > 1 OR near IS NOT NULL")
     at = F.struct("doc_id", "line")
     active = written(active.select("a", "b", F.least(at, F.coalesce("near", at)).alias("first")), "active")
+    drop(texts)
+    drop(near)
     gone = seen.select("doc_id", "line", "a", "b").join(sized(active, active.count()), ["a", "b"]).filter(F.col("first") < F.struct("doc_id", "line"))
-    return written(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
+    gone = written(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone")
+    drop(seen)
+    drop(active)
+    return gone
 
 
-def dedup_lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and n_lines, n_removed (long)."""
-    gone = repeated_lines(docs, short).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone_lines"))
-    n_gone = gone.agg(F.coalesce(F.sum(F.size("_gone_lines")), F.lit(0))).first()[0]
-    joined = docs.join(sized(gone, n_gone, BROADCAST_LINES), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left")
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated lines taken out of ``text``, and n_lines, n_removed (long), which replace columns of these names."""
+    gone = repeated_lines(docs).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone_lines"))
+    n_bytes = gone.agg(F.coalesce(F.sum(24 + 4 * F.size("_gone_lines")), F.lit(0))).first()[0]
+    joined = docs.join(sized(gone, n_bytes, BROADCAST_BYTES), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left")
     lines = F.split("text", "\n")
     n = _count(F.col("text"), "\n") + 1
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone_lines"))
@@ -158,12 +168,13 @@ OP10_SQL = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(0, len(ls))) AS line, ls FROM d),
 x AS (SELECT doc_id, line, list_filter(regexp_split_to_array(ls[line + 1], '{SPACE_CLASS}'), lambda x: x <> '') AS w FROM l),
-t AS (SELECT w, min((doc_id, line)) AS pos FROM x WHERE len(w) >= {MIN_WORDS} GROUP BY w),
-v AS (SELECT w, pos, i, list_concat(w[1:i - 1], w[i + 1:]) AS r FROM (SELECT w, pos, unnest(range(1, len(w) + 1)) AS i FROM t)),
+t AS (SELECT w, min((doc_id, line)) AS pos FROM x WHERE len(w) > 0 GROUP BY w),
+e AS (SELECT w, pos FROM t WHERE len(w) >= {MIN_WORDS}),
+v AS (SELECT w, pos, i, list_concat(w[1:i - 1], w[i + 1:]) AS r FROM (SELECT w, pos, unnest(range(1, len(w) + 1)) AS i FROM e)),
 pairs AS (
   SELECT a.w, b.pos FROM v a JOIN v b ON a.r = b.r AND a.i = b.i
-  UNION ALL SELECT v.w, t.pos FROM v JOIN t ON v.r = t.w
-  UNION ALL SELECT t.w, v.pos FROM v JOIN t ON v.r = t.w
+  UNION ALL SELECT v.w, e.pos FROM v JOIN e ON v.r = e.w
+  UNION ALL SELECT e.w, v.pos FROM v JOIN e ON v.r = e.w
   UNION ALL SELECT w, pos FROM t),
 first AS (SELECT w, min(pos) AS pos FROM pairs GROUP BY w),
 gone AS (SELECT x.doc_id, x.line FROM x JOIN first f ON x.w = f.w WHERE f.pos < (x.doc_id, x.line)),

@@ -75,8 +75,9 @@ def test_lines_against_all_pairs(spark):
             lines.append(rng.choice([" ", "\t", "  "]).join(ws))
         rows.append((k, "\n".join(lines)))
     rows += [(90, None), (91, ""), (92, "\n\n"), rows[5]]
-    order = sorted({(i, n, tuple(x.split())) for i, t in rows for n, x in enumerate((t or "").split("\n")) if len(x.split()) >= MIN_WORDS})
-    gone = {(i, n) for i, n, w in order if any((j, m) < (i, n) and near(w, v) for j, m, v in order)}
+    order = sorted({(i, n, tuple(x.split())) for i, t in rows for n, x in enumerate((t or "").split("\n")) if x.split()})
+    repeats = lambda w, v: w == v or min(len(w), len(v)) >= MIN_WORDS and near(w, v)
+    gone = {(i, n) for i, n, w in order if any((j, m) < (i, n) and repeats(w, v) for j, m, v in order)}
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, gone string, line int")
     got = sorted((r.doc_id, r.text or "", r.n_removed, r.gone) for r in dedup_lines(docs).collect())
     want = sorted((i, "\n".join(x for n, x in enumerate((t or "").split("\n")) if (i, n) not in gone), sum(1 for n in range(len((t or "").split("\n"))) if (i, n) in gone), "x") for i, t in rows)
@@ -170,6 +171,50 @@ def test_shard_store(spark):
     assert sum(p.count() for p in arrivals(docs, 4)) == 4 and len(arrivals(docs.limit(0))) == 1
 
 
+def test_two_writers_and_a_reader(spark):
+    """A run being written outlives another one's compaction; readers end on the version they began with; one of two commits wins."""
+    import threading
+
+    path = work_dir(spark, "store")
+    make = lambda a, b: spark.createDataFrame([(k, f"t{k}", [a]) for k in range(a, b)], "doc_id long, text string, x array<int>").coalesce(1)
+    one, two = ShardStore(spark, path, target_bytes=1 << 30), ShardStore(spark, path, target_bytes=1 << 30, retain_seconds=0)
+    for k in range(4):
+        one.append(make(10 * k, 10 * k + 10))
+    reader = one.read()
+    run = two._write(make(100, 110))
+    one.compact()
+    assert reader.count() == 40 and len(one.manifest()["runs"]) == 1
+    manifest = two.manifest()
+    two.commit(manifest | {"runs": manifest["runs"] + [run]})
+    assert one.read().count() == 50
+    two.vacuum()  # keeps nothing but the current version
+    assert len(two.versions()) == 1 and two.read().count() == 50
+    lost = two._write(make(200, 210))
+    two.remove_orphans(3600)
+    assert spark.read.parquet(f"{path}/{lost['name']}").count() == 10
+    two.remove_orphans(-1)
+    assert two.read().count() == 50
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        spark.read.parquet(f"{path}/{lost['name']}")
+    base, outcome = one.manifest(), []
+
+    def attempt():
+        try:
+            outcome.append(ShardStore(spark, path).commit(base))
+        except CommitConflict:
+            outcome.append(None)
+
+    threads = [threading.Thread(target=attempt) for _ in range(6)]
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    assert sorted(outcome, key=str).count(None) == 5 and len(outcome) == 6
+    other = make(300, 310).selectExpr("doc_id", "text", "array(coalesce(1, doc_id % 2)) AS x").selectExpr("doc_id", "text", "transform(x, y -> int(y)) AS x")
+    one.append(other)
+    assert one.read().count() == 60
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -198,3 +243,24 @@ def test_lines_with_null_ids_separators_and_equal_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'y' AS at_id", "'y' AS head")
     got = {r.doc_id: (r.n_lines, r.n_removed) for r in dedup_lines(docs).collect()}
     assert got == {None: (1, 0), 5: (1, 1), 6: (1, 0), 7: (2, 1), 8: (1, 0), 9: (1, 1)}
+
+
+def test_short_lines_go_if_equal_and_rows_of_one_word_stay_linear(spark):
+    from featuremill.llm import line_dedup
+
+    rows = [(1, "Home\n\nabout us"), (2, " Home \nhome\n\nabout  us all"), (3, "x " * 1000), (4, "x " * 1001), (5, "x " * 1003)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, seen = line_dedup.written, {}
+
+    def counted(df, label):
+        out = kept(df, label)
+        seen[label] = out.count()
+        return out
+
+    line_dedup.written = counted
+    try:
+        got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(docs).collect()}
+    finally:
+        line_dedup.written = kept
+    assert got == {1: (rows[0][1], 0), 2: ("home\n\nabout  us all", 1), 3: (rows[2][1], 0), 4: ("", 1), 5: (rows[4][1], 0)}
+    assert seen["given"] <= 2
