@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Narrow rows (a few numbers each, some MB in all) that may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Seconds between requests to free shuffle files.
+FREE_SECONDS, _freed = 3, 0.0
 #: Separators between words, as the operators on whole texts see them.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -59,9 +62,12 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def free(spark: SparkSession) -> None:
-    """Shuffle files of finished queries go when the driver's JVM collects its garbage; this asks for it now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Shuffle files of finished queries go when the driver's JVM collects its garbage; this asks for it, now and then."""
+    global _freed
+    if time.monotonic() > _freed + FREE_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _freed = time.monotonic()
 
 
 def hadoop_path(spark: SparkSession, path: str):

@@ -8,7 +8,8 @@ Forward-backward gives each word of a text its probabilities; a document's langu
 its score that mean. Every word of every text counts.
 
 The fit uses a bounded sample, ``SAMPLE_DOCS`` documents of each language on average (twice that at most), picked by
-a hash of text and id among documents whose ``crc32(doc_id) mod 3`` is not 1. Prediction is one pass without shuffle.
+a hash of text and id among documents of ``SAMPLE_CHARS`` characters at most whose ``crc32(doc_id) mod 3`` is not 1. It
+learns the ``LANGUAGES`` most frequent languages, each from ``SEQUENCES`` spans of the sample at most. Prediction is one pass without shuffle.
 
 Defined cases: null text or text without letters is ``und`` with score 0; a null doc_id counts as the empty string for
 the split; without any labelled document all is ``und``; words of over 48 letters count by their first and last 24
@@ -29,7 +30,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import table
 
-SAMPLE_DOCS = 150
+#: Documents of a language in the sample, characters of the longest one in it, training sequences of a language, and the
+#: languages learned at most (the most frequent ones): together they bound what the fit reads and takes.
+SAMPLE_DOCS, SAMPLE_CHARS, SEQUENCES, LANGUAGES = 150, 1 << 17, 2000, 500
 BUCKETS, LEXICON, LONG_WORD = 1 << 16, 2000, 48
 SEQUENCE, BATCH, EPOCHS, RATE, DECAY = 32, 128, 4, 0.2, 1e-6
 #: Entries a worker keeps of word -> scores; characters and words handled at a time.
@@ -148,7 +151,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Crf | None:
     if not langs:
         return None
     lexicon = {w: i + 1 for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[:LEXICON])}
-    per = min(2000, max(64, *(len(docs[k]) for k in langs)))
+    per = min(SEQUENCES, max(64, *(len(docs[k]) for k in langs)))
     sequences, gold = [], []
     for y, lang in enumerate(langs):
         for j in rng.integers(0, len(docs[lang]), per):
@@ -299,7 +302,8 @@ def label(docs: DataFrame, crf: Crf | None) -> DataFrame:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf | None:
     """Fit on about ``sample_docs`` documents of each language; reads the counts of languages, then the sample."""
     usable = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    usable = usable.filter(F.length("text") <= SAMPLE_CHARS)
+    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1_000_000)) / 1_000_000

@@ -4,7 +4,9 @@ Each document gets base counts. Documents that pass the base rule feed one merge
 (language, source): counts in logarithmic buckets of 2 % width, so a quantile is off by 1 % of its value at most and
 sketches merge by adding counts. Groups of fewer than ``MIN_GROUP`` documents use the merged sketch of their language,
 and where that is small, too, of everything. A document is kept if every metric lies within
-``q25 - 3 (q75 - q25) - slack`` and ``q75 + 3 (q75 - q25) + slack`` of its group. The bounds are joined back.
+``q25 - 3 (q75 - q25) - slack`` and ``q75 + 3 (q75 - q25) + slack`` of its group. The bounds are joined back. The slack of the
+repeat rate is below the base rule's 20 %, so that the group's own sketch can reject what the base rule lets pass.
+The coarsest level, one row of bounds for everything, meets the groups by a join without keys: one side is one row.
 
 Defined cases: null text has no words and fails the base rule; null language or source is a group of its own; a
 group that feeds no document into any sketch keeps what passes the base rule; an empty table gives an empty result;
@@ -27,7 +29,7 @@ METRICS = {
     "word_length": ("word_chars", "n_words", 0.5),
     "symbol_rate": ("n_symbols", "n_words", 0.1),
     "dup_line_rate": ("n_dup_lines", "n_lines", 0.25),
-    "repeat_rate": ("n_repeat_words", "n_words", 0.2),
+    "repeat_rate": ("n_repeat_words", "n_words", 0.12),
 }
 SYMBOLS = r"[#*$%&|<>]+"
 

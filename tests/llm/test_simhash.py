@@ -53,6 +53,29 @@ def test_links_give_the_groups_of_all_pairs(spark, longest, max_bits):
         assert same == set(want[v])
 
 
+def test_the_tally_rejects_pairs_below_the_minimum(spark):
+    from pyspark.sql import functions as F
+
+    from featuremill.llm.simhash import _byte_mask, _members, _posted, _tally, meetings
+
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    values = set()
+    for _ in range(60):  # three to six bytes of one fingerprint, the others at random
+        keep = rng.sample(range(8), rng.randrange(3, 7))
+        values.add(sum((base >> 8 * p & 255 if p in keep else rng.getrandbits(8)) << 8 * p for p in range(8)))
+    df = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    from itertools import combinations
+
+    met = meetings(_members(_posted(df, [_byte_mask(c) for c in combinations(range(8), 3)])), 3).withColumn("tally", _tally(F.col("u"), F.col("v"))).collect()
+    shared = lambda u, v: sum((u ^ v) >> 8 * p & 255 == 0 for p in range(8))
+    want = {(signed(u), signed(v)): shared(u, v) for u in values for v in values if signed(u) < signed(v) and shared(u, v) >= 3}
+    assert {(r.u, r.v): r.tally for r in met} == want and len(met) == len(want)
+    assert sum(t < 4 for t in want.values()) > 10 and sum(t >= 4 for t in want.values()) > 10
+    kept = {(r.u, r.v) for r in near_links(df, 4).collect()}
+    assert kept == {(u, v) for u, v in want if ((u ^ v) & (1 << 64) - 1).bit_count() <= 4}
+
+
 def test_whole_operator(spark):
     rng = random.Random(1)
     base = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(300)) for _ in range(6)]
