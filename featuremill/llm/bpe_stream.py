@@ -36,7 +36,7 @@ from .common import table
 #: The pattern of the byte-level pre-tokenizer.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters handed on at a time, entries kept of piece -> ids, characters of the longest piece kept.
-CHUNK, CACHE_PIECES, KEPT = 1 << 16, 500_000, 32
+CHUNK, CACHE_PIECES, KEPT = 1 << 16, 200_000, 32
 #: Bytes up to which the best merge is sought by going through all; what stands for no merge; characters handled together.
 SHORT, NO_MERGE, GROUP = 64, (1 << 40, -1), 1 << 20
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -210,7 +210,7 @@ class Known:
     def __init__(self, vocabulary: BpeVocabulary):
         self.v, self.new, self.old = vocabulary, {}, {}
 
-    def learn(self, pieces: Iterable[str]) -> dict[str, list[int]]:
+    def learn(self, pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """A table that has all of ``pieces``; new ones go through the transducer."""
         pieces = set(pieces)
         missing = pieces.difference(self.new)
@@ -219,7 +219,7 @@ class Known:
             missing = pieces
         for p in missing:
             ids = self.old.get(p)
-            self.new[p] = transduced(self.v, p) if ids is None else ids
+            self.new[p] = tuple(transduced(self.v, p)) if ids is None else ids
         return self.new
 
 
