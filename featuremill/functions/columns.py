@@ -26,10 +26,18 @@ def product(a: Column, b: Column) -> Column:
     return a * b
 
 
-def display_decimals(value: Column, low: Column, high: Column) -> Column:
-    """Decimals (0 to 3) to show ``value`` with, from the width of its range: the narrower, the more."""
-    width = F.abs(high - low)
-    return F.when(value.isNull() | width.isNull(), None).when(width >= 100, 0).when(width >= 10, 1).when(width >= 1, 2).otherwise(3)
+def display_decimals(value: Column, low: Column, high: Column, whole: bool = False) -> Column:
+    """Decimals (0 to 3) to show ``value`` with, from its own digits: ``whole`` numbers have none.
+
+    With an integer part of several characters (a sign counts) a value that ends in 0 has none if its range's whole part
+    is above 10, else two; one that does not has one. With a single character: three if it has over three decimals, else two."""
+    if whole:
+        return F.when(value.isNotNull(), 0)
+    text = value.cast("string")
+    integer = F.length(value.cast("long").cast("string"))
+    decimals = F.length(text) - integer - 1
+    several = F.when(F.right(text, F.lit(1)) == "0", F.when((high - low).cast("long") > 10, 0).otherwise(2)).otherwise(1)
+    return F.when(value.isNull() | low.isNull() | high.isNull(), None).when(integer > 1, several).when(decimals > 3, 3).otherwise(2)
 
 
 def contract(c: Column, limit: float, above: bool = True, to_null: bool = False) -> Column:
@@ -78,6 +86,11 @@ def safe_name(name: str) -> str:
     return name.translate(str.maketrans("/().", "___-"))
 
 
+def bracket_free(c: Column) -> Column:
+    """``[ ] ,`` become ``-q-``, ``-p-`` and ``-o-``."""
+    return reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), (("[", "-q-"), ("]", "-p-"), (",", "-o-")), c)
+
+
 def bracket_free_name(name: str) -> str:
     return name.replace("[", "-q-").replace("]", "-p-").replace(",", "-o-")
 

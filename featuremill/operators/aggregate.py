@@ -77,11 +77,19 @@ def category_shares(df: DataFrame, key: str, category: str, values: Sequence[str
     return df.groupBy(key).agg(*[F.avg(F.when(F.col(category) == x, 1.0).otherwise(0.0)).alias(f"{category}_{safe_name(x)}_mean") for x in values])
 
 
-def trailing(df: DataFrame, entity: Sequence[str], date: str, value: str, start: str, end: str, inclusive: bool = True) -> DataFrame:
-    """Seven statistics of ``value`` per entity in a window of dates, both ends in or both out."""
+def exact_mean(c: Column, decimals: int) -> Column:
+    """The mean of values of so many decimals: an exact sum over the count, the same in every order of summation."""
+    return F.try_divide(F.sum(c.cast(f"decimal(18,{decimals})")).cast("double"), F.count(c).cast("double"))
+
+
+def trailing(df: DataFrame, entity: Sequence[str], date: str, value: str, start: str, end: str, inclusive: bool = True, decimals: int | None = None) -> DataFrame:
+    """Seven statistics of ``value`` per entity in a window of dates, both ends in or both out; with ``decimals`` the mean is exact."""
     d = F.col(date)
     inside = d.between(start, end) if inclusive else (d > start) & (d < end)
-    return df.filter(inside).groupBy(*entity).agg(*[by_name(m, F.col(value)).alias(f"{value}_{m}") for m in ("min", "mean", "median", "max", "count", "std", "skew")])
+    made = {m: by_name(m, F.col(value)) for m in ("min", "mean", "median", "max", "count", "std", "skew")}
+    if decimals is not None:
+        made["mean"] = exact_mean(F.col(value), decimals)
+    return df.filter(inside).groupBy(*entity).agg(*[c.alias(f"{value}_{m}") for m, c in made.items()])
 
 
 def decayed_means(df: DataFrame, entity: Sequence[str], date: str, value: str, end: str, rates: Sequence[float], compound: bool = False) -> DataFrame:

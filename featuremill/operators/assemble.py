@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 
 def feature_matrix(base: DataFrame, parts: Sequence[DataFrame], key: str) -> DataFrame:
     """``base`` with every part's columns by key; shuffles partition by the key once and are reused."""
@@ -41,19 +43,29 @@ def compare_predictions(pred: DataFrame, actual: DataFrame, key: str) -> DataFra
     return both.withColumn("diff", F.col("prediction") - F.col("target")).orderBy(F.desc("diff"), key)
 
 
-def combinations_made(groups: Sequence[DataFrame], features: DataFrame) -> DataFrame:
-    """All combinations of three short name lists with ``made``: whether some feature's name contains all three."""
-    a, b, c = groups
-    grid = a.select(F.col("name").alias("x")).crossJoin(b.select(F.col("name").alias("y"))).crossJoin(c.select(F.col("name").alias("z")))
-    has = F.col("feature").contains(F.col("x")) & F.col("feature").contains(F.col("y")) & F.col("feature").contains(F.col("z"))
-    made = grid.join(features, has, "left_semi").withColumn("made", F.lit(1))
-    return grid.join(made, ["x", "y", "z"], "left").select("x", "y", "z", F.coalesce("made", F.lit(0)).alias("made"))
+def contained(name: Column, parts: Sequence[str]) -> Column:
+    """The distinct ``parts`` (a short list) that ``name`` contains."""
+    return F.filter(F.array(*map(F.lit, dict.fromkeys(parts))), lambda p: name.contains(p))
+
+
+def combinations_made(groups: Sequence[Sequence[str]], features: DataFrame) -> DataFrame:
+    """All combinations of three short name lists with ``made``: whether some feature's name contains all three.
 
+    Each feature is looked at once and gives the combinations that it makes."""
+    name, axes = F.col("feature"), ("x", "y", "z")
+    made = features.select(*[contained(name, g).alias(f"_{a}") for a, g in zip(axes, groups)])
+    grid = features.sparkSession.range(1).select(*[F.array(*map(F.lit, dict.fromkeys(g))).alias(f"_{a}") for a, g in zip(axes, groups)])
+    for a in axes:
+        made = made.select("*", F.explode(f"_{a}").alias(a)).drop(f"_{a}")
+        grid = grid.select("*", F.explode(f"_{a}").alias(a)).drop(f"_{a}")
+    found = made.distinct().withColumn("made", F.lit(1))
+    return grid.join(found, list(axes), "left").select(*axes, F.coalesce("made", F.lit(0)).alias("made"))
 
-def column_usage(features: DataFrame, columns: DataFrame) -> DataFrame:
+
+def column_usage(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(dataset, column, n): in how many features' names a column's name occurs; a name counts once a feature."""
-    pairs = features.join(columns, F.col("feature").contains(F.col("column")))
-    return pairs.select("feature", "dataset", "column").distinct().groupBy("dataset", "column").agg(F.count("*").alias("n"))
+    pairs = features.select("feature", "dataset", F.explode(contained(F.col("feature"), columns)).alias("column"))
+    return pairs.distinct().groupBy("dataset", "column").agg(F.count("*").alias("n"))
 
 
 def new_rows(df: DataFrame, known: DataFrame, name: str) -> DataFrame:
@@ -75,7 +87,7 @@ def select_features(importance: DataFrame, rank: int | None = None, gain: float
 
 def ranked(importance: DataFrame) -> DataFrame:
     """1 to n by falling importance, then name."""
-    return importance.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+    return numbered(importance, [F.desc("importance"), "feature"], "rank")
 
 
 def demote(registry: DataFrame, importance: DataFrame, rank: int, keys: Sequence[str], tier: str = "third_valid") -> DataFrame:
@@ -93,9 +105,9 @@ def move_named(registry: DataFrame, part: str, tier: str) -> DataFrame:
     return registry.withColumn("tier", F.when(F.col("feature").contains(part), F.lit(tier)).otherwise(F.col("tier")))
 
 
-def not_containing(names: DataFrame, parts: DataFrame) -> DataFrame:
-    """Names that contain none of ``parts`` (short lists)."""
-    return names.join(parts, F.col("feature").contains(F.col("part")), "left_anti")
+def not_containing(names: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Names that contain none of ``parts`` (a short list)."""
+    return names.filter(F.size(contained(F.col("feature"), parts)) == 0)
 
 
 def parity(registry: DataFrame) -> DataFrame:
@@ -103,10 +115,27 @@ def parity(registry: DataFrame) -> DataFrame:
     return registry.filter(F.col("has_train") != F.col("has_test")).select("feature", F.when(F.col("has_train"), "train").otherwise("test").alias("side"))
 
 
-def first_per_combination(grid: DataFrame, registry: DataFrame, method: str) -> DataFrame:
-    """The first feature, by name, that contains x, y and ``method``."""
-    has = F.col("feature").contains(F.col("x")) & F.col("feature").contains(F.col("y")) & F.col("feature").contains(method)
-    return grid.join(registry, has).groupBy("x", "y").agg(F.min("feature").alias("feature"))
+def first_per_combination(xs: Sequence[str], ys: Sequence[str], registry: DataFrame, method: str) -> DataFrame:
+    """The first feature, by name, that contains x, y and ``method``; each feature is looked at once."""
+    name = F.col("feature")
+    pairs = registry.filter(name.contains(method)).select("feature", F.explode(contained(name, xs)).alias("x"), contained(name, ys).alias("_y"))
+    return pairs.select("feature", "x", F.explode("_y").alias("y")).groupBy("x", "y").agg(F.min("feature").alias("feature"))
+
+
+def matrix_features(registry: DataFrame, importance: DataFrame | None = None, rank: int = 50_000, gain: float = 0.0, limit: int = 3000) -> DataFrame:
+    """(feature, in_train): the features of a matrix, from ``registry`` (feature, has_train, has_test, is_valid).
+
+    With ``importance`` (feature, rank, importance) the train side keeps those of ``gain`` and more, or without a gain those
+    up to ``rank``, the test side those up to ``rank``; valid ones are kept whatever their importance. The test side
+    takes the first ``limit`` by name; the train side has no feature that the test side lacks."""
+    chosen = registry.withColumns({"_tr": F.col("has_train"), "_te": F.col("has_test")})
+    if importance is not None:
+        i = importance.select(F.col("feature").alias("_f"), F.col("rank").alias("_rank"), F.col("importance").alias("_gain"))
+        by_rank = F.coalesce(F.col("_rank") <= rank, F.lit(False))
+        by_gain = F.coalesce(F.col("_gain") >= gain, F.lit(False)) if gain else by_rank
+        chosen = registry.join(i, F.col("feature") == F.col("_f"), "left")
+        chosen = chosen.withColumns({"_tr": F.col("has_train") & (by_gain | F.col("is_valid")), "_te": F.col("has_test") & (by_rank | F.col("is_valid"))})
+    return chosen.filter("_te").orderBy("feature").limit(limit).select("feature", F.col("_tr").alias("in_train"))
 
 
 def correlation_groups(pairs: DataFrame, size: int = 5, most: int = 11) -> list[list[str]]:
@@ -137,3 +166,18 @@ def similar(vectors: DataFrame, query: DataFrame, n: int) -> DataFrame:
     dots = long.join(q, "category").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
     scored = dots.join(norm, "doc_id").crossJoin(F.broadcast(own))
     return scored.select("doc_id", F.try_divide("dot", F.col("norm") * F.col("q_norm")).alias("similarity")).orderBy(F.desc("similarity"), "doc_id").limit(n)
+
+
+def changed_columns(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(column, side, n_rows): the columns that only one of two frames has, with that frame's rows."""
+    made = []
+    for side, df, other in (("before", before, after), ("after", after, before)):
+        names = [c for c in df.columns if c not in other.columns]
+        rows = df.agg(F.count("*").alias("n_rows"))
+        made.append(rows.select(F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("column"), F.lit(side).alias("side"), "n_rows"))
+    return made[0].union(made[1])
+
+
+def mapped(df: DataFrame, functions: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``df`` with a function of Column to Column applied to each named column."""
+    return df.select(*[functions[c](F.col(c)).alias(c) if c in functions else F.col(c) for c in df.columns])

@@ -1,4 +1,4 @@
-"""Filters, replacements, imputation, scaling and outliers. Each statistic is one aggregate, joined by broadcast of one row."""
+"""Filters, replacements, imputation, scaling and outliers. Statistics are one row, broadcast, or a few numbers a column."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 from ..functions.columns import finite
+from .ranges import quantiles
 
 
 def strings(df: DataFrame, ignore: Sequence[str] = ()) -> list[str]:
@@ -65,9 +66,18 @@ def _with_stats(df: DataFrame, stats: list[Column]) -> DataFrame:
 
 
 def impute(df: DataFrame, columns: Sequence[str], how: str = "mean") -> DataFrame:
-    """Nulls become the column's mean, median, or mode (the least of equals)."""
-    of = {"mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, True)}[how]
-    wide = _with_stats(df, [of(F.col(c)).alias(f"_s{i}") for i, c in enumerate(columns)])
+    """Nulls become the column's mean, median, or mode (the least of equals); a column of nulls stays."""
+    if how == "median":
+        found = quantiles(df, columns, [0.5])
+        return df.select(*[F.coalesce(c, F.lit(found[c][1][0])).alias(c) if c in columns and c in found else F.col(c) for c in df.columns])
+    if how == "mode":
+        counts = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("s"), F.col(c).cast("double").alias("d")) for i, c in enumerate(columns)])).alias("x"))
+        counts = counts.select("x.*").filter("s IS NOT NULL").groupBy("i", "s", "d").agg(F.count("*").alias("n"))
+        best = counts.groupBy("i").agg(F.min_by("s", F.struct((-F.col("n")).alias("n"), "d", "s")).alias("s")).collect()
+        kinds = dict(df.dtypes)
+        of_column = {columns[r.i]: F.lit(r.s).cast(kinds[columns[r.i]]) for r in best}
+        return df.select(*[F.coalesce(c, of_column[c]).alias(c) if c in of_column else F.col(c) for c in df.columns])
+    wide = _with_stats(df, [F.avg(F.col(c)).alias(f"_s{i}") for i, c in enumerate(columns)])
     at = {c: f"_s{i}" for i, c in enumerate(columns)}
     return wide.select(*[F.coalesce(c, at[c]).alias(c) if c in at else F.col(c) for c in df.columns])
 
@@ -105,19 +115,27 @@ def regularise(df: DataFrame, columns: Sequence[str], scale: str = "z") -> DataF
     return scaled.select(*[F.col(c).cast("float").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def outliers(df: DataFrame, column: str, z_range: float = 1.64, mode: str = "inner", value: float | None = None) -> DataFrame:
-    """Adds ``z``; beyond ``z_range`` on either side rows get ``value``, go (``drop``) or move to the inner range's ends (``inner``)."""
-    c = F.col(column)
-    z = F.try_divide(c - F.col("_m"), F.col("_d"))
-    wide = _with_stats(df, [F.avg(column).alias("_m"), F.stddev_samp(column).alias("_d")]).withColumn("z", z)
+def outliers(df: DataFrame, column: str, z_range: float = 1.64, mode: str = "inner", value: float | None = None, plus: float | None = None, minus: float | None = None, two_sided: bool = True) -> DataFrame:
+    """Adds ``z``, the distance from the mean in deviations, and handles the rows far from it.
+
+    * ``value``: beyond ``z_range`` on either side rows get ``value``, or, where ``plus`` or ``minus`` is given, only above
+      that z or below minus that one; a null z counts as beyond, as for a condition that does not hold;
+    * ``drop``: rows beyond ``z_range`` or without a z go; not ``two_sided``: only low ones;
+    * ``inner``: they move to the inner range's ends; not ``two_sided``: only high ones.
+    """
+    c, z = F.col(column), F.col("z")
+    wide = _with_stats(df, [F.avg(column).alias("_m"), F.stddev_samp(column).alias("_d")]).withColumn("z", F.try_divide(c - F.col("_m"), F.col("_d")))
     if mode == "drop":
-        return wide.filter(F.abs("z") < z_range).select(*df.columns, "z")
+        stays = F.abs(z) <= z_range if two_sided else z >= -z_range
+        return wide.filter(stays).select(*df.columns, "z")
     if mode == "value":
-        new = F.when(F.abs("z") >= z_range, F.lit(value)).otherwise(c)
+        limits = (z_range, z_range) if plus is None and minus is None else (plus, minus)
+        stays = (F.lit(True) if limits[0] is None else z <= limits[0]) & (F.lit(True) if limits[1] is None else z >= -limits[1])
+        new = F.when(stays, c).otherwise(F.lit(value))
     else:
-        inside = F.abs(F.col("z")) < z_range
+        inside = F.abs(z) <= z_range
         wide = wide.crossJoin(F.broadcast(wide.agg(F.max(F.when(inside, c)).alias("_hi"), F.min(F.when(inside, c)).alias("_lo"))))
-        new = F.when(F.col("z") >= z_range, F.col("_hi")).when(F.col("z") <= -z_range, F.col("_lo")).otherwise(c)
+        new = F.when(z > z_range, F.col("_hi")).when((z < -z_range) & F.lit(two_sided), F.col("_lo")).otherwise(c)
     return wide.select(*[new.alias(x) if x == column else F.col(x) for x in df.columns], "z")
 
 

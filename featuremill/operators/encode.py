@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_name
 from .aggregate import by_name
+from .ranges import numbered, quantiles
 
 
 def code_table(df: DataFrame, column: str, start: int = 0) -> DataFrame:
-    """(value, code): sorted distinct non-null values, numbered. One task numbers the distinct values, not the rows."""
+    """(value, code): sorted distinct non-null values, numbered by ranges."""
     values = df.select(F.col(column).alias("value")).filter("value IS NOT NULL").distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1 + start)
+    return numbered(values, ["value"], "code").withColumn("code", F.col("code") - 1 + start)
 
 
 def apply_codes(df: DataFrame, column: str, codes: DataFrame, name: str, unseen: int = -1) -> DataFrame:
@@ -31,7 +32,7 @@ def label_encode(df: DataFrame, column: str) -> DataFrame:
 def ordinal_codes(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
     """(value, code): 1 to k by first appearance in ``order``."""
     first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(F.struct(*order)).alias("_o"))
-    return first.select("value", F.row_number().over(Window.orderBy("_o")).alias("code"))
+    return numbered(first, ["_o"], "code").select("value", "code")
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None, most: int = 1000, prefix: str = "dummie_") -> DataFrame:
@@ -80,7 +81,8 @@ def quantile_bin(c: Column, edges: Sequence[float]) -> Column:
 
 
 def edges(df: DataFrame, column: str, bins: int) -> list[float]:
-    return df.agg(F.percentile(column, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).first()[0] or []
+    """The column's exact quantiles at 0, 1 / bins, …, 1."""
+    return quantiles(df, [column], [k / bins for k in range(bins + 1)]).get(column, (0, []))[1]
 
 
 def target_bins(df: DataFrame, category: str, target: str, bins: int) -> DataFrame:
@@ -91,10 +93,9 @@ def target_bins(df: DataFrame, category: str, target: str, bins: int) -> DataFra
 
 
 def numeric_bins(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
-    """``bin{bins}_{column}`` beside each column that has ``bins`` distinct values or more; edges in one aggregate."""
-    q = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    one = df.agg(*[x for i, c in enumerate(columns) for x in (F.percentile(c, q).alias(f"e{i}"), F.count_distinct(c).alias(f"n{i}"))]).first()
-    made = [quantile_bin(F.col(c), one[2 * i]).alias(f"bin{bins}_{c}") for i, c in enumerate(columns) if one[2 * i + 1] >= bins]
+    """``bin{bins}_{column}`` beside each column that has ``bins`` distinct values or more; the edges of all in one go."""
+    found = quantiles(df, columns, [k / bins for k in range(bins + 1)])
+    made = [quantile_bin(F.col(c), found[c][1]).alias(f"bin{bins}_{c}") for c in columns if c in found and found[c][0] >= bins]
     return df.select("*", *made)
 
 

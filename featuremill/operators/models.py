@@ -16,6 +16,7 @@ from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, R
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .metrics import auc
 
 SEED = 1208
@@ -81,7 +82,7 @@ class CrossValidated:
 def cross_validate(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], kind: str = "logistic", stops: Sequence[float] = (), seed: int = SEED, **params) -> CrossValidated:
     """A model per fold: score (AUC, or minus RMSE for regressions), out-of-fold predictions, the test rows' mean
     prediction (test: target null), importances. ``stops``: least cumulative scores; below one, no further folds."""
-    rows = assembled(df.select(key, target, fold, *[f"`{c}`" for c in columns]), columns)
+    rows = stored(assembled(df.select(key, target, fold, *[f"`{c}`" for c in columns]), columns), "model-rows")
     train, test = rows.filter(F.col(target).isNotNull()), rows.filter(F.col(target).isNull())
     scores, oofs, tests, gains = [], [], [], []
     for k in sorted(r[0] for r in train.select(fold).filter(F.col(fold).isNotNull()).distinct().collect()):
@@ -168,3 +169,18 @@ def clusters(df: DataFrame, columns: Sequence[str], k: int = 10, seed: int = SEE
     """``cluster`` beside each row."""
     rows = assembled(df, columns)
     return KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed).fit(rows).transform(rows).drop("_x")
+
+
+def demote_by_chunks(df: DataFrame, key: str, target: str, fold: str, candidates: Sequence[str], ranks: Sequence[int], chunk: int = 1000, kind: str = "forest", **params) -> list[tuple[int, list[str], float, list[str]]]:
+    """(chunk number, its columns, mean score, kept columns) of each chunk of sorted ``candidates``.
+
+    A chunk is scored once per rank in turn: columns beyond the rank, by mean importance and then name, go."""
+    names, out = sorted(candidates), []
+    for at in range(0, len(names), chunk):
+        kept, score = names[at : at + chunk], float("-inf")
+        for rank in ranks:
+            cv = cross_validate(df, key, target, fold, kept, kind, **params)
+            score, gains = cv.mean, {r.feature: r.importance for r in cv.importance.collect()}
+            kept = sorted(sorted(kept, key=lambda c: (-gains.get(c, 0.0), c))[:rank])
+        out.append((at // chunk, names[at : at + chunk], score, kept))
+    return out

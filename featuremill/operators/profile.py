@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .cleanse import numerics, strings
+from .ranges import quantiles_by
 
 
 def kinds(df: DataFrame) -> dict[str, list[str]]:
@@ -125,8 +127,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: Sequence[str] = ()
 
 
 def five_numbers(df: DataFrame, by: str, column: str) -> DataFrame:
-    p = F.percentile(column, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return df.groupBy(by).agg(p.alias("p")).select(by, *[F.col("p")[i].alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
+    found = quantiles_by(df, by, column, (0.0, 0.25, 0.5, 0.75, 1.0))
+    return found.select(by, *[F.col(f"q{i}").alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
 
 
 def narrowed(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
@@ -148,3 +150,39 @@ def unusable(train: DataFrame, test: DataFrame) -> list[str]:
     rest = [c for c in test.columns if c not in dates and c in train.columns]
     n = test.agg(*[F.count_distinct(c).alias(f"n{i}") for i, c in enumerate(rest)]).first()
     return sorted({*dates, *[c for i, c in enumerate(rest) if n[i] <= 1]})
+
+
+def types(df: DataFrame) -> DataFrame:
+    """(column, kind, n): the type of each column and how many values it has."""
+    kinds_of = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
+    return long_aggregate(df, df.columns, {"n": F.count}).select("column", kinds_of[F.col("column")].alias("kind"), "n")
+
+
+def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column: type, nulls, distinct values and infinities."""
+    inf, kind = float("inf"), dict(df.dtypes)
+    real = {c for c in columns if kind[c] in ("double", "float")}
+    stats = {
+        "nulls": lambda c: F.count_if(c.isNull()),
+        "n_distinct": F.count_distinct,
+        "pos_inf": lambda c: F.count_if(c == inf),
+        "neg_inf": lambda c: F.count_if(c == -inf),
+    }
+    rest = [c for c in columns if c not in real]
+    parts = [long_aggregate(df, sorted(real, key=list(columns).index), stats)] if real else []
+    parts += [long_aggregate(df, rest, {"nulls": stats["nulls"], "n_distinct": stats["n_distinct"]}).withColumns({"pos_inf": F.lit(0).cast("long"), "neg_inf": F.lit(0).cast("long")})] if rest else []
+    named = F.create_map(*[F.lit(x) for c in columns for x in (c, kind[c])])
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.select("column", named[F.col("column")].alias("data_type"), *stats)
+
+
+def top_lists(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
+    """Per column the ``n`` most frequent values, their counts and ratios, as lists in order."""
+    rows = top_values(df, columns, n).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("place", "value", "n", "ratio"))).alias("x"))
+    return rows.select("column", F.col("x.value").alias("top_values"), F.col("x.n").alias("top_counts"), F.col("x.ratio").alias("top_ratios"))
+
+
+def dictionary(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, length of its name, distinct values) over several tables."""
+    parts = [long_aggregate(df, df.columns, {"n_distinct": F.count_distinct}).select(F.lit(name).alias("table"), "column", F.length("column").cast("long").alias("length"), "n_distinct") for name, df in tables.items()]
+    return reduce(DataFrame.union, parts)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,16 +36,34 @@ def weighted_average(df: DataFrame, level: Sequence[str], value: str, rate: floa
     )
 
 
-def lagged_weighted_average(df: DataFrame, level: Sequence[str], value: str, rate: float, date: str, lag: int) -> DataFrame:
-    """At each row, the weighted average of the group's rows that end ``lag`` rows before it."""
-    w = Window.partitionBy(*level).orderBy(date)
-    past = w.rowsBetween(Window.unboundedPreceding, -lag)
-    day = F.datediff(date, F.lit("1970-01-01"))
-    # weights relative to a fixed day cancel in the quotient; the row's own day keeps them in range
-    pairs = F.collect_list(F.struct(day.alias("d"), F.col(value).alias("v"))).over(past)
-    top = F.aggregate("_p", F.lit(0.0), lambda a, x: a + F.coalesce(x["v"] * F.pow(F.lit(rate), F.col("_d") - x["d"]), F.lit(0.0)))
-    low = F.aggregate("_p", F.lit(0.0), lambda a, x: a + F.when(x["v"].isNotNull(), F.pow(F.lit(rate), F.col("_d") - x["d"])).otherwise(0.0))
-    return df.withColumn("_d", day).withColumn("_p", pairs).withColumn(f"{value}_wg{rate}_lag{lag}", F.try_divide(top, low)).drop("_p", "_d")
+def lagged_weighted_average(df: DataFrame, level: Sequence[str], value: str, rate: float, date: str, lag: int, name: str | None = None) -> DataFrame:
+    """At each row, the weighted average of the group's rows that end ``lag`` rows before it.
+
+    Two running sums with weights relative to the group's first day, which cancel in the quotient. Groups that last longer
+    than such weights can tell (about 700 / -ln rate days) raise."""
+    group = Window.partitionBy(*level)
+    past = group.orderBy(date).rowsBetween(Window.unboundedPreceding, -lag)
+    days = F.datediff(date, F.min(date).over(group))
+    if rate != 1:
+        most = int(700 / abs(math.log(rate)))
+        days = F.when(days <= most, days).otherwise(F.raise_error(F.lit(f"a group lasts longer than {most} days")).cast("int"))
+    weight = F.pow(F.lit(rate), -F.col("_days"))
+    top, low = F.sum(F.col(value) * weight).over(past), F.sum(F.when(F.col(value).isNotNull(), weight)).over(past)
+    return df.withColumn("_days", days).withColumn(name or f"{value}_wg{rate}_lag{lag}", F.try_divide(top, low)).drop("_days")
+
+
+def segment_averages(df: DataFrame, calendar: DataFrame, entity: str, date: str, value: str, segment: str, special: Column, rate: float, lag: int) -> DataFrame:
+    """(entity, date, average) for each row of ``calendar`` (entity, date) that is an ordinary day of ``df``.
+
+    Per segment (say, the weekday): the values of ``special`` days are null, though the days count as rows; each row gets
+    the weighted average of the entity's rows up to it, ``lag`` rows back. Special rows go afterwards; what is null gets the
+    entity's mean in the segment; segments are stacked and met with the calendar."""
+    name = f"{value}_wg{rate}_avg@{entity}"
+    rows = df.select(entity, date, segment, F.coalesce(special, F.lit(False)).alias("_special"), F.when(~F.coalesce(special, F.lit(False)), F.col(value)).alias(value))
+    made = lagged_weighted_average(rows, [entity, segment], value, rate, date, lag, name).filter("NOT _special")
+    mean = F.avg(f"`{name}`").over(Window.partitionBy(entity, segment))
+    filled = made.select(entity, date, F.coalesce(F.col(f"`{name}`"), mean).alias(name))
+    return calendar.select(entity, date).distinct().join(filled, [entity, date])
 
 
 def time_holdout(df: DataFrame, date: str, cut: str) -> DataFrame:

@@ -134,14 +134,12 @@ def j03(t):
 
 @query("j10_combinations_made", f"SELECT x, y, z, (EXISTS (SELECT 1 FROM {IMPORTANCE} i WHERE contains(i.feature, x) AND contains(i.feature, y) AND contains(i.feature, z)))::INT AS made FROM (SELECT unnest(['1', '2']) AS x), (SELECT unnest(['33', '44']) AS y), (SELECT unnest(['_5', '_9']) AS z)")
 def j10(t):
-    names = lambda *v: t.spark.createDataFrame([(x,) for x in v], "name string")
-    return assemble.combinations_made([names("1", "2"), names("33", "44"), names("_5", "_9")], _importance(t).select("feature"))
+    return assemble.combinations_made([["1", "2"], ["33", "44"], ["_5", "_9"]], _importance(t).select("feature"))
 
 
 @query("j11_column_usage", f"SELECT p_brand AS dataset, c AS \"column\", count(DISTINCT feature) AS n FROM {IMPORTANCE}, (SELECT unnest(['11', '7', '300']) AS c) WHERE contains(feature, c) GROUP BY 1, 2")
 def j11(t):
-    cols = t.spark.createDataFrame([("11",), ("7",), ("300",), ("7",)], "`column` string")
-    return assemble.column_usage(_importance(t).select("feature", F.col("p_brand").alias("dataset")), cols)
+    return assemble.column_usage(_importance(t).select("feature", F.col("p_brand").alias("dataset")), ["11", "7", "300", "7"])
 
 
 @query("k01_sorted", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
@@ -187,9 +185,14 @@ def m06(t):
     return t("orders").select("o_orderkey", F.round("o_totalprice", 1).alias("r1"), F.round(F.col("o_totalprice") / 7, 3).alias("r3"))
 
 
-@query("m07_display_decimals", "SELECT p_partkey, CASE WHEN w >= 100 THEN 0 WHEN w >= 10 THEN 1 WHEN w >= 1 THEN 2 ELSE 3 END::INT AS decimals FROM (SELECT p_partkey, abs(p_size - p_retailprice / 50) AS w FROM part)")
+@query("m07_display_decimals", """
+SELECT p_partkey, CASE WHEN i > 1 THEN CASE WHEN right(s, 1) = '0' THEN CASE WHEN width > 10 THEN 0 ELSE 2 END ELSE 1 END WHEN length(s) - i - 1 > 3 THEN 3 ELSE 2 END::INT AS decimals, 0 AS whole
+FROM (SELECT p_partkey, v::VARCHAR AS s, length(trunc(v)::BIGINT::VARCHAR) AS i, trunc(p_size - 20.0)::BIGINT AS width
+  FROM (SELECT p_partkey, p_size, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice WHEN p_partkey % 3 = 1 THEN p_size / 64.0::DOUBLE ELSE p_size::DOUBLE END AS v FROM part))""")
 def m07(t):
-    return t("part").select("p_partkey", fn.display_decimals(F.col("p_retailprice"), F.col("p_retailprice") / 50, F.col("p_size")).alias("decimals"))
+    key, size = F.col("p_partkey"), F.col("p_size").cast("double")
+    v = F.when(key % 3 == 0, F.col("p_retailprice")).when(key % 3 == 1, size / 64).otherwise(size)
+    return t("part").select("p_partkey", fn.display_decimals(v, F.lit(20.0), size).alias("decimals"), fn.display_decimals(F.col("p_size"), F.lit(0), F.lit(0), whole=True).alias("whole"))
 
 
 @query("x05_half_width", "SELECT p_partkey, p_size::VARCHAR AS size FROM part")
@@ -238,13 +241,12 @@ def sf6(t):
 
 @query("f04_not_containing", f"SELECT feature FROM {IMPORTANCE} WHERE NOT contains(feature, '1') AND NOT contains(feature, '5')")
 def f04(t):
-    return assemble.not_containing(_registry(t), t.spark.createDataFrame([("1",), ("5",)], "part string")).select("feature")
+    return assemble.not_containing(_registry(t), ["1", "5"]).select("feature")
 
 
 @query("f05_first_per_combination", f"SELECT x, y, min(feature) AS feature FROM {IMPORTANCE}, (SELECT unnest(['1', '2']) AS x), (SELECT unnest(['4', '6']) AS y) WHERE contains(feature, x) AND contains(feature, y) AND contains(feature, '9') GROUP BY 1, 2")
 def f05(t):
-    grid = t.spark.createDataFrame([(x, y) for x in "12" for y in "46"], "x string, y string")
-    return assemble.first_per_combination(grid, _registry(t).select("feature"), "9")
+    return assemble.first_per_combination(["1", "2"], ["4", "6"], _registry(t).select("feature"), "9")
 
 
 @query("f06_correlation_groups")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import safe_name
+from ..operators.ranges import numbered
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -33,29 +35,65 @@ def read_parts(spark: SparkSession, pattern: str, columns: Sequence[str] | None
 
 
 def save_features(df: DataFrame, key: str, target: str, path: str, ignore: Sequence[str] = ()) -> DataFrame:
-    """Keyed float features, split by ``is_train``, one folder each, left alone if there; returns registry rows."""
+    """Keyed float features, split by ``is_train``, a folder each below ``path``; those that are there are left alone. One
+    scan writes all. Returns registry rows (feature, path)."""
     names = [c for c in df.columns if c not in (key, target, *ignore)]
-    for c in names:
-        part = df.select(key, F.col(f"`{c}`").cast("float").alias("value"), F.col(target).isNotNull().cast("int").alias("is_train"))
-        part.write.mode("ignore").partitionBy("is_train").parquet(f"{path}/{safe_name(c)}")
-    return df.sparkSession.createDataFrame([(c, f"{path}/{safe_name(c)}") for c in names], "feature string, path string")
+    there = {f.removeprefix("feature=") for f in _folders(df.sparkSession, path)}
+    new = [c for c in names if safe_name(c) not in there]
+    if new:
+        values = F.array(*[F.struct(F.lit(safe_name(c)).alias("feature"), F.col(f"`{c}`").cast("float").alias("value")) for c in new])
+        long = df.select(key, F.col(target).isNotNull().cast("int").alias("is_train"), F.explode(values).alias("x")).select(key, "x.value", "x.feature", "is_train")
+        # whole partitions of a feature, split where they are large
+        long.hint("rebalance", "feature").write.mode("append").partitionBy("feature", "is_train").parquet(path)
+    return df.sparkSession.createDataFrame([(c, path) for c in names], "feature string, path string")
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
 
 
 def load_features(spark: SparkSession, registry: DataFrame, key: str) -> DataFrame:
-    """The registered features (a bounded list) beside the key: long, then one pivot, so that one shuffle joins all."""
+    """The registered features (a bounded list of names) beside the key: one pruned scan a store, one pivot."""
     rows = registry.collect()
-    long = [spark.read.parquet(r.path).select(key, F.lit(r.feature).alias("_f"), "value") for r in rows]
-    out = long[0]
-    for part in long[1:]:
-        out = out.union(part)
-    return out.groupBy(key).pivot("_f", [r.feature for r in rows]).agg(F.first("value"))
+    stores: dict[str, list[str]] = {}
+    for r in rows:
+        stores.setdefault(r.path, []).append(safe_name(r.feature))
+    parts = [spark.read.option("basePath", p).parquet(p).filter(F.col("feature").isin(names)).select(key, F.col("feature").cast("string").alias("feature"), "value") for p, names in stores.items()]
+    wide = reduce(DataFrame.union, parts).groupBy(key).pivot("feature", [safe_name(r.feature) for r in rows]).agg(F.first("value"))
+    return wide.select(key, *[F.col(f"`{safe_name(r.feature)}`").alias(r.feature) for r in rows])
 
 
-def select_named(df: DataFrame, key: str, marker: str = "@", prefix: str = "", only: Sequence[str] | None = None) -> DataFrame:
-    names = [c for c in df.columns if marker in c and (only is None or c in only)]
+def select_named(df: DataFrame, key: str, marker: str = "@", prefix: str = "", only: Sequence[str] | None = None, ignore: Sequence[str] = ()) -> DataFrame:
+    """The key and the columns with ``marker`` in their names, all but ``ignore`` or ``only`` some; names made safe and prefixed."""
+    names = [c for c in df.columns if marker in c and (only is None or c in only) and c not in (key, *ignore)]
     return df.select(key, *[F.col(f"`{c}`").alias(prefix + safe_name(c)) for c in names])
 
 
+def create_database(spark: SparkSession, name: str) -> None:
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+
+
+def schema_of(columns: Sequence[tuple[str, str, bool]]) -> StructType:
+    """(name, type, whether null is allowed) of each column."""
+    return StructType.fromDDL(", ".join(f"`{name}` {kind}{'' if nullable else ' NOT NULL'}" for name, kind, nullable in columns))
+
+
+def insert_csv(spark: SparkSession, path: str, name: str, schema: StructType, header: bool = True) -> None:
+    """Append the CSV files at ``path`` to a table; with ``header`` each file's first row is skipped."""
+    spark.read.csv(path, header=header, schema=schema).write.mode("append").saveAsTable(name)
+
+
+def list_tables(spark: SparkSession, database: str, prefix: str = "") -> list[str]:
+    return sorted(t.name for t in spark.catalog.listTables(database) if t.name.startswith(prefix))
+
+
+def drop_database(spark: SparkSession, name: str) -> None:
+    """With all its tables."""
+    spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
 def create_table(spark: SparkSession, name: str, schema: StructType) -> None:
     spark.createDataFrame([], schema).write.mode("ignore").saveAsTable(name)
 
@@ -79,7 +117,7 @@ def with_column(df: DataFrame, name: str, kind: str) -> DataFrame:
 
 
 def drop_tables(spark: SparkSession, database: str, prefix: str) -> list[str]:
-    names = sorted(t.name for t in spark.catalog.listTables(database) if t.name.startswith(prefix))
+    names = list_tables(spark, database, prefix)
     for n in names:
         spark.sql(f"DROP TABLE {database}.{n}")
     return names
@@ -92,8 +130,7 @@ def ffm_lines(df: DataFrame, target: str, numbers: Sequence[str], categories: Se
     for c in categories:
         part = df.select(F.lit(fields[c]).alias("field"), F.col(c).alias("value")).filter("value IS NOT NULL").distinct()
         codes = part if codes is None else codes.union(part)
-    # distinct values, not rows, pass through this window
-    codes = codes.withColumn("code", F.row_number().over(Window.orderBy("field", "value")) - 1 + len(numbers))
+    codes = numbered(codes, ["field", "value"], "code").withColumn("code", F.col("code") - 1 + len(numbers))
     out = df
     for c in categories:
         own = codes.filter(F.col("field") == fields[c]).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))

@@ -109,12 +109,11 @@ def test_models(spark):
 
 def test_registry_helpers(spark):
     feats = spark.createDataFrame([("sum_price_by_day", "d1"), ("mean_size", "d1")], "feature string, dataset string")
-    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
-    made = {(r.x, r.y, r.z): r.made for r in assemble.combinations_made([names("sum", "mean"), names("price"), names("day")], feats).collect()}
+    made = {(r.x, r.y, r.z): r.made for r in assemble.combinations_made([["sum", "mean"], ["price"], ["day"]], feats).collect()}
     assert made == {("sum", "price", "day"): 1, ("mean", "price", "day"): 0}
-    usage = assemble.column_usage(feats, spark.createDataFrame([("price",), ("size",), ("price",)], "column string")).collect()
+    usage = assemble.column_usage(feats, ["price", "size", "price"]).collect()
     assert {(r.column, r.n) for r in usage} == {("price", 1), ("size", 1)}
-    assert [r.feature for r in assemble.not_containing(feats, spark.createDataFrame([("size",)], "part string")).collect()] == ["sum_price_by_day"]
+    assert [r.feature for r in assemble.not_containing(feats, ["size"]).collect()] == ["sum_price_by_day"]
     pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.5), ("a", "c", None)], "a string, b string, r double")
     assert assemble.correlation_groups(pairs, 2)[0] == ["a", "b"]
 
@@ -126,3 +125,56 @@ def test_stream_counts(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("SELECT sum(n) AS n FROM counts").first().n == src.count()
+
+
+def test_ranges_against_plain_python(spark):
+    """Running sums, numbers, quantiles, AUC and Gini with scores that are nearly all distinct, ties, nulls and few rows."""
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from featuremill.operators import metrics
+    from featuremill.operators.ranges import numbered, quantiles, quantiles_by
+
+    rng = random.Random(4)
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice([None, rng.random(), round(rng.random(), 1), 0.5]), int(rng.random() < 0.4)) for k in range(700)]
+    df = spark.createDataFrame(rows, "id long, g string, s double, y int")
+    got = sorted((r.n, r.id) for r in numbered(df, [F.asc_nulls_last("s"), "id"], "n").collect())
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[0]))]
+    assert got == [(i + 1, k) for i, k in enumerate(want)]
+    ps = [0.0, 0.1, 0.5, 0.77, 1.0]
+    values = [r[2] for r in rows if r[2] is not None]
+    n, qs = quantiles(df, ["s", "id"], ps)["s"]
+    assert n == len(set(values)) and np.allclose(qs, np.quantile(values, ps))
+    for r in quantiles_by(df, "g", "s", ps).collect():
+        own = [x[2] for x in rows if x[1] == r.g and x[2] is not None]
+        assert np.allclose([r[f"q{i}"] for i in range(5)], np.quantile(own, ps))
+    pairs = [(x[2], x[3]) for x in rows if x[2] is not None]
+    pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+    auc = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg))
+    assert abs(metrics.auc(df, "y", "s").first().auc - auc) < 1e-12
+    best = metrics.best_f1(df, "y", "s").first()
+    f1 = lambda t: 2 * sum(p >= t for p in pos) / (sum(s >= t for s, _ in pairs) + len(pos))
+    assert abs(best.f1 - max(map(f1, {s for s, _ in pairs}))) < 1e-12 and abs(f1(best.threshold) - best.f1) < 1e-12
+
+    def gini(t):
+        parts = [[y for s, y in pairs if s < t], [y for s, y in pairs if s >= t]]
+        return sum(len(p) / len(pairs) * (1 - (sum(p) / len(p)) ** 2 - (1 - sum(p) / len(p)) ** 2) for p in parts)
+
+    split = metrics.best_split(df.filter("s IS NOT NULL"), ["s"], "y").first()
+    assert abs(split.impurity - min(gini(t) for t in {s for s, _ in pairs} - {min(s for s, _ in pairs)})) < 1e-12
+    nothing = df.limit(0)
+    assert numbered(nothing, ["id"], "n").count() == 0 and quantiles(nothing, ["s"], ps) == {} and metrics.auc(nothing, "y", "s").first().auc is None
+
+
+def test_features_are_saved_once(spark, tmp_path):
+    from featuremill.sources import tables
+
+    df = spark.createDataFrame([(1, 0, 1.5, None), (2, None, 2.5, 3.0)], "id long, target int, `a.b` double, c double")
+    path = f"file://{tmp_path}/store"
+    tables.save_features(df.drop("c"), "id", "target", path)
+    registry = tables.save_features(df, "id", "target", path)
+    rows = {r.id: (r["a.b"], r.c) for r in tables.load_features(spark, registry, "id").collect()}
+    assert rows == {1: (1.5, None), 2: (2.5, 3.0)}
+    assert spark.read.parquet(path).count() == 4
