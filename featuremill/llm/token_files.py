@@ -6,13 +6,14 @@ consecutive ranges of ``doc_id``; the base of each shard (tokens and documents b
 the per-shard counts in the manifest, so that no shard has to know another one while it is written.
 
 Defined cases: a null text counts as empty (only the end id is written); null ids sort first and come back as
-null; equal ids keep one entry per row, ordered by text; an empty table gives an empty manifest; further columns
-are ignored. A rerun task writes the same bytes to a name of its own and renames it, so lost executors and
+null; equal ids keep one entry per row, ordered by a hash of the text, then the text; an empty table gives an empty
+manifest; further columns are ignored. A rerun task writes the same bytes to a name of its own and renames it, so lost executors and
 speculative attempts do no harm.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -31,8 +32,12 @@ from .common import table, work_dir
 
 #: Entries a worker keeps of word -> ids.
 CACHE_WORDS = 900_000
-#: Chunks of more characters are not kept.
-LONG_CHUNK = 100
+#: Chunks of more characters are not kept; characters of the longest text that is encoded whole as a check.
+LONG_CHUNK, CHECKED = 100, 20_000
+#: Bytes of input for each shard, at least as many shards as the session has shuffle partitions; documents read at a time.
+SHARD_BYTES, PART = 64 << 20, 8192
+# Fixed value: the pieces of the word-level tokenizer.
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MANIFEST = "shard int, n_docs long, n_null_ids long, n_tokens long, width int, name string"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
 
@@ -40,8 +45,9 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
 class WordEncoder:
     """Whole texts to id bytes, through the tokenizers library.
 
-    The tokenizer's pieces never reach across a space or a line end, so a text's ids are its chunks' ids in turn;
-    each new chunk is encoded once by the library and kept in a bounded table.
+    Where the tokenizer lower-cases and drops white space between pieces (its file says so), a text's ids are the ids of
+    its chunks between spaces in turn; each new chunk is encoded once by the library and kept in a bounded table.
+    With any other tokenizer the library gets the whole texts. The first text of each worker is encoded both ways.
     """
 
     def __init__(self, tokenizer_path: str, width: int):
@@ -52,10 +58,26 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if width == 2 else "<u4")
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self.chunked = drops_spaces(json.load(f))
+        self.checked = not self.chunked
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
     def __call__(self, text: str) -> bytes:
+        if not self.chunked:
+            return self.whole(text)
+        data = self._by_chunks(text)
+        if not self.checked and " " in text and len(text) <= CHECKED:
+            if data != self.whole(text):
+                raise ValueError("the tokenizer does not encode chunks on their own")
+            self.checked = True
+        return data
+
+    def _by_chunks(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
         missing = set(chunks).difference(self.new)
         if missing:
@@ -75,7 +97,6 @@ class WordEncoder:
                 del self.new[c]
         return data
 
-
     def _learn(self, fresh: list[str]) -> None:
         """Adds ``fresh`` chunks; the library gets each stem once.
 
@@ -94,6 +115,18 @@ class WordEncoder:
                 del self.new[p]
 
 
+def drops_spaces(spec: dict) -> bool:
+    """Whether a tokenizer's file says that texts are lower-cased, and that pieces are the ``WORD_PIECES`` alone."""
+    parts = lambda x, key: (x.get(key) or [x]) if x else []
+    normal = [n["type"] for n in parts(spec.get("normalizer"), "normalizers")]
+    split = parts(spec.get("pre_tokenizer"), "pretokenizers")
+    if "Lowercase" not in normal or set(normal) - {"NFC", "Replace", "Lowercase"} or [p["type"] for p in split] != ["Split", "ByteLevel"]:
+        return False
+    first, second = split
+    own = first["pattern"].get("Regex") == WORD_PIECES and first["behavior"] == "Removed" and first["invert"]
+    return own and not second["add_prefix_space"] and not second["use_regex"] and not any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in spec["added_tokens"])
+
+
 def _stem(chunk: str) -> tuple[str, str]:
     if not chunk.isascii() or "<|" in chunk:
         return chunk, ""
@@ -160,11 +193,13 @@ def _write_shard(path: str, tokenizer_path: str, end_id: int, width: int):
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, shards: int | None = None) -> DataFrame:
     """Write ``docs`` (doc_id, text) below ``path``; returns the manifest: one row per shard with its bases.
 
-    ``shards`` (default: the session's shuffle partitions) is the number of files; the range exchange by
-    ``doc_id`` is the only shuffle of texts.
+    ``shards`` (default: by ``SHARD_BYTES`` of the input's estimated size, the session's shuffle partitions at least) is the
+    number of files; the range exchange by ``doc_id`` is the only shuffle of texts.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    by_size = -(-size // SHARD_BYTES) if size < 1 << 55 else 0  # Spark's estimate of the unknown is above
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), by_size)
     width = id_width(tokenizer_path, end_id)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keys = ["doc_id", F.xxhash64("text")]
@@ -179,30 +214,44 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     return spark.read.schema(based.schema).parquet(f"{path}/_manifest")
 
 
-def open_shard(path: str, name: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, offsets, document ids) of one shard, memory-mapped where ``path`` is a local one."""
-    fs, root = _store(path)
+class Shard:
+    """One shard's ``bin`` (ids), ``idx`` (offsets) and ``doc`` (document ids): mapped where the path is local, else read by ranges."""
 
-    def load(kind: str, dtype: str) -> np.ndarray:
+    def __init__(self, path: str, name: str, width: int):
+        fs, root = _store(path)
+        self.types = {"bin": np.dtype(f"<u{width}"), "idx": np.dtype("<i8"), "doc": np.dtype("<i8")}
+        files = {kind: f"{root}/{name}.{kind}" for kind in self.types}
+        self.mapped, self.open = {}, {}
         if isinstance(fs, pafs.LocalFileSystem):
-            file = f"{root}/{name}.{kind}"
-            return np.memmap(file, dtype=dtype, mode="r") if os.path.getsize(file) else np.zeros(0, dtype)
-        with fs.open_input_file(f"{root}/{name}.{kind}") as f:
-            return np.frombuffer(f.read(), dtype=dtype)
+            self.mapped = {k: np.memmap(f, dtype=self.types[k], mode="r") if os.path.getsize(f) else np.zeros(0, self.types[k]) for k, f in files.items()}
+        else:
+            self.open = {k: fs.open_input_file(f) for k, f in files.items()}
+
+    def part(self, kind: str, start: int, stop: int) -> np.ndarray:
+        if kind in self.mapped:
+            return self.mapped[kind][start:stop]
+        size = self.types[kind].itemsize
+        return np.frombuffer(self.open[kind].read_at((stop - start) * size, start * size), dtype=self.types[kind])
 
-    return load("bin", f"<u{width}"), load("idx", "<i8"), load("doc", "<i8")
+
+def open_shard(path: str, name: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, offsets, document ids) of one shard on a local path, memory-mapped."""
+    shard = Shard(path, name, width)
+    return shard.mapped["bin"], shard.mapped["idx"], shard.mapped["doc"]
 
 
 def _read_shards(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
-            ids, offsets, docs = open_shard(path, row["name"], row["width"])
-            for at in range(0, len(docs), 8192):
-                ends = offsets[at : at + 8193]
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                n = len(crc)
-                null = np.arange(at, at + n) < row["n_null_ids"]
-                columns = [pa.array(docs[at : at + n], mask=null), pa.array(ends[:-1] + row["base_token"]), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), pa.array([row["shard"]] * n, pa.int32())]
+            shard = Shard(path, row["name"], row["width"])
+            for at in range(0, row["n_docs"], PART):
+                upto = min(at + PART, row["n_docs"])
+                ends, docs = shard.part("idx", at, upto + 1), shard.part("doc", at, upto)
+                first = int(ends[0])
+                ids = shard.part("bin", first, int(ends[-1]))
+                crc = [zlib.crc32(ids[a - first : b - first].astype("<u4").tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                null = np.arange(at, upto) < row["n_null_ids"]
+                columns = [pa.array(docs, mask=null), pa.array(ends[:-1] + row["base_token"]), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), pa.array([row["shard"]] * len(crc), pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in READ.split(", ")])
 
     return run
@@ -210,7 +259,7 @@ def _read_shards(path: str):
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32, shard."""
-    manifest = spark.read.parquet(f"{path}/_manifest").select("shard", "n_null_ids", "width", "name", "base_token")
+    manifest = spark.read.parquet(f"{path}/_manifest").select("shard", "n_docs", "n_null_ids", "width", "name", "base_token")
     return manifest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").mapInArrow(_read_shards(path), READ)
 
 

@@ -135,3 +135,35 @@ def test_token_files_of_nothing(spark):
     path = work_dir(spark, "t")
     assert write_token_files(spark.createDataFrame([], "doc_id long, text string"), path, WORD).count() == 0
     assert read_token_files(spark, path).count() == 0
+
+
+def test_token_files_of_another_tokenizer(spark):
+    """A tokenizer whose pieces hold their space gets whole texts, and its ids are the library's."""
+    rows = [(k, t) for k, t in enumerate(["hello world again", "a  b c", None, "Ünder the\n sea"])]
+    path = work_dir(spark, "t")
+    write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, BYTE, end_id=50256, shards=2)
+    library = Tokenizer.from_file(BYTE)
+    want = {i: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 50256], "<u4").tobytes()) for i, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in read_token_files(spark, path).collect()} == want
+    from featuremill.llm.token_files import drops_spaces
+    import json
+
+    assert drops_spaces(json.load(open(WORD))) and not drops_spaces(json.load(open(BYTE)))
+
+
+def test_shards_are_read_by_ranges(spark, monkeypatch):
+    from featuremill.llm import token_files
+
+    rows = [(k, f"word{k} and more") for k in range(50)]
+    path = work_dir(spark, "t")
+    manifest = write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, WORD, shards=2).collect()
+    fs, root = token_files._store(path)
+
+    far = token_files.pafs.SubTreeFileSystem("/", fs)  # a store that is not the local one itself
+    monkeypatch.setattr(token_files, "_store", lambda path: (far, root))
+    for m in manifest:
+        shard = token_files.Shard(path, m.name, m.width)
+        assert not shard.mapped
+        whole = np.fromfile(f"{root}/{m.name}.bin", f"<u{m.width}")
+        ends = shard.part("idx", 0, m.n_docs + 1)
+        assert ends[-1] == len(whole) and (shard.part("bin", int(ends[1]), int(ends[3])) == whole[ends[1] : ends[3]]).all()
