@@ -1,22 +1,28 @@
-"""Substring dedup by a seeded join of window hashes over all documents, instead of relative Lempel-Ziv parsing.
+"""Substring dedup by relative Lempel-Ziv parsing against an index of all documents.
 
-A factor is a run of words of a document that can be copied from elsewhere in the corpus. The index holds every
-window of ``SPAN`` words that may occur twice; a document is factored greedily from the left: a factor starts at the
-first window that the index knows from elsewhere and grows by a word as long as the window that ends with that word
-is known, too. Such a parse against one block at a time would miss the windows that begin in one factor's source and
-end in the next one's, so the windows across each factor boundary are looked up like all others. Factors of
-``SPAN`` words and more are the duplicate spans.
+Every document is a reference block: a factor is a run of words of a document that a block holds at some place, written
+(block, position, length). The index holds every window of ``SPAN`` words that occurs twice, with the least place and the
+largest one where it stands, so that each occurrence has a place elsewhere. A document is parsed greedily from the left:
+a factor starts at the first window that the index knows, copies from that window's place, and grows by a word as long as
+the window that ends with that word is known at the following position of the same block; where it is known in another
+place, the next factor begins. Windows across such a boundary are in the index like all others, so none is missed: a
+factor's window may reach back into the words of the one before it. Words that a factor covers are the duplicate spans.
+
+Following every block's own longest match would need all places of a window, which are as many as its copies; one place
+elsewhere tells the same words, as a word goes if any window that covers it occurs elsewhere.
 
 Rows with the same text are indexed once: all their windows occur elsewhere. Three steps keep the index small for the
 others. (1) Every window picks its least hashed ``SEED``-word seed; windows with equal
 words pick equal seeds, so that a window can only occur twice if its seed is chosen at two places. About one word in
-fifteen is a chosen seed; seeds are counted by a grouped sum. (2) Documents with repeated seeds emit the 96-bit hashes
-of the windows that picked those seeds; hashes met twice are joined back to their places. (3) Places are gathered per
-document and the document is parsed. Common passages are counted before any shuffle and joined from written tables,
-where Spark splits skewed keys; no step holds more than one document's places together.
+fifteen is a chosen seed; seeds are counted by a grouped sum. (2) Documents with repeated seeds emit the 128-bit hashes
+of the windows that picked those seeds, two polynomials over two independent hashes of each word; hashes met twice are
+joined back to their places. (3) Places are gathered per document and the document is parsed. Common passages are
+counted before any shuffle and joined from written tables, where Spark splits skewed keys; no step holds more than one
+document's places together.
 
 Defined cases: null text has no words; documents of fewer than ``SPAN`` words keep everything; equal rows are two
-documents and lose their windows both; null ids are kept; an empty table gives an empty result.
+documents and lose their windows both; null ids are kept; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -61,6 +67,10 @@ def _hashes(ws: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))
 
 
+def _other_hashes(ws: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, ws), np.uint64, len(ws))
+
+
 def seeds(h: np.ndarray, span: int = SPAN, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(the seed picked by each window, the seeds at all places that some window picks) for word hashes ``h``."""
     grams = _rolled(h, seed, _BASES[0]) * np.uint64(0xFF51AFD7ED558CCD)
@@ -92,24 +102,43 @@ def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k, (text, known) in enumerate(zip(batch.column(2), batch.column(3))):
-            h = _hashes(_words(text.as_py()))
+            ws = _words(text.as_py())
+            h = _hashes(ws)
             at = np.flatnonzero(np.isin(seeds(h)[0], np.asarray(known.values.to_numpy(zero_copy_only=False)).view(np.uint64)))
             if not len(at):
                 continue
-            a, b = (_rolled(h, SPAN, base)[at] for base in _BASES)
+            a, b = (_rolled(x, SPAN, base)[at] for x, base in zip((h, _other_hashes(ws)), _BASES))
             owner = pa.array(np.full(len(at), k))
-            columns = [pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at.astype(np.int32)), batch.column(4).take(owner)]
+            columns = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at.astype(np.int32)), batch.column(4).take(owner)]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "mark", "at", "copied"])
 
 
-def factors(known: np.ndarray, span: int = SPAN) -> list[tuple[int, int]]:
-    """Greedy factors (start, length) from the places of the windows that the index knows from elsewhere."""
-    if not len(known):
-        return []
-    known = np.sort(known)
-    first = np.flatnonzero(np.concatenate([[True], np.diff(known) > span]))
-    last = np.concatenate([first[1:] - 1, [len(known) - 1]])
-    return [(int(s), int(e) - int(s) + span) for s, e in zip(known[first], known[last])]
+Factor = tuple[int | None, int, int, int]
+
+
+def factors(places: list[tuple[int, int | None, int]], span: int = SPAN) -> list[Factor]:
+    """(block, position in it, start, length) of the greedy factors; ``places``: (start, block, position there) of the known windows."""
+    out: list[Factor] = []
+    for at, block, position in sorted(places, key=lambda p: p[0]):
+        if out:
+            b, p, s, n = out[-1]
+            # the last window of the factor before starts one word earlier, here and in the block
+            if b == block and at == s + n - span + 1 and position == p + n - span + 1:
+                out[-1] = (b, p, s, n + 1)
+                continue
+        out.append((block, position, at, span))
+    return out
+
+
+def covered(found: list[Factor]) -> list[tuple[int, int]]:
+    """(start, length) of the runs of words that the factors cover."""
+    out: list[tuple[int, int]] = []
+    for _, _, s, n in found:
+        if out and s <= sum(out[-1]):
+            out[-1] = (out[-1][0], max(sum(out[-1]), s + n) - out[-1][0])
+        else:
+            out.append((s, n))
+    return out
 
 
 def copied_texts(rows: DataFrame) -> DataFrame:
@@ -119,7 +148,7 @@ def copied_texts(rows: DataFrame) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """(doc_id, mark, places): per document with repeats, the starts of its windows that occur elsewhere, too.
+    """(doc_id, mark, places): per document with repeats, its windows that occur elsewhere, too: (at, block, position).
 
     All windows of a copied text do; one row of each such text stands for them in the index and needs no places."""
     joined = rows.join(sized(copies, copies.count()), ["x", "mark"], "left")
@@ -131,53 +160,63 @@ def repeated_windows(rows: DataFrame, copies: DataFrame) -> DataFrame:
     drop(found)
     o = owned.select(F.col("doc_id").alias("o_id"), F.col("mark").alias("o_mark"), "known")
     seen = rows.join(o, rows.doc_id.eqNullSafe(o.o_id) & (rows.mark == o.o_mark)).select("doc_id", "mark", "text", "known", "copied")
-    windows = written(seen.mapInArrow(_emit_windows, "a long, b int, doc_id long, mark int, at int, copied boolean"), "windows")
+    windows = written(seen.mapInArrow(_emit_windows, "a long, b long, doc_id long, mark int, at int, copied boolean"), "windows")
     drop(owned)
-    twice = windows.groupBy("a", "b").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("n")).filter("n > 1").select("a", "b")
-    twice = written(twice, "twice")
-    places = windows.filter(~F.col("copied")).select("a", "b", "doc_id", "mark", "at").join(twice, ["a", "b"], "left_semi")
-    places = written(places.select("doc_id", "mark", "at"), "places")
+    place = F.struct("doc_id", "mark", "at")
+    twice = windows.groupBy("a", "b").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("n"), F.min(place).alias("least"), F.max(place).alias("last"))
+    twice = written(twice.filter("n > 1").select("a", "b", "least", "last"), "twice")
+    places = windows.filter(~F.col("copied")).join(twice, ["a", "b"])
+    other = F.when(place.eqNullSafe(F.col("least")), F.col("last")).otherwise(F.col("least"))
+    places = places.select("doc_id", "mark", "at", other.alias("o"))
+    places = written(places.select("doc_id", "mark", "at", F.col("o.doc_id").alias("block"), F.col("o.at").alias("position")), "places")
     drop(windows)
-    out = written(places.groupBy("doc_id", "mark").agg(F.collect_set("at").alias("places")), "factors")
+    drop(twice)
+    out = written(places.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "block", "position")).alias("places")), "factors")
     drop(places)
     return out
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<array<int>>"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, factors array<struct<block:long,position:int,start:int,length:int>>"
+_FACTOR = pa.struct([("block", pa.int64()), ("position", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
 
 
 def _parse(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, places, copied in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist()):
+            for doc_id, text, places, copied, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 ws = _words(text.as_py())
-                spans = factors(np.asarray(places.values.to_numpy(zero_copy_only=False))) if places.is_valid else []
+                found: list[Factor] = []
                 if copied and len(ws) >= SPAN:
-                    spans = [(0, len(ws))]
+                    found = [(first, 0, 0, len(ws))]
+                elif places.is_valid:
+                    found = factors(list(zip(*(x.to_pylist() for x in places.values.flatten()))))
                 keep, at = [], 0
-                for s, n in spans:
+                for s, n in covered(found):
                     keep += ws[at:s]
                     at = s + n
                 keep += ws[at:]
                 kept = b" ".join(keep)
                 row = {"doc_id": doc_id, "n_words": len(ws), "n_removed": len(ws) - len(keep), "kept_sha256": hashlib.sha256(kept).hexdigest()}
-                out.append(row | ({"kept": kept.decode(), "spans": spans} if full else {}))
+                out.append(row | ({"kept": kept.decode(), "factors": [dict(zip(("block", "position", "start", "length"), f)) for f in found]} if full else {}))
             schema = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-            schema += [("kept", pa.string()), ("spans", pa.list_(pa.list_(pa.int32())))] * full
+            schema += [("kept", pa.string()), ("factors", pa.list_(_FACTOR))] * full
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(schema))
 
     return run
 
 
 def dedup_substrings(docs: DataFrame, full: bool = True) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256; with ``full`` also the kept text and the removed factors."""
+    """Per row: doc_id, n_words, n_removed, kept_sha256; with ``full`` also the kept text and the factors.
+
+    A factor's block is the doc_id of the row that holds its words at ``position``. A copied text is one factor, of the
+    text's least doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), F.xxhash64("text").alias("x"), "text")
     copies = copied_texts(rows)
     found = repeated_windows(rows, copies).select(F.col("doc_id").alias("p_id"), F.col("mark").alias("p_mark"), "places")
     joined = rows.join(found, rows.doc_id.eqNullSafe(found.p_id) & (rows.mark == found.p_mark), "left").select("doc_id", "x", "mark", "text", "places")
-    marked = joined.join(sized(copies.select("x", "mark", F.lit(True).alias("copied")), copies.count()), ["x", "mark"], "left")
-    return marked.select("doc_id", "text", "places", "copied").mapInArrow(_parse(full), RESULT if full else RESULT.split(", kept string")[0])
+    marked = joined.join(sized(copies.select("x", "mark", F.lit(True).alias("copied"), "first"), copies.count()), ["x", "mark"], "left")
+    return marked.select("doc_id", "text", "places", "copied", "first").mapInArrow(_parse(full), RESULT if full else RESULT.split(", kept string")[0])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

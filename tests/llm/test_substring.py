@@ -4,7 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
-from featuremill.llm.substring_dedup import SPAN, dedup_substrings, factors
+from featuremill.llm.substring_dedup import SPAN, covered, dedup_substrings, factors
 
 
 def brute(rows):
@@ -47,9 +47,34 @@ def test_equal_rows_and_nothing(spark):
     assert dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_factors_are_greedy_runs():
-    import numpy as np
+def test_factors_are_greedy_copies_of_their_blocks():
+    assert factors([]) == []
+    # at 5 the window is known elsewhere than where the one before would go on: a boundary, whose window is looked up, too
+    assert factors([(4, 7, 1), (3, 7, 0), (5, 9, 40), (100, 9, 0)]) == [(7, 0, 3, 36), (9, 40, 5, 35), (9, 0, 100, 35)]
+    assert covered(factors([(4, 7, 1), (3, 7, 0), (5, 9, 40), (100, 9, 0)])) == [(3, 37), (100, 35)]
+    assert covered([(1, 0, 0, 35), (1, 0, 36, 35)]) == [(0, 35), (36, 35)]
 
-    assert factors(np.array([], int)) == []
-    assert factors(np.array([5, 3, 4, 100, 134])) == [(3, 37), (100, 69)]
-    assert factors(np.array([0, 36])) == [(0, 35), (36, 35)]
+
+def test_factors_hold_the_words_of_their_blocks(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("xyz")
+    passages = [[word() for _ in range(n)] for n in (40, 90, 200)]
+    rows = []
+    for k in range(30):
+        ws = []
+        for _ in range(rng.randrange(4)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p) // 2)
+            ws += [word() for _ in range(rng.randrange(30))] + p[a : a + rng.randrange(35, 120)]
+        rows.append((k, " ".join(ws)))
+    rows += [(50, rows[3][1]), (51, " ".join(passages[2] * 2))]
+    words = {i: t.split() for i, t in rows}
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n = 0
+    for r in got:
+        for f in r.factors:
+            assert f.length >= SPAN and words[r.doc_id][f.start : f.start + f.length] == words[f.block][f.position : f.position + f.length]
+            assert (f.block, f.position) != (r.doc_id, f.start) or words[50] == words[r.doc_id]
+            n += 1
+        assert sum(length for _, length in covered([(f.block, f.position, f.start, f.length) for f in r.factors])) == r.n_removed
+    assert n > 20
