@@ -37,11 +37,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, sized, table, written
+from .sieve import Sieve
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSE, REMOVE = 0.8, 0.95
-#: Bits of a sieve (as a power of two); words that a worker holds at a time.
-SIEVE_BITS, HELD_WORDS = 26, 300_000
+#: Words that a worker holds at a time.
+HELD_WORDS = 300_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -159,26 +160,6 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "terms"])
 
 
-class Sieve:
-    """A Bloom filter of 64-bit hashes with ``2**SIEVE_BITS`` bits, whatever it holds.
-
-    It only spares rows the shuffle: what passes is joined exactly, so a full sieve costs time and no result. The bits
-    are gathered by a grouped ``bit_or`` into ``2**(SIEVE_BITS - 6)`` numbers at most.
-    """
-
-    def __init__(self, hashes: DataFrame):
-        self.width, self.mask = SIEVE_BITS, (1 << SIEVE_BITS) - 1
-        h = F.col(hashes.columns[0])
-        bit = F.explode(F.array(h.bitwiseAND(F.lit(self.mask)), F.shiftright(h, self.width).bitwiseAND(F.lit(self.mask)))).alias("bit")
-        slots = hashes.select(bit).groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-        self.bits = np.zeros(1 << self.width - 6, np.int64)
-        self.bits[slots.column(0).to_numpy()] = slots.column(1).to_numpy()
-
-    def passes(self, h: np.ndarray) -> np.ndarray:
-        a, b = h & self.mask, h >> self.width & self.mask
-        return ((self.bits[a >> 6] >> (a & 63)) & (self.bits[b >> 6] >> (b & 63)) & 1).astype(bool)
-
-
 def _counts(texts: DataFrame, copied: Broadcast, wanted: Broadcast) -> DataFrame:
     """(h, n): in how many of ``texts`` (mark, text), but for copied ones, each of the wanted terms is."""
 

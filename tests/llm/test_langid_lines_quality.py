@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from featuremill.llm.common import work_dir
-from featuremill.llm.decontaminate import Block, contaminated, edit_search, words
+from featuremill.llm.decontaminate import RATE, contaminated, edit_search, words
 from featuremill.llm.langid import forward_backward, held_out, identify
 from featuremill.llm.line_dedup import MIN_WORDS, dedup_lines
 from featuremill.llm.quality import base_features, quality_verdicts
@@ -140,14 +140,50 @@ def test_decontamination_recall_and_exactness(spark):
         want[k] = item
     rows += [(500, None), (501, ""), (502, " ".join(rng.choice(vocabulary) for _ in range(3000)))]
     docs = spark.createDataFrame([(i, t, 3) for i, t in rows], "doc_id long, text string, distance int")
-    bench = spark.createDataFrame([*items, (900, None), (901, "too short"), (None, "no id has this item here")], "item_id long, text string")
+    bench = spark.createDataFrame([*items, (900, None), (901, "!?"), (None, "no id has this item here")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.distance for r in contaminated(docs, bench).collect()}
     assert sum((k, i) in got for k, i in want.items()) >= 0.98 * len(want)
     text, item = dict(rows), {i: words(t) for i, t in items}
     for (d, i), distance in got.items():
         assert edit_search(item[i], words(text[d])) == distance <= 0.2 * len(item[i])
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
-    assert Block([]).windows(["a", "b", "c"]) == []
+
+
+@pytest.mark.parametrize("most", [256, 1])
+def test_decontamination_against_all_pairs(spark, monkeypatch, most):
+    """Items of one word and more, common runs, repeated items and rows; with too few repetitions all windows are verified."""
+    from featuremill.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "MOST_REPETITIONS", most)
+    rng = random.Random(16)
+    word = lambda: "w" + str(int(rng.paretovariate(0.8)) % 400)
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 5, 6, 7, 9, 10, 15, 20, 31, 40, 40])]
+    items += [(50, items[-1][1]), (51, "rare one"), (51, "rare one"), (51, "other text of the same id here")]
+    rows = []
+    for k in range(160):
+        ws = [word() for _ in range(rng.randrange(40))]
+        for _ in range(rng.randrange(3)):
+            own = words(rng.choice(items)[1])
+            for _ in range(rng.randrange(int(RATE * len(own)) + 2)):
+                i = rng.randrange(len(own))
+                own[i : i + 1] = rng.choice([["zz"], ["zz", own[i]], []])
+                own = own or ["zz"]
+            at = rng.randrange(len(ws) + 1)
+            ws[at:at] = own
+        rows.append((k, " ".join(ws)))
+    rows += [rows[0], (None, rows[1][1]), (900, None)]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.item_id, r.n_words, r.distance) for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    want = []
+    for d, t in rows:
+        for i, x in sorted(set(items)):
+            own = words(x)
+            e = edit_search(own, words(t))
+            if e <= int(RATE * len(own)):
+                want.append((d if d is not None else -1, i, len(own), e))
+    if most == 1:
+        assert got == sorted(want)
+    else:
+        assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
 
 
 def test_shard_store(spark):

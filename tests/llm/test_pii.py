@@ -69,14 +69,14 @@ def test_terms_of_an_entity_in_one_text(spark):
 
 
 def test_terms_far_from_the_entity_and_in_other_documents(spark, monkeypatch):
-    from featuremill.llm import pii
+    from featuremill.llm import sieve
 
     rows = [(k, f"some common words stand in every letter about the weather {k}") for k in range(1500)]
     far = "Bo Quillfeather " + "some common words " * 20 + "two@only.org"
     rows += [(5000, far), (5001, "the letter says Quillfeather and some words"), (None, far)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for bits in (pii.SIEVE_BITS, 8):
-        monkeypatch.setattr(pii, "SIEVE_BITS", bits)
+    for bits in (sieve.SIEVE_BITS, 8):
+        monkeypatch.setattr(sieve, "SIEVE_BITS", bits)
         got = {r.doc_id: r for r in find_personal_data(docs).collect()}
         marked = {k: [(rows[1500 + i][1][x.start : x.end], x.start) for x in got[k].terms] for i, k in enumerate((5000, 5001, None))}
         assert marked == {5000: [("Bo", 0), ("Quillfeather", 3)], None: [("Bo", 0), ("Quillfeather", 3)], 5001: [("Quillfeather", 16)]}
