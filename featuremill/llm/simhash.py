@@ -156,6 +156,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
     ids = written(linked.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     named = linked.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
     own = written(classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
+    for gone in (classes, roots, linked, ids):
+        drop(gone)
     return found.join(own, "fp").select("doc_id", "fp", "component_id")
 
 
