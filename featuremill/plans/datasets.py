@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fn
 from ..operators import aggregate, assemble, cleanse, datasets, encode, folds, metrics, models, profile, series
 from ..sources import tables
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from .catalog import query, r4, rounded
 from .features import AUC, CENTS, DAILY, PRED, _daily, _importance, _model_rows, _predictions
 from .tables_and_quality import LINES, _customers, _gaps
@@ -348,8 +348,6 @@ def io11(t):
 
 def _read_and_dropped(t, out, names):
     """The rows of ``out``, stored before its catalog tables go."""
-    from ..sources.scratch import stored
-
     kept = stored(out, "rows")
     for n in names:
         t.spark.sql(f"DROP TABLE {n}")
@@ -364,8 +362,6 @@ def io16(t):
         tables.append_table(t("nation"), f"{base}.{n}")
     names = tables.list_tables(t.spark, base)
     rows = [t.spark.table(f"{base}.{n}").agg(F.lit(n).alias("name"), F.count("*").alias("n_rows")) for n in names]
-    from ..sources.scratch import stored
-
     kept = stored(assemble.union_all(rows), "rows")
     tables.drop_tables(t.spark, base, "part_")
     left = tables.list_tables(t.spark, base) != ["keep_nation"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fn
 from ..operators import aggregate, assemble, cleanse, encode, folds, metrics, models, profile
 from ..sources import tables
-from ..sources.scratch import scratch
+from ..sources.scratch import scratch, stored
 from .catalog import query, r4, rounded
 from .features import IMPORTANCE, PRED, _importance, _model_rows, _predictions, _registry
 from .tables_and_quality import BASE, LINES, _customers, _gaps
@@ -58,7 +58,9 @@ def io13(t):
     tables.create_table(t.spark, name, df.schema)
     tables.append_table(df, name)
     tables.append_table(df.filter("o_orderstatus = 'P'"), name)
-    return tables.table_from_query(t.spark, f"{name}_q", f"SELECT o_orderstatus, count(*) AS n FROM {name} GROUP BY o_orderstatus")
+    made = stored(tables.table_from_query(t.spark, f"{name}_q", f"SELECT o_orderstatus, count(*) AS n FROM {name} GROUP BY o_orderstatus"), "rows")
+    tables.drop_tables(t.spark, "default", name)
+    return made
 
 
 @query("io19_appended_batches", "SELECT s_suppkey, s_name FROM supplier")

@@ -86,7 +86,7 @@ def insert_csv(spark: SparkSession, path: str, name: str, schema: StructType, he
 
 
 def list_tables(spark: SparkSession, database: str, prefix: str = "") -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables(database) if t.name.startswith(prefix))
+    return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary and t.name.startswith(prefix))
 
 
 def drop_database(spark: SparkSession, name: str) -> None:

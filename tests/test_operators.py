@@ -178,3 +178,22 @@ def test_features_are_saved_once(spark, tmp_path):
     rows = {r.id: (r["a.b"], r.c) for r in tables.load_features(spark, registry, "id").collect()}
     assert rows == {1: (1.5, None), 2: (2.5, 3.0)}
     assert spark.read.parquet(path).count() == 4
+
+
+def test_stream_trailing(spark, tmp_path):
+    """The stream's windows against the same windows over the whole table, by plain pandas."""
+    import pandas as pd
+
+    from featuremill.streaming.features import trailing_stream
+
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "event_type", "value")
+    src.write.parquet(f"file://{tmp_path}/in")
+    stream = trailing_stream(spark.readStream.schema(src.schema).parquet(f"file://{tmp_path}/in"), "ts", ["event_type"], "value", 3)
+    q = stream.writeStream.outputMode("complete").format("memory").queryName("trailing").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    rows = src.toPandas()
+    got = {(r.until, r.event_type): (r.n, r.low, r.high) for r in spark.sql("SELECT until, event_type, `count` AS n, `min` AS low, `max` AS high FROM trailing").collect()}
+    assert got
+    for (until, kind), found in got.items():
+        own = rows[(rows.event_type == kind) & (rows.ts < pd.Timestamp(until)) & (rows.ts >= pd.Timestamp(until) - pd.Timedelta(days=3))].value
+        assert found == (len(own), own.min(), own.max())
