@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows`` rows at most, so that a task holds few texts at a time as Python's own."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def sized(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` of ``rows`` narrow rows: broadcast up to ``most`` of them, else left to a join that shuffles."""
     return F.broadcast(df) if rows <= most else df

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import table
+from .common import parts, table
 
 #: Documents of a language in the sample, characters of the longest one in it, training sequences of a language, and the
 #: languages learned at most (the most frequent ones): together they bound what the fit reads and takes.
@@ -291,9 +291,9 @@ def label(docs: DataFrame, crf: Crf | None) -> DataFrame:
         if key not in _predictors:
             _predictors.clear()
             _predictors[key] = Predictor(shared.value)
-        for batch in batches:
-            found = list(zip(*_predictors[key]([t or "" for t in batch.column(at).to_pylist()]))) or [[], []]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        for part in parts(batches):
+            found = list(zip(*_predictors[key]([t or "" for t in part.column(at).to_pylist()]))) or [[], []]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
     schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(run, schema)
