@@ -128,6 +128,13 @@ def contains_groups(c: Column, groups: Sequence[Sequence[str]]) -> Column:
     return reduce(lambda a, b: a | b, each, F.lit(False))
 
 
+def page_list(url: Column, pages: int, part: str = "list") -> Column:
+    """The addresses of pages 1 to ``pages`` of a paginated list: what stands before ``{part}/<number>/`` in ``url``, or the
+    whole of it, with each number in turn."""
+    base = F.regexp_replace(url, rf"/?{part}/[0-9]+/.*$", "")
+    return F.transform(F.sequence(F.lit(1), F.lit(pages)), lambda n: F.concat(base, F.lit(f"/{part}/"), n.cast("string"), F.lit("/")))
+
+
 # ---- dates ----------------------------------------------------------------------------------------------------------
 def days_between(a: Column, b: Column) -> Column:
     """Whole days from ``b`` to ``a``, rounded down."""

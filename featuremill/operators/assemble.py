@@ -80,6 +80,18 @@ def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
 
 
+def counts_of_top(parts: dict[str, DataFrame], column: str, n: int, alphabetic: bool = False) -> DataFrame:
+    """(value, place, a count per frame): the ``n`` most frequent values of the first frame, in the order of their counts
+    there or of the alphabet, with their counts in each frame side by side."""
+    first = next(iter(parts.values()))
+    top = top_values(first.filter(F.col(column).isNotNull()), column, n)
+    out = numbered(top, [column] if alphabetic else [F.desc("n"), column], "place").select(column, "place")
+    for name, df in parts.items():
+        counts = df.join(F.broadcast(top.select(column)), column, "left_semi").groupBy(column).agg(F.count("*").alias(name))
+        out = out.join(counts, column, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
 def select_features(importance: DataFrame, rank: int | None = None, gain: float | None = None) -> DataFrame:
     out = importance if rank is None else importance.filter(F.col("rank") <= rank)
     return out if gain is None else out.filter(F.col("importance") >= gain)

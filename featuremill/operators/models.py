@@ -158,11 +158,11 @@ def forward_selection(df: DataFrame, key: str, target: str, fold: str, start: Se
     return kept, best
 
 
-def random_decrease(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], batch: int, rounds: int, kind: str = "logistic", seed: int = SEED) -> list[tuple[float, list[str]]]:
+def random_decrease(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], batch: int, rounds: int, kind: str = "logistic", seed: int = SEED, **params) -> list[tuple[float, list[str]]]:
     """(score, columns) of random drops of ``batch`` columns, best first."""
     rng = random.Random(seed)
     tried = [sorted(set(columns) - set(rng.sample(sorted(columns), min(batch, len(columns) - 1)))) for _ in range(rounds)]
-    return sorted(((cross_validate(df, key, target, fold, c, kind).mean, c) for c in tried), key=lambda x: -x[0])
+    return sorted(((cross_validate(df, key, target, fold, c, kind, **params).mean, c) for c in tried), key=lambda x: -x[0])
 
 
 def clusters(df: DataFrame, columns: Sequence[str], k: int = 10, seed: int = SEED) -> DataFrame:

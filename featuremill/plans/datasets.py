@@ -401,10 +401,71 @@ def ud05(t):
 
 @query("f09_chunks")
 def f09(t):
-    found = models.demote_by_chunks(_model_rows(t), "c_custkey", "target", "valid_no", ["total", "n", "c_nationkey"], [1], chunk=2, numTrees=3, maxDepth=3)
+    found = models.demote_by_chunks(_model_rows(t), "c_custkey", "target", "valid_no", ["total", "n", "c_nationkey"], [1], chunk=2, numTrees=2, maxDepth=2)
     return t.spark.createDataFrame([(k, ",".join(names), score, ",".join(kept)) for k, names, score, kept in found], "chunk int, features string, score double, kept string")
 
 
+# What a fit gives differs between engines; which rows it gives, and in which range, does not.
+EVERY, TESTED = "SELECT c_custkey, true AS in_range FROM customer", "SELECT c_custkey, true AS in_range FROM customer WHERE c_custkey % 5 = 0"
+
+
+def _in_range(df, key="c_custkey", column="prediction", low=0.0, high=1.0):
+    return df.select(key, F.col(column).between(low, high).alias("in_range"))
+
+
+@query("ml03_rows", EVERY)
+def ml03(t):
+    cv = models.cross_validate(_model_rows(t), "c_custkey", "target", "valid_no", ["total", "n"], "logistic", maxIter=5)
+    return _in_range(models.stacked(cv, "c_custkey"))
+
+
+@query("ml05_rows", TESTED)
+def ml05(t):
+    return _in_range(models.train_predict(_model_rows(t), "c_custkey", "target", ["total", "n"], "forest", numTrees=3, maxDepth=3))
+
+
+@query("ml06_rows", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'")
+def ml06(t):
+    rows = t("orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("c"), (F.col("o_orderdate") >= "2000-01-01").cast("int").alias("val_label"))
+    return models.time_predict(rows, "o_orderkey", "o_totalprice", ["c"]).filter("prediction IS NOT NULL").select("o_orderkey", "o_totalprice")
+
+
+@query("ml09_rows", "SELECT unnest(['c_nationkey', 'n', 'total']) AS feature, true AS in_range FROM (SELECT count(*) FROM customer)")
+def ml09(t):
+    found = models.cross_validate(_model_rows(t), "c_custkey", "target", "valid_no", ["total", "n", "c_nationkey"], "forest", numTrees=3, maxDepth=3).importance
+    return _in_range(found, "feature", "importance")
+
+
+@query("ml12_rows", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 2 THEN l_extendedprice END AS known, true AS filled FROM lineitem")
+def ml12(t):
+    lines = t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", F.xxhash64("*")).alias("key"), "l_orderkey", "l_linenumber", F.expr("CASE WHEN l_linenumber <> 2 THEN l_extendedprice END").alias("price"), "l_quantity", (F.col("l_orderkey") % 2).cast("int").alias("fold"))
+    out = models.impute_by_model(lines, "key", "price", ["l_quantity"], "fold", -1e9)
+    return out.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 2, F.col("price")).alias("known"), F.col("price").isNotNull().alias("filled"))
+
+
+@query("ml16_rows", EVERY)
+def ml16(t):
+    return _in_range(models.clusters(_model_rows(t).select("c_custkey", "total", "n"), ["total", "n"], 5), column="cluster", high=4)
+
+
+@query("f07_rows", "SELECT 2::BIGINT AS tries, 2::BIGINT AS features_each FROM (SELECT count(*) FROM customer)")
+def f07(t):
+    tried = models.random_decrease(_model_rows(t), "c_custkey", "target", "valid_no", ["total", "n", "c_nationkey"], 1, 2, maxIter=3)
+    return t("customer").agg(F.lit(len(tried)).cast("long").alias("tries"), F.lit(max(len(c) for _, c in tried)).cast("long").alias("features_each"))
+
+
+@query("f09_rows", "SELECT unnest([0, 1])::INT AS chunk, unnest([2, 1])::BIGINT AS tried, 1::BIGINT AS kept FROM (SELECT count(*) FROM customer)")
+def f09_rows(t):
+    found = models.demote_by_chunks(_model_rows(t), "c_custkey", "target", "valid_no", ["total", "n", "c_nationkey"], [1], chunk=2, numTrees=2, maxDepth=2)
+    return t.spark.createDataFrame([(k, len(names), len(kept)) for k, names, _, kept in found], "chunk int, tried long, kept long")
+
+
+@query("k03_two_frames", "WITH top AS (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12) SELECT o_custkey, row_number() OVER (ORDER BY o_custkey)::INT AS place, n AS finished, (SELECT count(*) FROM orders o WHERE o.o_custkey = top.o_custkey AND o_orderstatus = 'O') AS open FROM top")
+def k03(t):
+    o = t("orders")
+    return assemble.counts_of_top({"finished": o.filter("o_orderstatus = 'F'"), "open": o.filter("o_orderstatus = 'O'")}, "o_custkey", 12, alphabetic=True)
+
+
 @query("e08_crosses_of_three", "SELECT o_orderkey, o_orderstatus || '_' || o_orderpriority || '_' || (o_custkey % 2) AS crossed FROM orders")
 def e08(t):
     df = t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("o_custkey") % 2).cast("string").alias("even"))

@@ -312,7 +312,8 @@ def x10(t):
 
 @query("x11_page_lists", "SELECT page_id, url || '/list/' || n || '/' AS page FROM pages, range(1, 6) r(n)")
 def x11(t):
-    return t("pages").select("page_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n"), "url").select("page_id", F.concat("url", F.lit("/list/"), F.col("n").cast("string"), F.lit("/")).alias("page"))
+    url = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/list/3/?x=1"))).otherwise(F.col("url"))
+    return t("pages").select("page_id", F.explode(fn.page_list(url, 5)).alias("page"))
 
 
 @query("x12_key_groups", f"SELECT feature FROM {IMPORTANCE} WHERE (contains(feature, '1') AND contains(feature, '7')) OR contains(feature, '99')")
