@@ -10,7 +10,7 @@ import pytest
 
 from featuremill import plans
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
 
 
 def plain(v):
