@@ -136,6 +136,19 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, steps: np.ndarray)
     return p / p.sum(axis=1, keepdims=True)
 
 
+def gradients(scores: np.ndarray, starts: np.ndarray, steps: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-likelihood of the labels ``y`` (words, langs; one is 1): by each word's scores, and by the transitions.
+
+    Observed less expected counts, of labels and of pairs of successive labels."""
+    e, move, alpha, beta = messages(scores, starts, steps)
+    p = alpha * beta
+    p /= p.sum(axis=1, keepdims=True)
+    inner = np.setdiff1d(np.arange(len(scores)), starts[1:] - 1)  # words with a successor
+    pair = alpha[inner][:, :, None] * move[None] * (e * beta)[inner + 1][:, None, :]
+    pair /= pair.sum(axis=(1, 2), keepdims=True)
+    return y - p, y[inner].T @ y[inner + 1] - pair.sum(axis=0)
+
+
 def fit(texts: list[str], labels: list[str], seed: int = 0) -> Crf | None:
     """A CRF fitted to whole labelled texts; None without words."""
     rng = np.random.default_rng(seed)
@@ -187,21 +200,14 @@ def fit(texts: list[str], labels: list[str], seed: int = 0) -> Crf | None:
             words = np.array([vocabulary[w] for i in part for w in sequences[i]])
             y = eye[np.array([v for i in part for v in gold[i]])]
             f = known[words]
-            scores = crf.weights[f].sum(axis=1)
-            e, move, alpha, beta = messages(scores, starts, crf.steps)
-            p = alpha * beta
-            p /= p.sum(axis=1, keepdims=True)
-            inner = np.setdiff1d(np.arange(len(words)), starts[1:] - 1)  # words with a successor
-            pair = alpha[inner][:, :, None] * move[None] * (e * beta)[inner + 1][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            observed = y[inner].T @ y[inner + 1]
+            by_score, by_step = gradients(crf.weights[f].sum(axis=1), starts, crf.steps, y)
             grad = np.zeros_like(crf.weights)
-            np.add.at(grad, f, (y - p)[:, None, :])
+            np.add.at(grad, f, by_score[:, None, :])
             grad[0] = 0
             grad = grad / len(part) - DECAY * crf.weights
             square += grad * grad
             crf.weights += RATE * grad / np.sqrt(square)
-            g = (observed - pair.sum(axis=0)) / len(part) - DECAY * crf.steps
+            g = by_step / len(part) - DECAY * crf.steps
             square_steps += g * g
             crf.steps += RATE * g / np.sqrt(square_steps)
     crf.weights[0] = 0
