@@ -84,10 +84,17 @@ def q09(t):
     return df.drop(*flat, *profile.correlated(df, ["l_quantity", "l_tax", "twice"], 0.99))
 
 
-@query("q12_data_dictionary", "SELECT table_name AS \"table\", column_name AS \"column\", length(column_name)::BIGINT AS n FROM information_schema.columns WHERE table_name IN ('customer', 'orders', 'nation')")
+DICTIONARY = {
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+}
+
+
+@query("q12_data_dictionary", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {len(c)}::BIGINT AS n, count({c}) AS n_values FROM {t}" for t, cs in DICTIONARY.items() for c in cs))
 def q12(t):
-    rows = [(name, c, len(c)) for name in ("customer", "orders", "nation") for c in t(name).columns]
-    return t.spark.createDataFrame(rows, "`table` string, `column` string, n long").orderBy(F.desc("n"), "table", "column")
+    parts = [profile.long_aggregate(t(name), columns, {"n_values": F.count}).select(F.lit(name).alias("table"), "column", F.length("column").cast("long").alias("n"), "n_values") for name, columns in DICTIONARY.items()]
+    return assemble.union_all(parts).orderBy(F.desc("n"), "table", "column")
 
 
 @query("q22_unusable_columns", "SELECT unnest(['flat', 'o_orderdate']) AS \"column\" FROM (SELECT count(*) AS n FROM orders) WHERE n > 0")
