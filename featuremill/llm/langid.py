@@ -36,7 +36,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, SEQUENCES, LANGUAGES = 150, 1 << 17, 2000, 500
 BUCKETS, LEXICON, LONG_WORD = 1 << 16, 2000, 48
 SEQUENCE, BATCH, EPOCHS, RATE, DECAY = 32, 128, 4, 0.2, 1e-6
 #: Entries a worker keeps of word -> scores; characters and words handled at a time.
-CACHE_WORDS, GROUP_CHARS, GROUP_WORDS = 200_000, 1 << 21, 1 << 16
+CACHE_WORDS, GROUP_CHARS, GROUP_WORDS = 400_000, 1 << 22, 1 << 16
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -297,7 +297,7 @@ def label(docs: DataFrame, crf: Crf | None) -> DataFrame:
         if key not in _predictors:
             _predictors.clear()
             _predictors[key] = Predictor(shared.value)
-        for part in parts(batches):
+        for part in parts(batches, 4096):
             found = list(zip(*_predictors[key]([t or "" for t in part.column(at).to_pylist()]))) or [[], []]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
