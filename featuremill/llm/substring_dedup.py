@@ -2,7 +2,8 @@
 
 Every document is a reference block: a factor is a run of words of a document that a block holds at some place, written
 (block, position, length). The index holds every window of ``SPAN`` words that occurs twice, with the least place and the
-largest one where it stands, so that each occurrence has a place elsewhere. A document is parsed greedily from the left:
+largest one where it stands, so that each occurrence has a place elsewhere. A place is one number: the block's 40-bit key (a
+hash of id and text), then the position, up to ``MOST_AT`` (later ones are written as it). A document is parsed greedily from the left:
 a factor starts at the first window that the index knows, copies from that window's place, and grows by a word as long as
 the window that ends with that word is known at the following position of the same block; where it is known in another
 place, the next factor begins. Windows across such a boundary are in the index like all others, so none is missed: a
@@ -14,7 +15,7 @@ elsewhere tells the same words, as a word goes if any window that covers it occu
 Rows with the same text are indexed once: all their windows occur elsewhere. Three steps keep the index small for the
 others. (1) Every window picks its least hashed ``SEED``-word seed; windows with equal
 words pick equal seeds, so that a window can only occur twice if its seed is chosen at two places. About one word in
-fifteen is a chosen seed; seeds are counted by a grouped sum. (2) Documents with repeated seeds emit the 128-bit hashes
+fifteen is a chosen seed; seeds are counted by a grouped sum. (2) Documents with repeated seeds emit the 96-bit hashes
 of the windows that picked those seeds, two polynomials over two independent hashes of each word; hashes met twice are
 joined back to their places. (3) Places are gathered per document and the document is parsed. Common passages are
 counted before any shuffle and joined from written tables, where Spark splits skewed keys; no step holds more than one
@@ -33,12 +34,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, sized, table, written
 
 SPAN, SEED = 35, 8
+AT_BITS = 24
+MOST_AT = (1 << AT_BITS) - 1
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -109,17 +112,22 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             a, b = (_rolled(x, SPAN, base)[at] for x, base in zip((h, _other_hashes(ws)), _BASES))
             owner = pa.array(np.full(len(at), k))
-            columns = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at.astype(np.int32)), batch.column(4).take(owner)]
+            columns = [pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at.astype(np.int32)), batch.column(4).take(owner)]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "mark", "at", "copied"])
 
 
-Factor = tuple[int | None, int, int, int]
+Factor = tuple[int, int, int, int]
 
 
-def factors(places: list[tuple[int, int | None, int]], span: int = SPAN) -> list[Factor]:
-    """(block, position in it, start, length) of the greedy factors; ``places``: (start, block, position there) of the known windows."""
+def block_key(doc_id: Column, mark: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(doc_id, mark), AT_BITS)
+
+
+def factors(places: list[tuple[int, int]], span: int = SPAN) -> list[Factor]:
+    """(block, position in it, start, length) of the greedy factors; ``places``: (start, place elsewhere) of the known windows."""
     out: list[Factor] = []
-    for at, block, position in sorted(places, key=lambda p: p[0]):
+    for at, place in sorted(places):
+        block, position = place >> AT_BITS & (1 << 64 - AT_BITS) - 1, place & MOST_AT
         if out:
             b, p, s, n = out[-1]
             # the last window of the factor before starts one word earlier, here and in the block
@@ -148,7 +156,7 @@ def copied_texts(rows: DataFrame) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """(doc_id, mark, places): per document with repeats, its windows that occur elsewhere, too: (at, block, position).
+    """(doc_id, mark, places): per document with repeats, its windows that occur elsewhere, too: (at, place elsewhere).
 
     All windows of a copied text do; one row of each such text stands for them in the index and needs no places."""
     joined = rows.join(sized(copies, copies.count()), ["x", "mark"], "left")
@@ -160,23 +168,22 @@ def repeated_windows(rows: DataFrame, copies: DataFrame) -> DataFrame:
     drop(found)
     o = owned.select(F.col("doc_id").alias("o_id"), F.col("mark").alias("o_mark"), "known")
     seen = rows.join(o, rows.doc_id.eqNullSafe(o.o_id) & (rows.mark == o.o_mark)).select("doc_id", "mark", "text", "known", "copied")
-    windows = written(seen.mapInArrow(_emit_windows, "a long, b long, doc_id long, mark int, at int, copied boolean"), "windows")
+    windows = written(seen.mapInArrow(_emit_windows, "a long, b int, doc_id long, mark int, at int, copied boolean"), "windows")
     drop(owned)
-    place = F.struct("doc_id", "mark", "at")
+    place = F.shiftleft(block_key(F.col("doc_id"), F.col("mark")), AT_BITS).bitwiseOR(F.least("at", F.lit(MOST_AT)).cast("long"))
     twice = windows.groupBy("a", "b").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("n"), F.min(place).alias("least"), F.max(place).alias("last"))
     twice = written(twice.filter("n > 1").select("a", "b", "least", "last"), "twice")
     places = windows.filter(~F.col("copied")).join(twice, ["a", "b"])
-    other = F.when(place.eqNullSafe(F.col("least")), F.col("last")).otherwise(F.col("least"))
-    places = places.select("doc_id", "mark", "at", other.alias("o"))
-    places = written(places.select("doc_id", "mark", "at", F.col("o.doc_id").alias("block"), F.col("o.at").alias("position")), "places")
+    other = F.when(place == F.col("least"), F.col("last")).otherwise(F.col("least"))
+    places = written(places.select("doc_id", "mark", "at", other.alias("other")), "places")
     drop(windows)
     drop(twice)
-    out = written(places.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "block", "position")).alias("places")), "factors")
+    out = written(places.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "other")).alias("places")), "factors")
     drop(places)
     return out
 
 
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, factors array<struct<block:long,position:int,start:int,length:int>>"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, block long, factors array<struct<block:long,position:int,start:int,length:int>>"
 _FACTOR = pa.struct([("block", pa.int64()), ("position", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
 
 
@@ -184,7 +191,7 @@ def _parse(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, places, copied, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for doc_id, text, places, copied, first, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 ws = _words(text.as_py())
                 found: list[Factor] = []
                 if copied and len(ws) >= SPAN:
@@ -198,9 +205,9 @@ def _parse(full: bool):
                 keep += ws[at:]
                 kept = b" ".join(keep)
                 row = {"doc_id": doc_id, "n_words": len(ws), "n_removed": len(ws) - len(keep), "kept_sha256": hashlib.sha256(kept).hexdigest()}
-                out.append(row | ({"kept": kept.decode(), "factors": [dict(zip(("block", "position", "start", "length"), f)) for f in found]} if full else {}))
+                out.append(row | ({"kept": kept.decode(), "block": block, "factors": [dict(zip(("block", "position", "start", "length"), f)) for f in found]} if full else {}))
             schema = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-            schema += [("kept", pa.string()), ("factors", pa.list_(_FACTOR))] * full
+            schema += [("kept", pa.string()), ("block", pa.int64()), ("factors", pa.list_(_FACTOR))] * full
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(schema))
 
     return run
@@ -209,14 +216,16 @@ def _parse(full: bool):
 def dedup_substrings(docs: DataFrame, full: bool = True) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256; with ``full`` also the kept text and the factors.
 
-    A factor's block is the doc_id of the row that holds its words at ``position``. A copied text is one factor, of the
-    text's least doc_id."""
+    A factor's block is the ``block`` key of a row that holds its words at ``position``. A copied text is one factor, of the
+    row with the text's least doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), F.xxhash64("text").alias("x"), "text")
     copies = copied_texts(rows)
     found = repeated_windows(rows, copies).select(F.col("doc_id").alias("p_id"), F.col("mark").alias("p_mark"), "places")
     joined = rows.join(found, rows.doc_id.eqNullSafe(found.p_id) & (rows.mark == found.p_mark), "left").select("doc_id", "x", "mark", "text", "places")
     marked = joined.join(sized(copies.select("x", "mark", F.lit(True).alias("copied"), "first"), copies.count()), ["x", "mark"], "left")
-    return marked.select("doc_id", "text", "places", "copied", "first").mapInArrow(_parse(full), RESULT if full else RESULT.split(", kept string")[0])
+    first = F.when(F.col("copied"), block_key(F.col("first"), F.col("mark"))).alias("first")
+    own = block_key(F.col("doc_id"), F.col("mark")).alias("block")
+    return marked.select("doc_id", "text", "places", "copied", first, own).mapInArrow(_parse(full), RESULT if full else RESULT.split(", kept string")[0])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

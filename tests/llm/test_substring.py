@@ -4,7 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
-from featuremill.llm.substring_dedup import SPAN, covered, dedup_substrings, factors
+from featuremill.llm.substring_dedup import AT_BITS, SPAN, covered, dedup_substrings, factors
 
 
 def brute(rows):
@@ -50,8 +50,9 @@ def test_equal_rows_and_nothing(spark):
 def test_factors_are_greedy_copies_of_their_blocks():
     assert factors([]) == []
     # at 5 the window is known elsewhere than where the one before would go on: a boundary, whose window is looked up, too
-    assert factors([(4, 7, 1), (3, 7, 0), (5, 9, 40), (100, 9, 0)]) == [(7, 0, 3, 36), (9, 40, 5, 35), (9, 0, 100, 35)]
-    assert covered(factors([(4, 7, 1), (3, 7, 0), (5, 9, 40), (100, 9, 0)])) == [(3, 37), (100, 35)]
+    at = lambda block, position: block << AT_BITS | position
+    found = factors([(4, at(7, 1)), (3, at(7, 0)), (5, at(9, 40)), (100, at(9, 0))])
+    assert found == [(7, 0, 3, 36), (9, 40, 5, 35), (9, 0, 100, 35)] and covered(found) == [(3, 37), (100, 35)]
     assert covered([(1, 0, 0, 35), (1, 0, 36, 35)]) == [(0, 35), (36, 35)]
 
 
@@ -70,11 +71,13 @@ def test_factors_hold_the_words_of_their_blocks(spark):
     rows += [(50, rows[3][1]), (51, " ".join(passages[2] * 2))]
     words = {i: t.split() for i, t in rows}
     got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    n = 0
+    n, ids = 0, {r.block: r.doc_id for r in got}
+    assert len(ids) == len(rows)
     for r in got:
         for f in r.factors:
-            assert f.length >= SPAN and words[r.doc_id][f.start : f.start + f.length] == words[f.block][f.position : f.position + f.length]
-            assert (f.block, f.position) != (r.doc_id, f.start) or words[50] == words[r.doc_id]
+            block = ids[f.block]
+            assert f.length >= SPAN and words[r.doc_id][f.start : f.start + f.length] == words[block][f.position : f.position + f.length]
+            assert (block, f.position) != (r.doc_id, f.start) or words[50] == words[r.doc_id]
             n += 1
         assert sum(length for _, length in covered([(f.block, f.position, f.start, f.length) for f in r.factors])) == r.n_removed
     assert n > 20
