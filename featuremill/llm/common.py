@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Narrow rows (a few numbers each, some MB in all) that may be broadcast.
@@ -52,6 +52,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with the row's place, from 0, in ``order`` over everything; written once. Rows that tie get different places.
+
+    The rows are cut into ranges, numbered within each as they are written, and the sizes of the ranges before are added.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    laid = written(laid, "numbered")  # the upper bits of _at are the range, the lower 33 the row
+    upto = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    sizes = laid.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_rows"))
+    before = sizes.select("_range", F.coalesce(upto, F.lit(0)).alias("_before"))
+    placed = laid.join(F.broadcast(before), F.shiftright("_at", 33) == F.col("_range"))
+    return placed.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+
+
 def parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in parts of ``rows`` rows at most, so that a task holds few texts at a time as Python's own."""
     for batch in batches:

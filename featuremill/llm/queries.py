@@ -6,6 +6,7 @@ from .bpe_stream import op9_bpe_stream
 from .decontaminate import op8_decontaminate
 from .langid import op4_langid
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .pii import op7_personal_data
 from .quality import OP2_SQL, op2_quality_rules
 from .shards import OP5_SQL, op5_shards
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_bpe_stream": op9_bpe_stream,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op2_quality_rules": OP2_SQL,
     "op5_shards": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
