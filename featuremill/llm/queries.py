@@ -13,6 +13,7 @@ from .shards import OP5_SQL, op5_shards
 from .simhash import op6_simhash
 from .substring_dedup import op3_substring_dedup
 from .token_files import op1_token_files
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_token_files": op1_token_files,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_bpe_stream": op9_bpe_stream,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL = {
