@@ -10,6 +10,7 @@ from .merkle import OP11_SQL, op11_merkle_manifest
 from .pii import op7_personal_data
 from .quality import OP2_SQL, op2_quality_rules
 from .shards import OP5_SQL, op5_shards
+from .signature_tree import op12_jaccard_join
 from .simhash import op6_simhash
 from .substring_dedup import op3_substring_dedup
 from .token_files import op1_token_files
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_bpe_stream": op9_bpe_stream,
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_whitening": op13_whitening,
 }
 
