@@ -9,7 +9,7 @@ no other class has).
 The trees: classes are leaves, with a bitmap of their shingles and their size. A directory of lists, one per shingle of those first
 ones, proposes a centre per list, the member with the most company; classes linked to a centre (verified) make a cluster.
 A cluster is a tree: its classes by size, ``FAN`` to a node, nodes ``FAN`` to a node, and so on; each node holds the bitwise OR of its
-bitmaps, the range of its sizes, and the least overlap of bits that any of its classes needs. Roots of clusters that share
+bitmaps, the range of its sizes, and the least overlap of bits that any of its classes needs (alone, and for a size of the other side). Roots of clusters that share
 a list meet; a dual traversal follows pairs of nodes down, one side after the other, and leaves out each pair whose sizes
 are too far apart or whose bitmaps share fewer bits than the maximum overlap would have to: what remains at the leaves is verified on whole
 sets. Pairs within a cluster need no look, as they are linked; before clusters of more than a class meet in full, one pair of their classes is tried, which
@@ -125,16 +125,14 @@ def _sizes_allow(a: str, b: str) -> Column:
     return (UNDER * F.col(f"{a}.hi") >= OVER * F.col(f"{b}.lo")) & (UNDER * F.col(f"{b}.hi") >= OVER * F.col(f"{a}.lo"))
 
 
-def _may(a: str, b: str, leaves: bool = False) -> Column:
-    """Whether some class of node ``a`` can be similar to one of node ``b``, by sizes and bitmaps; ``leaves``: both are classes."""
+def _may(a: str, b: str) -> Column:
+    """Whether some class of node ``a`` can be similar to one of node ``b``, by sizes and bitmaps.
+
+    A set of n with a partner of m lacks (5 n - 4 m) / 9 of its shingles there at most, so as many of its bits may be missing
+    from the bits that the two nodes share."""
     both = reduce(Column.__add__, [F.bit_count(F.col(f"{a}.{k}").bitwiseAND(F.col(f"{b}.{k}"))) for k in BITS])
-    enough = both >= F.greatest(F.col(f"{a}.need"), F.col(f"{b}.need"))
-    if leaves:
-        # of the larger set's bits, those that the other lacks are shingles that it lacks
-        n, m = F.col(f"{a}.lo"), F.col(f"{b}.lo")
-        overlap = F.least(n - (F.col(f"{a}.pop") - both), m - (F.col(f"{b}.pop") - both))
-        enough = (UNDER + OVER) * overlap >= OVER * (n + m)
-    return _sizes_allow(a, b) & enough
+    enough = [both >= F.col(f"{x}.need") for x in (a, b)] + [(UNDER + OVER) * both >= F.col(f"{x}.least") + OVER * F.col(f"{y}.lo") for x, y in ((a, b), (b, a))]
+    return _sizes_allow(a, b) & reduce(Column.__and__, enough)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -149,7 +147,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _nodes(leaves: DataFrame, level: int | None) -> DataFrame:
     """Summaries of the nodes at ``level`` of the clusters' trees (None: their roots) over ``leaves`` (g, at, …)."""
     node = F.lit(0).cast("long") if level is None else F.shiftright("at", FAN_BITS * level)
-    return leaves.groupBy("g", node.alias("node")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("need").alias("need"), *[F.bit_or(b).alias(b) for b in BITS])
+    return leaves.groupBy("g", node.alias("node")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("need").alias("need"), F.min("least").alias("least"), *[F.bit_or(b).alias(b) for b in BITS])
 
 
 def _traversed(tops: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
@@ -165,7 +163,7 @@ def _traversed(tops: DataFrame, leaves: DataFrame, depth: int) -> DataFrame:
         left = now.join(a, (F.col("ag") == F.col("a.g")) & (F.col("an") == F.col("a.parent"))).join(b, (F.col("bg") == F.col("b.g")) & (F.col("bn") == F.col("b.node"))).filter(_may("a", "b"))
         left = written(left.select("ag", F.col("a.node").alias("an"), "bg", "bn"), "left")
         own, other = nodes.alias("a"), kids.alias("b")
-        both = left.join(own, (F.col("ag") == F.col("a.g")) & (F.col("an") == F.col("a.node"))).join(other, (F.col("bg") == F.col("b.g")) & (F.col("bn") == F.col("b.parent"))).filter(_may("a", "b", not level))
+        both = left.join(own, (F.col("ag") == F.col("a.g")) & (F.col("an") == F.col("a.node"))).join(other, (F.col("bg") == F.col("b.g")) & (F.col("bn") == F.col("b.parent"))).filter(_may("a", "b"))
         found = both.select("ag", F.col("a.node").alias("an"), "bg", F.col("b.node").alias("bn")) if level else both.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
         found = written(found, "traversed")
         drop(left)
@@ -206,9 +204,9 @@ def similar_classes(sets: DataFrame) -> DataFrame:
     if not several.isEmpty():
         own = entries.join(several, "h", "left_semi")
         held = written(own.select("g").distinct(), "held")
-        need = (F.col("pop") - F.floor(F.col("n") / UNDER)).alias("need")
+        need = [(F.col("pop") - F.floor(F.col("n") / UNDER)).alias("need"), ((UNDER + OVER) * F.col("pop") - UNDER * F.col("n")).alias("least")]
         leaves = company.select("id").join(clusters, "id", "left").select("id", F.coalesce("g", "id").alias("g")).join(held, "g", "left_semi")
-        leaves = leaves.join(sets, "id").select("g", "id", F.col("n").alias("lo"), F.col("n").alias("hi"), "pop", need, *BITS)
+        leaves = leaves.join(sets, "id").select("g", "id", F.col("n").alias("lo"), F.col("n").alias("hi"), *need, *BITS)
         leaves = numbered(leaves, ["g", "lo", "id"], "at")
         roots = written(_nodes(leaves, None).drop("node"), "roots")
         met = written(own.join(roots, "g"), "met")

@@ -102,7 +102,7 @@ def test_traversal_keeps_every_similar_pair(spark):
     want = {(u, v) for u in ids for v in ids if u < v and 5 * len(sets[u] & sets[v]) >= 4 * len(sets[u] | sets[v])}
     schema = f"id long, n long, pop long, all array<long>, {', '.join(f'{b} long' for b in st.BITS)}"
     rows = spark.createDataFrame([(t,) for t in texts], "text string").mapInArrow(st._whole(5), schema).dropDuplicates(["id"])
-    leaves = rows.withColumn("g", F.pmod("id", F.lit(3))).selectExpr("g", "id", "n AS lo", "n AS hi", "pop", "pop - floor(n / 5) AS need", *st.BITS)
+    leaves = rows.withColumn("g", F.pmod("id", F.lit(3))).selectExpr("g", "id", "n AS lo", "n AS hi", "pop - floor(n / 5) AS need", "9 * pop - 5 * n AS least", *st.BITS)
     leaves = st.numbered(leaves, ["g", "lo", "id"], "at")
     tops = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "g long, other long")
     for depth in (0, 1, 2):
