@@ -53,13 +53,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """``df`` with the row's place, from 0, in ``order`` over everything; written once. Rows that tie get different places.
+    """``df`` with the row's place, from 0, in ``order`` over everything (none: any); written once. Rows that tie get different places.
 
     The rows are cut into ranges, numbered within each as they are written, and the sizes of the ranges before are added.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    laid = written(laid, "numbered")  # the upper bits of _at are the range, the lower 33 the row
+    cut = df.repartitionByRange(n, *order).sortWithinPartitions(*order) if order else df
+    # the upper bits of _at are the range, the lower 33 the row
+    laid = written(cut.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     upto = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
     sizes = laid.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_rows"))
     before = sizes.select("_range", F.coalesce(upto, F.lit(0)).alias("_before"))

@@ -2,8 +2,9 @@
 
 Every document is a reference block: a factor is a run of words of a document that a block holds at some place, written
 (block, position, length). The index holds every window of ``SPAN`` words that occurs twice, with the least place and the
-largest one where it stands, so that each occurrence has a place elsewhere. A place is one number: the block's 40-bit key (a
-hash of id and text), then the position, up to ``MOST_AT`` (later ones are written as it). A document is parsed greedily from the left:
+largest one where it stands, so that each occurrence has a place elsewhere. Blocks are the texts with repeated seeds,
+numbered densely; a place is one number, the block's, then the position, up to ``MOST_AT`` (later ones are written as it).
+A document is parsed greedily from the left:
 a factor starts at the first window that the index knows, copies from that window's place, and grows by a word as long as
 the window that ends with that word is known at the following position of the same block; where it is known in another
 place, the next factor begins. Windows across such a boundary are in the index like all others, so none is missed: a
@@ -12,17 +13,18 @@ factor's window may reach back into the words of the one before it. Words that a
 Following every block's own longest match would need all places of a window, which are as many as its copies; one place
 elsewhere tells the same words, as a word goes if any window that covers it occurs elsewhere.
 
-Rows with the same text are indexed once: all their windows occur elsewhere. Three steps keep the index small for the
+Rows are known by their texts alone (two hashes of 64 bits), as rows of one text have one result, whatever their ids; such a
+text is indexed once: all its windows occur elsewhere. Three steps keep the index small for the
 others. (1) Every window picks its least hashed ``SEED``-word seed; windows with equal
 words pick equal seeds, so that a window can only occur twice if its seed is chosen at two places. About one word in
 fifteen is a chosen seed; seeds are counted by a grouped sum. (2) Documents with repeated seeds emit the 96-bit hashes
-of the windows that picked those seeds, two polynomials over two independent hashes of each word; hashes met twice are
+of the windows that picked those seeds, two polynomials over two independent hashes of each word, which stand for the words; hashes met twice are
 joined back to their places. (3) Places are gathered per document and the document is parsed. Common passages are
 counted before any shuffle and joined from written tables, where Spark splits skewed keys; no step holds more than one
 document's places together.
 
 Defined cases: null text has no words; documents of fewer than ``SPAN`` words keep everything; equal rows are two
-documents and lose their windows both; null ids are kept; an empty table gives an empty result; further columns are
+documents and lose their windows both; null and shared ids change nothing; an empty table gives an empty result; further columns are
 ignored.
 """
 
@@ -34,13 +36,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, sized, table, written
+from .common import drop, numbered, sized, table, written
 
 SPAN, SEED = 35, 8
-AT_BITS = 24
+#: Bits of a position; the other 36 of a place are the block's number.
+AT_BITS = 28
 MOST_AT = (1 << AT_BITS) - 1
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -99,12 +102,12 @@ def _emit_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if values:
             owner = pa.array(np.concatenate(owners))
             columns = [pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int32)), batch.column(0).take(owner), batch.column(1).take(owner)]
-            yield pa.RecordBatch.from_arrays(columns, names=["seed", "n", "doc_id", "mark"])
+            yield pa.RecordBatch.from_arrays(columns, names=["seed", "n", "x", "mark"])
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k, (text, known) in enumerate(zip(batch.column(2), batch.column(3))):
+        for k, (text, known) in enumerate(zip(batch.column(1), batch.column(2))):
             ws = _words(text.as_py())
             h = _hashes(ws)
             at = np.flatnonzero(np.isin(seeds(h)[0], np.asarray(known.values.to_numpy(zero_copy_only=False)).view(np.uint64)))
@@ -112,17 +115,13 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             a, b = (_rolled(x, SPAN, base)[at] for x, base in zip((h, _other_hashes(ws)), _BASES))
             owner = pa.array(np.full(len(at), k))
-            columns = [pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at.astype(np.int32)), batch.column(4).take(owner)]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc_id", "mark", "at", "copied"])
+            columns = [pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(owner), pa.array(at.astype(np.int32)), batch.column(3).take(owner)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "block", "at", "copied"])
 
 
 Factor = tuple[int, int, int, int]
 
 
-def block_key(doc_id: Column, mark: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(doc_id, mark), AT_BITS)
-
-
 def factors(places: list[tuple[int, int]], span: int = SPAN) -> list[Factor]:
     """(block, position in it, start, length) of the greedy factors; ``places``: (start, place elsewhere) of the known windows."""
     out: list[Factor] = []
@@ -150,37 +149,38 @@ def covered(found: list[Factor]) -> list[tuple[int, int]]:
 
 
 def copied_texts(rows: DataFrame) -> DataFrame:
-    """(x, mark, copies, first): hashes of the texts that several rows have, how many, and the least doc_id."""
+    """(x, mark, first): hashes of the texts that several rows have, and the least doc_id."""
     copies = rows.filter(F.col("text").isNotNull()).groupBy("x", "mark").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first"))
-    return written(copies.filter("copies > 1"), "copies")
+    return written(copies.filter("copies > 1").select("x", "mark", "first"), "copies")
 
 
-def repeated_windows(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """(doc_id, mark, places): per document with repeats, its windows that occur elsewhere, too: (at, place elsewhere).
+def repeated_windows(rows: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((x, mark, block), (block, places)): the blocks of texts, and of each block with repeats its windows that occur
+    elsewhere, too: (at, place elsewhere).
 
-    All windows of a copied text do; one row of each such text stands for them in the index and needs no places."""
-    joined = rows.join(sized(copies, copies.count()), ["x", "mark"], "left")
-    rows = joined.filter(F.col("copies").isNull() | F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "mark", "text", F.col("copies").isNotNull().alias("copied"))
-    found = written(rows.mapInArrow(_emit_seeds, "seed long, n int, doc_id long, mark int"), "seeds")
+    All windows of a copied text do; the rows of it with the least doc_id stand for them in the index and need no places."""
+    joined = rows.join(sized(copies.withColumn("copied", F.lit(True)), copies.count()), ["x", "mark"], "left")
+    rows = joined.filter(F.col("copied").isNull() | F.col("doc_id").eqNullSafe(F.col("first"))).select("x", "mark", "text", F.coalesce("copied", F.lit(False)).alias("copied"))
+    found = written(rows.mapInArrow(_emit_seeds, "seed long, n int, x long, mark long"), "seeds")
     again = written(found.groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed"), "again")
-    # copies of a row have one mark and the same seeds: a set, so that the row is joined once
-    owned = written(found.join(again, "seed").groupBy("doc_id", "mark").agg(F.collect_set("seed").alias("known")), "owned")
+    # equal rows have the same seeds: a set
+    owned = numbered(found.join(again, "seed").groupBy("x", "mark").agg(F.collect_set("seed").alias("known")), [], "block")
     drop(found)
-    o = owned.select(F.col("doc_id").alias("o_id"), F.col("mark").alias("o_mark"), "known")
-    seen = rows.join(o, rows.doc_id.eqNullSafe(o.o_id) & (rows.mark == o.o_mark)).select("doc_id", "mark", "text", "known", "copied")
-    windows = written(seen.mapInArrow(_emit_windows, "a long, b int, doc_id long, mark int, at int, copied boolean"), "windows")
+    seen = rows.join(owned, ["x", "mark"]).select("block", "text", "known", "copied")
+    windows = written(seen.mapInArrow(_emit_windows, "a long, b int, block long, at int, copied boolean"), "windows")
+    blocks = written(owned.select("x", "mark", "block"), "blocks")
     drop(owned)
-    place = F.shiftleft(block_key(F.col("doc_id"), F.col("mark")), AT_BITS).bitwiseOR(F.least("at", F.lit(MOST_AT)).cast("long"))
+    place = F.shiftleft("block", AT_BITS).bitwiseOR(F.least("at", F.lit(MOST_AT)).cast("long"))
     twice = windows.groupBy("a", "b").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("n"), F.min(place).alias("least"), F.max(place).alias("last"))
     twice = written(twice.filter("n > 1").select("a", "b", "least", "last"), "twice")
     places = windows.filter(~F.col("copied")).join(twice, ["a", "b"])
     other = F.when(place == F.col("least"), F.col("last")).otherwise(F.col("least"))
-    places = written(places.select("doc_id", "mark", "at", other.alias("other")), "places")
+    places = written(places.select("block", "at", other.alias("other")), "places")
     drop(windows)
     drop(twice)
-    out = written(places.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("at", "other")).alias("places")), "factors")
+    out = written(places.groupBy("block").agg(F.collect_set(F.struct("at", "other")).alias("places")), "factors")
     drop(places)
-    return out
+    return blocks, out
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, block long, factors array<struct<block:long,position:int,start:int,length:int>>"
@@ -191,11 +191,11 @@ def _parse(full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, places, copied, first, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+            for doc_id, text, places, copied, block in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 ws = _words(text.as_py())
                 found: list[Factor] = []
                 if copied and len(ws) >= SPAN:
-                    found = [(first, 0, 0, len(ws))]
+                    found = [(block, 0, 0, len(ws))]
                 elif places.is_valid:
                     found = factors(list(zip(*(x.to_pylist() for x in places.values.flatten()))))
                 keep, at = [], 0
@@ -214,18 +214,17 @@ def _parse(full: bool):
 
 
 def dedup_substrings(docs: DataFrame, full: bool = True) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256; with ``full`` also the kept text and the factors.
+    """Per row: doc_id, n_words, n_removed, kept_sha256; with ``full`` also the kept text, the text's block (null: it has no
+    repeated seed) and the factors.
 
-    A factor's block is the ``block`` key of a row that holds its words at ``position``. A copied text is one factor, of the
-    row with the text's least doc_id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("mark"), F.xxhash64("text").alias("x"), "text")
+    A factor's block is the ``block`` of rows that hold its words at ``position``. A copied text is one factor of its own block."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("x"), F.xxhash64(F.lit(SEED), "text").alias("mark"), "text")
     copies = copied_texts(rows)
-    found = repeated_windows(rows, copies).select(F.col("doc_id").alias("p_id"), F.col("mark").alias("p_mark"), "places")
-    joined = rows.join(found, rows.doc_id.eqNullSafe(found.p_id) & (rows.mark == found.p_mark), "left").select("doc_id", "x", "mark", "text", "places")
-    marked = joined.join(sized(copies.select("x", "mark", F.lit(True).alias("copied"), "first"), copies.count()), ["x", "mark"], "left")
-    first = F.when(F.col("copied"), block_key(F.col("first"), F.col("mark"))).alias("first")
-    own = block_key(F.col("doc_id"), F.col("mark")).alias("block")
-    return marked.select("doc_id", "text", "places", "copied", first, own).mapInArrow(_parse(full), RESULT if full else RESULT.split(", kept string")[0])
+    blocks, found = repeated_windows(rows, copies)
+    known = blocks.join(found, "block", "left").select("x", "mark", "block", "places")
+    marked = copies.select("x", "mark", F.lit(True).alias("copied"))
+    joined = rows.join(known, ["x", "mark"], "left").join(sized(marked, copies.count()), ["x", "mark"], "left")
+    return joined.select("doc_id", "text", "places", "copied", "block").mapInArrow(_parse(full), RESULT if full else RESULT.split(", kept string")[0])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,12 +72,27 @@ def test_factors_hold_the_words_of_their_blocks(spark):
     words = {i: t.split() for i, t in rows}
     got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     n, ids = 0, {r.block: r.doc_id for r in got}
-    assert len(ids) == len(rows)
+    assert all(words[ids[r.block]] == words[r.doc_id] for r in got if r.block is not None)
     for r in got:
         for f in r.factors:
             block = ids[f.block]
             assert f.length >= SPAN and words[r.doc_id][f.start : f.start + f.length] == words[block][f.position : f.position + f.length]
-            assert (block, f.position) != (r.doc_id, f.start) or words[50] == words[r.doc_id]
+            assert (f.block, f.position) != (r.block, f.start) or words[50] == words[r.doc_id]
             n += 1
         assert sum(length for _, length in covered([(f.block, f.position, f.start, f.length) for f in r.factors])) == r.n_removed
     assert n > 20
+
+
+def test_null_and_shared_ids_with_any_texts(spark, monkeypatch):
+    """Rows are told apart by their texts; texts whose first hash collides, too."""
+    from pyspark.sql import functions as F
+
+    from featuremill.llm import substring_dedup
+
+    words = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
+    rows = [(None, words("a", 41)), (None, words("b", 41)), (7, words("a", 40) + " end"), (7, words("c", 41)), (7, words("d", 50)), (8, "x " + words("d", 50)), (None, None), (None, words("b", 34)), (8, words("e", 36)), (8, words("e", 36)), (None, words("e", 36))]
+    check(spark, rows)
+    # one of the two hashes is the same for all texts
+    hashed = F.xxhash64
+    monkeypatch.setattr(substring_dedup.F, "xxhash64", lambda *c: F.lit(5).cast("long") if len(c) == 1 else hashed(*c))
+    check(spark, rows)
