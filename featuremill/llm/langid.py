@@ -12,8 +12,8 @@ a hash of text and id among documents of ``SAMPLE_CHARS`` characters at most who
 learns the ``LANGUAGES`` most frequent languages, each from ``SEQUENCES`` spans of the sample at most. Prediction is one pass without shuffle.
 
 Defined cases: null text or text without letters is ``und`` with score 0; a null doc_id counts as the empty string for
-the split; without any labelled document all is ``und``; words of over 48 letters count by their first and last 24
-letters; equal rows keep a row each; an empty table gives an empty result.
+the split; without any labelled document all is ``und``; runs of over 48 letters (scripts without spaces)
+are cut into words of 48, each a position of the chain; equal rows keep a row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,20 +37,15 @@ BUCKETS, LEXICON, LONG_WORD = 1 << 16, 2000, 48
 SEQUENCE, BATCH, EPOCHS, RATE, DECAY = 32, 128, 4, 0.2, 1e-6
 #: Entries a worker keeps of word -> scores; characters and words handled at a time.
 CACHE_WORDS, GROUP_CHARS, GROUP_WORDS = 400_000, 1 << 22, 1 << 16
-LETTERS = regex.compile(r"\p{L}+")
+LETTERS = regex.compile(rf"\p{{L}}{{1,{LONG_WORD}}}")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
 
 
-def _clip(w: str) -> str:
-    return w if len(w) <= LONG_WORD else w[: LONG_WORD // 2] + w[-LONG_WORD // 2 :]
-
-
 def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
     """(words, features) of bucket numbers; 0 stands for no feature."""
-    words = [_clip(w) for w in words]
     size = max(map(len, words), default=1)
     raw = np.array(words, dtype=f"<U{size}").view(np.uint32).reshape(len(words), size).astype(np.uint64)
     n = np.fromiter(map(len, words), np.int64, len(words))
