@@ -98,12 +98,13 @@ def test_lines_against_all_pairs(spark):
             lines.append(rng.choice([" ", "\t", "  "]).join(ws))
         rows.append((k, "\n".join(lines)))
     rows += [(90, None), (91, ""), (92, "\n\n"), rows[5]]
-    order = sorted({(i, n, tuple(x.split())) for i, t in rows for n, x in enumerate((t or "").split("\n")) if x.split()})
+    # of equal rows the later one's lines go
+    order = sorted((i, k, n, tuple(x.split())) for k, (i, t) in enumerate(rows) for n, x in enumerate((t or "").split("\n")) if x.split())
     repeats = lambda w, v: w == v or min(len(w), len(v)) >= MIN_WORDS and near(w, v)
-    gone = {(i, n) for i, n, w in order if any((j, m) < (i, n) and repeats(w, v) for j, m, v in order)}
+    gone = {(k, n) for at, (_, k, n, w) in enumerate(order) if any(repeats(w, v) for _, _, _, v in order[:at])}
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, gone string, line int")
     got = sorted((r.doc_id, r.text or "", r.n_removed, r.gone) for r in dedup_lines(docs).collect())
-    want = sorted((i, "\n".join(x for n, x in enumerate((t or "").split("\n")) if (i, n) not in gone), sum(1 for n in range(len((t or "").split("\n"))) if (i, n) in gone), "x") for i, t in rows)
+    want = sorted((i, "\n".join(x for n, x in enumerate((t or "").split("\n")) if (k, n) not in gone), sum(1 for n in range(len((t or "").split("\n"))) if (k, n) in gone), "x") for k, (i, t) in enumerate(rows))
     assert got == want
     assert dedup_lines(docs.limit(0)).count() == 0
 
@@ -324,3 +325,43 @@ def test_short_lines_go_if_equal_and_rows_of_one_word_stay_linear(spark):
         line_dedup.written = kept
     assert got == {1: (rows[0][1], 0), 2: ("home\n\nabout  us all", 1), 3: (rows[2][1], 0), 4: ("", 1), 5: (rows[4][1], 0)}
     assert seen["given"] <= 2
+
+
+def test_rows_without_or_with_shared_ids_keep_their_own_lines(spark):
+    """Against the operator's SQL: null ids, shared ids, equal rows, and further columns of clashing names."""
+    import duckdb
+    import pandas as pd
+
+    from featuremill.llm import line_dedup
+
+    rows = [
+        (1, "q w e r t\nfirst of its own"), (7, "q w e r t\nalpha beta gamma delta epsilon zeta"), (7, "r t y\ncompletely unique text of row two of id seven"),
+        (None, "m n o p q r"), (None, "first\nsecond unique line of row two"), (None, "third\nm n o p q r\nm n o p q s"), (None, None), (None, None), (None, ""),
+        (9, "equal rows\n\nof one id and one text"), (9, "equal rows\n\nof one id and one text"), (9, "equal rows\n\nof one id and one text"), (9, None),
+        (12, "r t y\nequal rows"), (12, "unlike line here\nof one id and other text"), (13, "alone"),
+    ]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row long").selectExpr("row", "doc_id", "text", "'y' AS _gone_id", "5 AS n_lines")
+    got = dedup_lines(docs)
+    assert sorted(got.columns) == sorted(["row", "doc_id", "text", "_gone_id", "n_lines", "n_removed"])
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})  # noqa: F841
+    want = sorted(duckdb.sql(line_dedup.OP10_SQL).fetchall(), key=str)
+    from pyspark.sql import functions as F
+
+    have = got.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))))
+    assert sorted((tuple(r) for r in have.collect()), key=str) == want
+    kept = {r.row: r.text for r in got.collect()}
+    assert kept[2] == rows[2][1] and kept[4] == rows[4][1] and kept[5] == "third"
+    assert sorted(kept[k] for k in (9, 10, 11)) == ["", "", rows[9][1]] and sorted(kept) == list(range(len(rows)))
+
+
+def test_the_middle_of_long_runs_of_letters_counts(spark):
+    """Scripts without spaces: the labels differ in the middle of a run only."""
+    from pyspark.sql import functions as F
+
+    from featuremill.llm.langid import held_out, identify
+
+    edge = "q" * 40
+    rows = [(k, edge + ("abcab" if k % 2 else "xyzxy") * (8 + k % 5) + edge, "aa" if k % 2 else "xx") for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify(docs).filter(held_out(F.col("doc_id"))).collect()
+    assert got and all(r.lang_pred == ("aa" if r.doc_id % 2 else "xx") for r in got)
