@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .ranges import numbered
 
 
@@ -72,6 +73,37 @@ def new_rows(df: DataFrame, known: DataFrame, name: str) -> DataFrame:
     return df.join(known, name, "left_anti")
 
 
+#: Characters of a gram.
+GRAM = 3
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size))))
+
+
+def uncontained_rows(df: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """``df`` without the rows whose name is part of a known name; null names stay, an empty name is part of any.
+
+    An inverted index of the known names' grams: a name contained in another has all its grams there, so one with a gram
+    that no known name has stays at once, and the others meet the list of their rarest gram only, where ``contains`` decides. Names
+    shorter than ``GRAM`` look among grams of their own length."""
+    wanted = stored(df.select(F.col(name).alias("_new")).filter("_new IS NOT NULL").distinct(), "names")
+    had = stored(known.select(F.col(name).alias("_known")).filter("_known IS NOT NULL").distinct(), "known")
+    size = F.least(F.length("_new"), F.lit(GRAM))
+    sizes = [r.size for r in wanted.filter("_new <> ''").select(size.alias("size")).distinct().collect()]
+    found = [wanted.filter("_new = ''").select("_new") if not had.isEmpty() else wanted.limit(0)]
+    for k in sizes:
+        posts = stored(had.filter(F.length("_known") >= k).select("_known", F.explode(_grams(F.col("_known"), k)).alias("_gram")), "posts")
+        counts = posts.groupBy("_gram").agg(F.count("*").alias("_n"))
+        asked = wanted.filter((size == k) & (F.col("_new") != "")).select("_new", F.explode(_grams(F.col("_new"), k)).alias("_gram"))
+        rated = asked.join(counts, "_gram", "left").groupBy("_new").agg(F.count_if(F.col("_n").isNull()).alias("_missing"), F.min(F.struct("_n", "_gram")).alias("_x"))
+        rarest = stored(rated.filter("_missing = 0").select("_new", F.col("_x._gram").alias("_gram")), "rarest")
+        found.append(posts.join(rarest, "_gram").filter(F.contains("_known", "_new")).select("_new").distinct())
+    gone = reduce(DataFrame.union, found)
+    return df.join(gone, F.col(name) == F.col("_new"), "left_anti")
+
+
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
@@ -151,12 +183,14 @@ def matrix_features(registry: DataFrame, importance: DataFrame | None = None, ra
 
 
 def correlation_groups(pairs: DataFrame, size: int = 5, most: int = 11) -> list[list[str]]:
-    """Greedy groups of the strongest partners, from the pair table of a bounded number of features."""
-    rows = sorted(((abs(p.r), p.a, p.b) for p in pairs.filter("r IS NOT NULL").collect()), key=lambda x: (-x[0], x[1], x[2]))
+    """Greedy groups of the strongest partners; of each feature its ``size - 1`` strongest reach the driver."""
+    known = pairs.filter("r IS NOT NULL").select("a", "b", F.abs("r").alias("s"))
+    both = known.select("a", "b", "s", F.col("a").alias("of"), F.col("b").alias("other")).union(known.select("a", "b", "s", F.col("b").alias("of"), F.col("a").alias("other")))
+    place = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("s"), "a", "b"))
+    rows = both.withColumn("place", place).filter(F.col("place") < size).select("of", "place", "other").orderBy("of", "place").collect()
     partners: dict[str, list[str]] = {}
-    for _, a, b in rows:
-        partners.setdefault(a, []).append(b)
-        partners.setdefault(b, []).append(a)
+    for r in rows:
+        partners.setdefault(r.of, []).append(r.other)
     used: set[str] = set()
     groups = []
     for f in sorted(partners):

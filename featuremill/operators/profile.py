@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,8 +82,59 @@ def constant(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return stats.filter("variance = 0 AND nulls = 0").select("column")
 
 
+#: Columns up to which all pairs are one aggregate; columns whose products a task holds at a time (four matrices of their square).
+NARROW, WIDE = 40, 2048
+
+
+def wide_correlations(df: DataFrame, columns: Sequence[str], wide: int = WIDE) -> DataFrame:
+    """(a, b, r) of all pairs of many columns, each pair over the rows where both have a value.
+
+    Rows become arrays, and each task adds up four matrix products of its rows (counts, sums, squares and products over the rows of
+    both columns); the sums are added by pair. There are no more tasks than cores, so that their results stay a small part of the data.
+    More columns than ``wide`` take a pass for each pair of groups of half as many. Columns are shifted by their means, so nothing cancels."""
+    numbers = [F.col(f"`{c}`").cast("double") for c in columns]
+    numbers = [F.when(~F.isnan(c), c) for c in numbers]
+    means = np.array([m or 0.0 for m in df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(numbers)]).first()])
+    half = max(1, wide // 2)
+    groups = [list(range(at, min(at + half, len(columns)))) for at in range(0, len(columns), half)]
+    rows = df.sparkSession.sparkContext.defaultParallelism
+
+    def added(first: list[int], second: list[int]) -> DataFrame:
+        own = first + [k for k in second if k not in first]
+        inner = len(groups) == 1 or first == second
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((4, len(own), len(own)))
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(own)) - means[own]
+                there = ~np.isnan(x)
+                x, there = np.where(there, x, 0), there.astype(float)
+                total += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+            for i in range(len(own) if inner else len(first)):
+                j = np.arange(i + 1 if inner else len(first), len(own))
+                n, s, q, p = total
+                parts = [np.full(len(j), own[i]), np.array(own)[j], n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts], names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+        arrays = df.select(F.array(*[numbers[k] for k in own]).alias("x")).coalesce(rows)
+        return arrays.mapInArrow(run, "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double")
+
+    passes = [added(a, b) for at, a in enumerate(groups) for b in groups[at:]]
+    sums = reduce(DataFrame.union, passes).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n, varied = F.col("n"), {}
+    for c in "xy":
+        square = n * F.col(f"s{c}{c}")
+        spread = square - F.col(f"s{c}") * F.col(f"s{c}")
+        varied[c] = F.when(spread > 1e-12 * square, spread)
+    r = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(varied["x"] * varied["y"])
+    names = F.array(*map(F.lit, columns))
+    return sums.select(F.get(names, F.col("i").cast("int")).alias("a"), F.get(names, F.col("j").cast("int")).alias("b"), r.alias("r"))
+
+
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r) of all pairs, in one aggregate; null where a column is constant."""
+    """(a, b, r) of all pairs, in one aggregate or, beyond ``NARROW`` columns, by matrix products; null where a column is constant."""
+    if len(columns) > NARROW:
+        return wide_correlations(df, columns)
 
     def r(a: str, b: str) -> Column:
         return F.when((F.stddev_samp(a) > 0) & (F.stddev_samp(b) > 0), F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b)))

@@ -27,29 +27,60 @@ def moving(df: DataFrame, method: str, level: Sequence[str], order: Sequence[str
 
 
 def weighted_average(df: DataFrame, level: Sequence[str], value: str, rate: float, date: str) -> DataFrame:
-    """Average per group with weight ``rate`` to the days before the latest date of all; nulls weigh nothing."""
-    last = F.broadcast(df.agg(F.max(date).alias("_last")))
-    days = F.datediff("_last", date)
-    weight = F.pow(F.lit(rate), days)
-    return df.crossJoin(last).groupBy(*level).agg(
-        F.try_divide(F.sum(F.col(value) * weight), F.sum(F.when(F.col(value).isNotNull(), weight))).alias(f"{value}_wg{rate}_avg@{'_'.join(level)}")
-    )
+    """Average per group with weight ``rate`` to the days before the latest date of all; nulls weigh nothing.
+
+    The days are counted from the group's own latest value, which leaves the quotient as it is and its weights above
+    zero, however long ago that was."""
+    days = df.groupBy(*level, F.to_date(date).alias("_day")).agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
+    last = F.max(F.when(F.col("_n") > 0, F.col("_day"))).over(Window.partitionBy(*level))
+    weight = F.pow(F.lit(rate), F.datediff("_last", "_day"))
+    found = days.withColumn("_last", last).groupBy(*level).agg(F.try_divide(F.sum(F.col("_sum") * weight), F.sum(F.when(F.col("_n") > 0, F.col("_n") * weight))).alias("_avg"))
+    return found.withColumnRenamed("_avg", f"{value}_wg{rate}_avg@{'_'.join(level)}")
+
+
+#: Natural logarithm of the largest weight within a block of days.
+MOST_WEIGHT = 300
 
 
 def lagged_weighted_average(df: DataFrame, level: Sequence[str], value: str, rate: float, date: str, lag: int, name: str | None = None) -> DataFrame:
-    """At each row, the weighted average of the group's rows that end ``lag`` rows before it.
-
-    Two running sums with weights relative to the group's first day, which cancel in the quotient. Groups that last longer
-    than such weights can tell (about 700 / -ln rate days) raise."""
-    group = Window.partitionBy(*level)
-    past = group.orderBy(date).rowsBetween(Window.unboundedPreceding, -lag)
-    days = F.datediff(date, F.min(date).over(group))
-    if rate != 1:
-        most = int(700 / abs(math.log(rate)))
-        days = F.when(days <= most, days).otherwise(F.raise_error(F.lit(f"a group lasts longer than {most} days")).cast("int"))
-    weight = F.pow(F.lit(rate), -F.col("_days"))
-    top, low = F.sum(F.col(value) * weight).over(past), F.sum(F.when(F.col(value).isNotNull(), weight)).over(past)
-    return df.withColumn("_days", days).withColumn(name or f"{value}_wg{rate}_lag{lag}", F.try_divide(top, low)).drop("_days")
+    """At each row, the weighted average of the group's rows that end ``lag`` rows before it; groups of any length.
+
+    The days are cut into blocks of ``MOST_WEIGHT / -ln(rate)``. Within a block, two running sums with weights relative to its
+    first day, which cancel in the quotient; of the blocks before, their average and weight as of that day, carried from block
+    to block (one row each)."""
+    if not 0 < rate <= 1:
+        raise ValueError("the rate is above 0 and at most 1")
+    group, out = Window.partitionBy(*level), name or f"{value}_wg{rate}_lag{lag}"
+    size = max(1, int(MOST_WEIGHT / -math.log(rate))) if rate < 1 else 1 << 30
+    day = F.datediff(date, F.min(date).over(group))
+    rows = df.withColumn("_day", day).withColumn("_block", F.floor(F.col("_day") / size).cast("int"))
+    weight = F.pow(F.lit(rate), F.lit(0) - (F.col("_day") - F.col("_block") * size))
+    tops, lows = F.col(value) * weight, F.when(F.col(value).isNotNull(), weight)
+    upto = Window.partitionBy(*level, "_block").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_top": F.sum(tops).over(upto), "_low": F.coalesce(F.sum(lows).over(upto), F.lit(0.0))})
+
+    # the average of all before a block, and its weight on the block's first day
+    ends = df.withColumn("_day", day).withColumn("_block", F.floor(F.col("_day") / size).cast("int")).groupBy(*level, "_block")
+    ends = ends.agg(F.sum(tops).alias("_top"), F.coalesce(F.sum(lows), F.lit(0.0)).alias("_low"))
+    earlier = F.collect_list(F.struct("_block", "_top", "_low")).over(group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    start = F.struct(F.lit(0).alias("block"), F.lit(None).cast("double").alias("mean"), F.lit(0.0).alias("weight"))
+
+    def aged(state: Column, block: Column) -> Column:
+        return state["weight"] * F.pow(F.lit(rate), (block - state["block"]) * size)
+
+    def carried(state: Column, b: Column) -> Column:
+        old = aged(state, b["_block"])
+        mean = (b["_top"] + F.coalesce(state["mean"], F.lit(0.0)) * old) / (b["_low"] + old)
+        return F.struct(b["_block"].alias("block"), F.when(b["_low"] > 0, mean).otherwise(state["mean"]).alias("mean"), (b["_low"] + old).alias("weight"))
+
+    carry = ends.withColumn("_state", F.aggregate(earlier, start, carried))
+    same = F.col("_block") == F.col("_c_block")
+    for i, k in enumerate(level):
+        same = same & F.col(k).eqNullSafe(F.col(f"_c{i}"))
+    carry = carry.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(level)], F.col("_block").alias("_c_block"), F.col("_state.mean").alias("_mean"), aged(F.col("_state"), F.col("_block")).alias("_old"))
+    both = (F.col("_top") + F.coalesce("_mean", F.lit(0.0)) * F.col("_old")) / (F.col("_low") + F.col("_old"))
+    joined = rows.join(carry, same).withColumn("_now", F.when(F.col("_low") > 0, both).otherwise(F.col("_mean")))
+    return joined.withColumn(out, F.lag("_now", lag).over(group.orderBy(date))).select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.col(f"`{out}`"))
 
 
 def segment_averages(df: DataFrame, calendar: DataFrame, entity: str, date: str, value: str, segment: str, special: Column, rate: float, lag: int) -> DataFrame:

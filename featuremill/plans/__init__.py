@@ -1,6 +1,6 @@
 """The registered queries of the library."""
 
-from . import datasets, features, more, tables_and_quality
+from . import datasets, features, more, tables_and_quality, versioned_and_wide
 from .catalog import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "datasets", "features", "more", "tables_and_quality"]
+__all__ = ["QUERIES", "SQL", "datasets", "features", "more", "tables_and_quality", "versioned_and_wide"]

@@ -18,7 +18,12 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once and read again, so that all that follows sees the same rows and nothing is computed twice."""
+    """``df`` written once and read again, so that all that follows sees the same rows and nothing is computed twice.
+
+    The folder goes when the session's JVM ends."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
+    sc = df.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)

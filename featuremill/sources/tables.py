@@ -116,6 +116,11 @@ def with_column(df: DataFrame, name: str, kind: str) -> DataFrame:
     return df.withColumn(name, F.lit(None).cast(kind))
 
 
+def add_field(spark: SparkSession, name: str, column: str, kind: str) -> None:
+    """A nullable column more in a catalog table: files from before read as null there."""
+    spark.sql(f"ALTER TABLE {name} ADD COLUMNS (`{column}` {kind})")
+
+
 def drop_tables(spark: SparkSession, database: str, prefix: str) -> list[str]:
     names = list_tables(spark, database, prefix)
     for n in names:
