@@ -7,10 +7,12 @@ in distinct texts, estimates how much of an entity ``e`` a term ``t`` tells:
     disclosure(e; t) = log(df(e, t) N / (df(e) (df(t) + 1))) / log(N / df(e))
 
 that is, their pointwise mutual information over the entity's own information, with one text more added to the term's
-count: near 1 means that ``t`` occurs with ``e`` alone, and few texts have to be rare among many to tell as much. An
-entity of a single text is protected, too. Where it reaches ``DISCLOSE``, the term is a span of its own wherever it
+count: near 1 means that ``t`` occurs with ``e`` alone. On that scale a term of several texts, one of them with the entity, still
+tells much of a rare entity in a large corpus, though whoever sees the term would mostly be wrong; so the share of the term's texts that have the
+entity, bounded below by the same text more, df(e, t) / (df(t) + 1), must reach ``SURE``, too. An
+entity of a single text is protected, too. Where both hold, the term is a span of its own wherever it
 stands in any document: ``sanitise`` replaces it by ``[term]`` and from ``REMOVE`` on takes it out. A term has
-the largest of its disclosures. Pairs that cannot reach ``DISCLOSE``, as the term is in too many texts, are left out by
+the largest of its disclosures. Pairs that cannot reach them, as the term is in too many texts, are left out by
 an exact bound before they are counted. Copies of a text count once, so that mere copying reveals nothing.
 
 The words of the corpus are counted in each task before any shuffle; entities of the same texts are one. Sieves of fixed
@@ -41,6 +43,8 @@ from .sieve import Sieve
 
 KINDS = ("email", "ip", "card", "phone", "term")
 DISCLOSE, REMOVE = 0.8, 0.95
+#: Least share of a term's texts that have the entity, as the number of texts (and one more) to each with the entity.
+SURE = 3
 #: Words that a worker holds at a time.
 HELD_WORDS = 300_000
 
@@ -256,8 +260,8 @@ def revealing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
     most = alone.agg(F.max("n_entity")).first()[0] or 0
 
     def may(n: Column, n_entity: Column) -> Column:
-        """No term in n texts tells DISCLOSE of an entity in n_entity unless this holds (the rest is for rounding)."""
-        return n + 1 <= F.pow(F.lit(float(max(n_texts, 1))), 1 - DISCLOSE) * F.pow(n_entity.cast("double"), DISCLOSE) * (1 + 1e-9)
+        """No term in n texts reveals an entity in n_entity unless this holds (the rest is for rounding)."""
+        return (n + 1 <= SURE * n_entity) & (n + 1 <= F.pow(F.lit(float(max(n_texts, 1))), 1 - DISCLOSE) * F.pow(n_entity.cast("double"), DISCLOSE) * (1 + 1e-9))
 
     terms = written(held.select(F.explode("terms").alias("h")).distinct(), "terms")
     once = _counts(texts, copied, share(Sieve(terms)))
@@ -272,7 +276,7 @@ def revealing_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
     both = in_text.join(of_text, "mark").filter(may(F.col("n"), F.col("most"))).select("h", "n", F.explode("named").alias("x")).select("h", "n", "x.*")
     both = both.filter(may(F.col("n"), F.col("n_entity"))).groupBy("entity", "n_entity", "h", "n").agg(F.count("*").alias("n_both"))
     told = F.log(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_entity") * (F.greatest("n", "n_both") + 1))) / F.log(F.lit(float(n_texts)) / F.col("n_entity"))
-    revealing = both.select("h", told.alias("disclosure")).filter(F.col("disclosure") >= DISCLOSE)
+    revealing = both.select("h", "n", "n_both", told.alias("disclosure")).filter((F.col("disclosure") >= DISCLOSE) & (F.greatest("n", "n_both") + 1 <= SURE * F.col("n_both")))
     revealing = written(revealing.groupBy("h").agg(F.max("disclosure").alias("disclosure")), "revealing")
     for gone in (marks, held, alone, terms, some, rare, in_text):
         drop(gone)

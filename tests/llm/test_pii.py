@@ -86,7 +86,7 @@ def test_disclosure_against_brute_force(spark):
     """Random texts with copies, repeated rows, several entities in a text and entities of several texts."""
     import math
 
-    from featuremill.llm.pii import DISCLOSE, _words, free_words
+    from featuremill.llm.pii import DISCLOSE, SURE, _words, free_words
 
     rng = random.Random(5)
     mails = [f"p{k}@mail{k % 3}.org" for k in range(12)]
@@ -112,7 +112,8 @@ def test_disclosure_against_brute_force(spark):
         for w in {w for t in inside for w in terms[t]}:
             both = sum(w in terms[t] for t in inside)
             told = math.log(both * n / (len(inside) * (df[w] + 1))) / math.log(n / len(inside))
-            disclosure[w] = max(told, disclosure.get(w, 0))
+            if df[w] + 1 <= SURE * both:
+                disclosure[w] = max(told, disclosure.get(w, 0))
     found = {w for w, x in disclosure.items() if x >= DISCLOSE}
     assert 5 < len(found) < len(df)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -126,3 +127,20 @@ def test_long_digit_runs():
     assert entities("1.2.3." + "0" * 5000 + "1") == [(0, 1, 5007)]
     assert entities("1.2.3." + "9" * 5001) == []
     assert entities("+" + "1" * 5000) == []
+
+
+def test_planted_terms_are_found_and_rare_words_of_other_texts_are_not(spark):
+    """Names that stand with an entity only are marked; rare words that stand beside it once, but in other texts, too, are not."""
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(300)]
+    rows, names, rare = [], [], []
+    for k in range(60):
+        names.append(f"name{k}")
+        own = [f"{names[-1]} wrote to person{k}@mail.org " + " ".join(rng.sample(common, 20)) for _ in range(rng.randrange(1, 4))]
+        rare.append(f"rare{k}")
+        own[0] += f" {rare[-1]}"
+        rows += own + [f"{rare[-1]} " + " ".join(rng.sample(common, 20)) for _ in range(rng.randrange(2, 5))]
+    rows += [" ".join(rng.sample(common, 20)) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    marked = {rows[r.doc_id][x.start : x.end] for r in find_personal_data(docs).collect() for x in r.terms or []}
+    assert set(names) <= marked and not marked & set(rare) and not marked & set(common)
