@@ -268,5 +268,11 @@ def similar_documents(docs: DataFrame, words: int = 5) -> DataFrame:
     return rows.filter("n > 0").select("doc_id", "n", "id").join(own, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
 
+def similar_groups(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(key, group) of each row of ``docs`` (key of 0 and more, text); texts without words are one group."""
+    found = similar_documents(docs.select(F.col("key").alias("doc_id"), "text"), words)
+    return found.select(F.col("doc_id").alias("key"), F.when(F.col("n_shingles") == 0, F.lit(-1)).otherwise(F.col("component_id")).alias("group"))
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
