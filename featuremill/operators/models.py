@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.ml.classification import FMClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 from .metrics import auc
+from .ranges import numbered
 
 SEED = 1208
 MODELS: dict[str, Callable[..., Estimator]] = {
@@ -41,12 +45,13 @@ def estimator(kind: str, label: str, weight: str | None = None, seed: int = SEED
     return MODELS[kind](**given | params)
 
 
-def assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Features as a vector; nulls count as 0 beside an indicator, which every estimator can read."""
+def assembled(df: DataFrame, columns: Sequence[str], indicators: bool = True) -> DataFrame:
+    """Features as a vector; nulls count as 0 beside an indicator, which every estimator can read. Where no column has
+    nulls, ``indicators=False`` leaves the constant ones out, so that linear fits have a closed form."""
     filled = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"_f{i}") for i, c in enumerate(columns)]
-    missing = [F.col(f"`{c}`").isNull().cast("double").alias(f"_n{i}") for i, c in enumerate(columns)]
+    missing = [F.col(f"`{c}`").isNull().cast("double").alias(f"_n{i}") for i, c in enumerate(columns)] if indicators else []
     wide = df.select("*", *filled, *missing)
-    parts = [f"_f{i}" for i in range(len(columns))] + [f"_n{i}" for i in range(len(columns))]
+    parts = [f"_f{i}" for i in range(len(columns))] + [f"_n{i}" for i in range(len(missing))]
     return VectorAssembler(inputCols=parts, outputCol="_x").transform(wide).drop(*parts)
 
 
@@ -64,7 +69,7 @@ def importances(model, columns: Sequence[str]) -> list[tuple[str, float]]:
     else:
         return []
     n = len(columns)
-    return [(c, float(values[i] + values[n + i])) for i, c in enumerate(columns)]
+    return [(c, float(values[i::n].sum())) for i, c in enumerate(columns)]
 
 
 @dataclass
@@ -73,24 +78,71 @@ class CrossValidated:
     oof: DataFrame
     test: DataFrame
     importance: DataFrame | None
+    trees: list[int]
 
     @property
     def mean(self) -> float:
         return sum(self.scores) / len(self.scores)
 
 
-def cross_validate(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], kind: str = "logistic", stops: Sequence[float] = (), seed: int = SEED, **params) -> CrossValidated:
+@dataclass
+class Prepared:
+    """Model rows, assembled and written once; any number of fits, over any of the columns, read them."""
+
+    rows: DataFrame
+    key: str
+    target: str
+    fold: str
+    columns: list[str]
+    weight: str | None
+    indicators: bool
+    folds: list[int]
+
+    def over(self, columns: Sequence[str]) -> DataFrame:
+        """The rows with ``_x`` cut to ``columns``."""
+        if list(columns) == self.columns:
+            return self.rows
+        at, n = [self.columns.index(c) for c in columns], len(self.columns)
+        slicer = VectorSlicer(inputCol="_whole", outputCol="_x", indices=at + [n + i for i in at] if self.indicators else at)
+        return slicer.transform(self.rows.withColumnRenamed("_x", "_whole")).drop("_whole")
+
+
+def prepare(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], weight: str | None = None, indicators: bool = True) -> Prepared:
+    """Runs a job that writes the rows, and one that lists the folds."""
+    own = [c for c in (key, target, fold, weight) if c]
+    wide = df.select(*own, *[F.col(f"`{c}`") for c in columns if c not in own])
+    rows = stored(assembled(wide, columns, indicators).select(*own, "_x"), "model-rows")
+    found = rows.filter(F.col(target).isNotNull() & F.col(fold).isNotNull()).select(fold).distinct().collect()
+    return Prepared(rows, key, target, fold, list(columns), weight, indicators, sorted(r[0] for r in found))
+
+
+def validate(p: Prepared, kind: str, columns: Sequence[str] | None = None, stops: Sequence[float] = (), seed: int = SEED, early: bool = False, **params) -> CrossValidated:
     """A model per fold: score (AUC, or minus RMSE for regressions), out-of-fold predictions, the test rows' mean
-    prediction (test: target null), importances. ``stops``: least cumulative scores; below one, no further folds."""
-    rows = stored(assembled(df.select(key, target, fold, *[f"`{c}`" for c in columns]), columns), "model-rows")
-    train, test = rows.filter(F.col(target).isNotNull()), rows.filter(F.col(target).isNull())
-    scores, oofs, tests, gains = [], [], [], []
-    for k in sorted(r[0] for r in train.select(fold).filter(F.col(fold).isNotNull()).distinct().collect()):
-        model = estimator(kind, target, seed=seed, **params).fit(train.filter(~F.col(fold).eqNullSafe(F.lit(k))).withColumn(target, F.col(target).cast("double")))
-        oof = scored(model, train.filter(F.col(fold) == k), key, [target, fold])
+    prediction (test: target null), importances, the number of trees.
+
+    ``stops``: least cumulative scores; below one, no further folds. ``early`` (boosted trees): no more trees once the error on
+    the fold's own rows has stopped to fall. Rows whose weight is null or not above 0 do not train, but are predicted."""
+    columns = p.columns if columns is None else list(columns)
+    if early and not kind.startswith("gbt"):
+        raise ValueError("only boosted trees stop early")
+    rows, key, target, fold = p.over(columns), p.key, p.target, p.fold
+    known, test = rows.filter(F.col(target).isNotNull()), rows.filter(F.col(target).isNull())
+    fitted = known.withColumn(target, F.col(target).cast("double"))
+    if p.weight:
+        fitted = fitted.filter(F.col(p.weight) > 0).withColumn(p.weight, F.col(p.weight).cast("double"))
+    scores, oofs, tests, gains, trees = [], [], [], [], []
+    for k in p.folds:
+        held = F.col(fold).eqNullSafe(F.lit(k))
+        if early:
+            model = estimator(kind, target, p.weight, seed, validationIndicatorCol="_held", **params).fit(fitted.withColumn("_held", held))
+        else:
+            model = estimator(kind, target, p.weight, seed, **params).fit(fitted.filter(~held))
+        oof = scored(model, known.filter(held), key, [target, fold])
         oofs.append(oof)
         tests.append(scored(model, test, key))
         gains += [(c, k, g) for c, g in importances(model, columns)]
+        if hasattr(model, "getNumTrees"):
+            trees.append(model.getNumTrees if isinstance(model.getNumTrees, int) else model.getNumTrees())
         if kind.endswith("regression") or kind in ("linear", "ridge", "lasso"):
             scores.append(-oof.agg(F.sqrt(F.avg(F.pow(F.col(target) - F.col("prediction"), 2)))).first()[0])
         else:
@@ -98,9 +150,25 @@ def cross_validate(df: DataFrame, key: str, target: str, fold: str, columns: Seq
         if len(scores) <= len(stops) and sum(scores) < stops[len(scores) - 1]:
             break
     mean_test = reduce(DataFrame.union, tests).groupBy(key).agg(F.avg("prediction").alias("prediction"))
-    table = df.sparkSession.createDataFrame(gains, "feature string, fold int, importance double") if gains else None
+    table = rows.sparkSession.createDataFrame(gains, "feature string, fold int, importance double") if gains else None
     merged = table.groupBy("feature").agg(F.avg("importance").alias("importance")) if table else None
-    return CrossValidated(scores, reduce(DataFrame.union, oofs), mean_test, merged)
+    return CrossValidated(scores, reduce(DataFrame.union, oofs), mean_test, merged, trees)
+
+
+def cross_validate(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], kind: str = "logistic", stops: Sequence[float] = (), seed: int = SEED, weight: str | None = None, early: bool = False, indicators: bool = True, **params) -> CrossValidated:
+    """``validate`` on rows written for it alone."""
+    return validate(prepare(df, key, target, fold, columns, weight, indicators), kind, None, stops, seed, early, **params)
+
+
+#: Fits that run at a time; each is a chain of small jobs that leaves most of a cluster idle.
+AT_A_TIME = 4
+
+
+def tried(p: Prepared, kind: str, trials: Sequence[tuple[Sequence[str], dict]], at_a_time: int = AT_A_TIME) -> list[CrossValidated]:
+    """``validate`` for each (columns, parameters), ``at_a_time`` of them side by side over the one written matrix."""
+    run = inheritable_thread_target(p.rows.sparkSession)(lambda trial: validate(p, kind, trial[0], **trial[1]))
+    with ThreadPoolExecutor(at_a_time) as pool:
+        return list(pool.map(run, trials))
 
 
 def stacked(result: CrossValidated, key: str) -> DataFrame:
@@ -109,10 +177,27 @@ def stacked(result: CrossValidated, key: str) -> DataFrame:
 
 
 def seed_average(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], kind: str, seeds: Sequence[int], **params) -> DataFrame:
-    parts = [stacked(cross_validate(df, key, target, fold, columns, kind, seed=s, **params), key) for s in seeds]
+    p = prepare(df, key, target, fold, columns)
+    parts = [stacked(cv, key) for cv in tried(p, kind, [(columns, {"seed": s} | params) for s in seeds])]
     return reduce(DataFrame.union, parts).groupBy(key).agg(F.avg("prediction").alias("prediction"))
 
 
+def fitted(df: DataFrame, target: str, columns: Sequence[str], kind: str, weight: str | None = None, indicators: bool = True, **params) -> Callable[[DataFrame], DataFrame]:
+    """A function that adds ``prediction`` to a frame with ``columns``, by a model of the rows of ``df`` with a target."""
+    rows = assembled(df, columns, indicators).filter(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("double"))
+    if weight:
+        rows = rows.filter(F.col(weight) > 0).withColumn(weight, F.col(weight).cast("double"))
+    model = estimator(kind, target, weight, **params).fit(rows)
+
+    def predict(new: DataFrame) -> DataFrame:
+        out = model.transform(assembled(new, columns, indicators))
+        if "probability" in out.columns:
+            out = out.withColumn("prediction", vector_to_array("probability")[1])
+        return out.select(*[F.col(f"`{c}`") for c in new.columns], "prediction")
+
+    return predict
+
+
 def train_predict(df: DataFrame, key: str, target: str, columns: Sequence[str], kind: str, **params) -> DataFrame:
     """Fitted on all rows with a target; predictions of the others."""
     rows = assembled(df, columns)
@@ -137,9 +222,10 @@ def impute_by_model(df: DataFrame, key: str, column: str, columns: Sequence[str]
     return df.join(p, key, "left").select(*[F.coalesce(c, "_p").alias(c) if c == column else F.col(c) for c in df.columns])
 
 
-def grid_search(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], kind: str, grid: Sequence[dict]) -> list[tuple[float, dict]]:
+def grid_search(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], kind: str, grid: Sequence[dict], at_a_time: int = AT_A_TIME) -> list[tuple[float, dict]]:
     """(mean score, parameters) of each grid point, best first."""
-    return sorted(((cross_validate(df, key, target, fold, columns, kind, **p).mean, p) for p in grid), key=lambda x: -x[0])
+    found = tried(prepare(df, key, target, fold, columns), kind, [(columns, g) for g in grid], at_a_time)
+    return sorted(((cv.mean, g) for cv, g in zip(found, grid)), key=lambda x: -x[0])
 
 
 def random_search(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], kind: str, ranges: dict[str, tuple[float, float]], trials: int, seed: int = SEED) -> list[tuple[float, dict]]:
@@ -147,12 +233,48 @@ def random_search(df: DataFrame, key: str, target: str, fold: str, columns: Sequ
     return grid_search(df, key, target, fold, columns, kind, [{n: rng.uniform(*r) for n, r in ranges.items()} for _ in range(trials)])
 
 
+def _parzen(x: float, centres: Sequence[float], low: float, high: float) -> float:
+    """Density at ``x`` of normal kernels around ``centres`` beside a flat one over the range."""
+    width = (high - low) / max(2.0, len(centres) ** 0.5) or 1.0
+    peaks = sum(math.exp(-(((x - c) / width) ** 2) / 2) / (width * math.sqrt(2 * math.pi)) for c in centres)
+    return (peaks + 1 / ((high - low) or 1.0)) / (len(centres) + 1)
+
+
+def next_points(seen: Sequence[tuple[float, dict]], ranges: dict[str, tuple[float, float]], n: int, rng: random.Random, good: float = 0.25, drawn: int = 24) -> list[dict]:
+    """``n`` points where trials like the best ``good`` share of ``seen`` are dense and others are not (Parzen estimators)."""
+    order = sorted(seen, key=lambda x: -x[0])
+    cut = max(1, math.ceil(good * len(order)))
+    out = []
+    for _ in range(n):
+        point = {}
+        for name, (low, high) in ranges.items():
+            best, rest = [x[name] for _, x in order[:cut]], [x[name] for _, x in order[cut:]]
+            width = (high - low) / max(2.0, len(best) ** 0.5)
+            draws = [min(high, max(low, rng.gauss(rng.choice(best), width))) for _ in range(drawn)]
+            point[name] = max(draws, key=lambda x: _parzen(x, best, low, high) / _parzen(x, rest, low, high))
+        out.append(point)
+    return out
+
+
+def parzen_search(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], kind: str, ranges: dict[str, tuple[float, float]], trials: int, start: int = 8, at_a_time: int = AT_A_TIME, seed: int = SEED, **params) -> list[tuple[float, dict]]:
+    """(mean score, parameters), best first: ``start`` random points, then rounds of ``at_a_time`` points by ``next_points``."""
+    rng, p = random.Random(seed), prepare(df, key, target, fold, columns)
+    seen: list[tuple[float, dict]] = []
+    while len(seen) < trials:
+        if len(seen) < start:
+            points = [{n: rng.uniform(*r) for n, r in ranges.items()} for _ in range(min(start, trials))]
+        else:
+            points = next_points(seen, ranges, min(at_a_time, trials - len(seen)), rng)
+        seen += [(cv.mean, x) for cv, x in zip(tried(p, kind, [(columns, x | params) for x in points], at_a_time), points)]
+    return sorted(seen, key=lambda x: -x[0])
+
+
 def forward_selection(df: DataFrame, key: str, target: str, fold: str, start: Sequence[str], candidates: Sequence[str], kind: str = "logistic") -> tuple[list[str], float]:
     """Adds each candidate in turn and keeps it if the mean score rises."""
-    kept = list(start)
-    best = cross_validate(df, key, target, fold, kept, kind).mean if kept else float("-inf")
+    kept, p = list(start), prepare(df, key, target, fold, list(dict.fromkeys([*start, *candidates])))
+    best = validate(p, kind, kept).mean if kept else float("-inf")
     for c in candidates:
-        score = cross_validate(df, key, target, fold, [*kept, c], kind).mean
+        score = validate(p, kind, [*kept, c]).mean
         if score > best:
             kept, best = [*kept, c], score
     return kept, best
@@ -161,8 +283,37 @@ def forward_selection(df: DataFrame, key: str, target: str, fold: str, start: Se
 def random_decrease(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], batch: int, rounds: int, kind: str = "logistic", seed: int = SEED, **params) -> list[tuple[float, list[str]]]:
     """(score, columns) of random drops of ``batch`` columns, best first."""
     rng = random.Random(seed)
-    tried = [sorted(set(columns) - set(rng.sample(sorted(columns), min(batch, len(columns) - 1)))) for _ in range(rounds)]
-    return sorted(((cross_validate(df, key, target, fold, c, kind, **params).mean, c) for c in tried), key=lambda x: -x[0])
+    left = [sorted(set(columns) - set(rng.sample(sorted(columns), min(batch, len(columns) - 1)))) for _ in range(rounds)]
+    found = tried(prepare(df, key, target, fold, columns), kind, [(c, params) for c in left])
+    return sorted(((cv.mean, c) for cv, c in zip(found, left)), key=lambda x: -x[0])
+
+
+def partnered(df: DataFrame, key: str, columns: Sequence[str], seed: int = SEED) -> DataFrame:
+    """``df`` with ``_p0``, ``_p1``, …: the values of ``columns`` in the row that follows in the order of MD5(key|seed), the
+    last row's follower being the first. Every value is met once, so each column is permuted. Runs jobs (row numbers by ranges)."""
+    order = [F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), F.col(key)]
+    placed = stored(numbered(df, order, "_place"), "placed")
+    n = placed.count()
+    other = placed.select((F.when(F.col("_place") == 1, n).otherwise(F.col("_place") - 1)).alias("_place"), *[F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(columns)])
+    return placed.join(other, "_place").drop("_place")
+
+
+def permutation_importance(df: DataFrame, key: str, target: str, columns: Sequence[str], predict: Callable[[DataFrame], DataFrame], score: str = "rmse", seed: int = SEED) -> DataFrame:
+    """(feature, importance): by how much the score (``rmse`` rises, ``auc`` falls) gets worse when a column is permuted.
+
+    No refit: each row is predicted as it is and once a column with its partner's value there, all in one pass. ``predict`` adds
+    ``prediction`` to a frame that holds ``columns``, ``target`` and ``_at``. Rows without a target do not count."""
+    rows = partnered(df.filter(F.col(target).isNotNull()).select(key, target, *[F.col(f"`{c}`") for c in columns]), key, columns, seed)
+    long = rows.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(len(columns)))))
+    swapped = [F.when(F.col("_at") == i + 1, F.col(f"_p{i}")).otherwise(F.col(f"`{c}`")).alias(c) for i, c in enumerate(columns)]
+    found = predict(long.select(key, target, "_at", *swapped))
+    if score == "auc":
+        by = auc(stored(found.select(target, "prediction", "_at"), "permuted"), target, "prediction", ["_at"]).select("_at", (-F.col("auc")).alias("loss"))
+    else:
+        by = found.groupBy("_at").agg(F.sqrt(F.avg(F.pow(F.col(target) - F.col("prediction"), 2))).alias("loss"))
+    losses = by.agg(F.map_from_entries(F.collect_list(F.struct("_at", "loss"))).alias("of"))  # a row a column
+    names = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i + 1).alias("at")) for i, c in enumerate(columns)])).alias("x")
+    return losses.select("of", names).select("x.feature", (F.try_element_at("of", F.col("x.at")) - F.try_element_at("of", F.lit(0))).alias("importance"))
 
 
 def clusters(df: DataFrame, columns: Sequence[str], k: int = 10, seed: int = SEED) -> DataFrame:
@@ -176,10 +327,11 @@ def demote_by_chunks(df: DataFrame, key: str, target: str, fold: str, candidates
 
     A chunk is scored once per rank in turn: columns beyond the rank, by mean importance and then name, go."""
     names, out = sorted(candidates), []
+    p = prepare(df, key, target, fold, names)
     for at in range(0, len(names), chunk):
         kept, score = names[at : at + chunk], float("-inf")
         for rank in ranks:
-            cv = cross_validate(df, key, target, fold, kept, kind, **params)
+            cv = validate(p, kind, kept, **params)
             score, gains = cv.mean, {r.feature: r.importance for r in cv.importance.collect()}
             kept = sorted(sorted(kept, key=lambda c: (-gains.get(c, 0.0), c))[:rank])
         out.append((at // chunk, names[at : at + chunk], score, kept))
