@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -13,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Narrow rows (a few numbers each, some MB in all) that may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Seconds between requests to free shuffle files.
-FREE_SECONDS, _freed = 3, 0.0
+#: Spark's setting that shuffle files go when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Separators between words, as the operators on whole texts see them.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -47,8 +45,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage ends here, executors may go."""
     spark = df.sparkSession
     path = work_dir(spark, label)
+    tidy(spark)
     df.write.parquet(path)
-    free(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,13 +84,10 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(sized(gone, gone.count()), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 
 
-def free(spark: SparkSession) -> None:
-    """Shuffle files of finished queries go when the driver's JVM collects its garbage; this asks for it, now and then."""
-    global _freed
-    if time.monotonic() > _freed + FREE_SECONDS:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        _freed = time.monotonic()
+def tidy(spark: SparkSession) -> None:
+    """From here on the session's shuffle files go when their query ends, unless its own settings say otherwise."""
+    if not spark.sparkContext.getConf().contains(CLEANUP):
+        spark.conf.set(CLEANUP, "true")
 
 
 def hadoop_path(spark: SparkSession, path: str):

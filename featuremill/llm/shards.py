@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import free, hadoop_path, remove, table, work_dir
+from .common import hadoop_path, remove, table, tidy, work_dir
 
 FANOUT, TARGET_BYTES, ARRIVALS = 4, 128 << 20, 12
 RETAIN_SECONDS = 24 * 3600
@@ -204,11 +204,11 @@ def arrivals(docs: DataFrame, n: int = ARRIVALS) -> list[DataFrame]:
 
 def compacted(docs: DataFrame, path: str, n: int = ARRIVALS, target_bytes: int = TARGET_BYTES) -> ShardStore:
     """A store that took ``docs`` as ``n`` arrivals, compacted after each."""
+    tidy(docs.sparkSession)
     store = ShardStore(docs.sparkSession, path, target_bytes)
     for part in arrivals(docs, n):
         store.append(part)
         store.compact()
-    free(docs.sparkSession)
     return store
 
 
