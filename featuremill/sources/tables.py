@@ -128,18 +128,27 @@ def drop_tables(spark: SparkSession, database: str, prefix: str) -> list[str]:
     return names
 
 
+def field_codes(df: DataFrame, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:
+    """(field, value, code) of each category's values, as text; fields and codes are numbered after those of ``numbers``."""
+    codes = df.sparkSession.createDataFrame([], "field int, value string")
+    for i, c in enumerate(categories, len(numbers)):
+        codes = codes.union(df.select(F.lit(i).alias("field"), F.col(f"`{c}`").cast("string").alias("value")).filter("value IS NOT NULL").distinct())
+    return numbered(codes, ["field", "value"], "code").withColumn("code", F.col("code") - 1 + len(numbers))
+
+
+def with_field_codes(df: DataFrame, codes: DataFrame, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:
+    """``df`` with ``_c_{c}``, the code of each category's value: null where it has none."""
+    out = df
+    for i, c in enumerate(categories, len(numbers)):
+        own = codes.filter(F.col("field") == i).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
+        out = out.join(own, F.col(f"`{c}`").cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
+    return out
+
+
 def ffm_lines(df: DataFrame, target: str, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:
     """``line``: label and field:feature:value of every row. Numbers take the first codes; then each (field, value)."""
     fields = {c: i for i, c in enumerate([*numbers, *categories])}
-    codes = None
-    for c in categories:
-        part = df.select(F.lit(fields[c]).alias("field"), F.col(c).alias("value")).filter("value IS NOT NULL").distinct()
-        codes = part if codes is None else codes.union(part)
-    codes = numbered(codes, ["field", "value"], "code").withColumn("code", F.col("code") - 1 + len(numbers))
-    out = df
-    for c in categories:
-        own = codes.filter(F.col("field") == fields[c]).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_c_{c}"))
-        out = out.join(own, F.col(c) == F.col(f"_v_{c}"), "left")
+    out = with_field_codes(df, field_codes(df, numbers, categories), numbers, categories)
     items = [F.when(F.col(c).isNotNull(), F.concat_ws(":", F.lit(str(fields[c])), F.lit(str(fields[c])), F.col(c).cast("string"))) for c in numbers]
     items += [F.when(F.col(f"_c_{c}").isNotNull(), F.concat_ws(":", F.lit(str(fields[c])), F.col(f"_c_{c}").cast("string"), F.lit("1"))) for c in categories]
     return out.select(*df.columns, F.concat_ws(" ", F.col(target).cast("string"), *items).alias("line"))
