@@ -50,14 +50,17 @@ def running(df: DataFrame, value: str, sums: dict[str, Column], part: Column, by
 
 
 def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
-    """``df`` with the row's number, from 1, in ``order`` over everything."""
+    """``df`` with the row's number, from 1, in ``order`` over everything. One shuffle, whose sorted ranges are written when called."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "numbered")
-    # a row for each partition
-    before = F.sum("_n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = laid.groupBy(F.col("_part").alias("_at")).agg(F.count("*").alias("_n")).select("_at", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return laid.join(F.broadcast(offsets), F.col("_part") == F.col("_at")).select(*df.columns, (own + F.col("_before")).cast("int").alias(name))
+    cut = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the upper bits of _at are the range, the lower 33 the row's place in it
+    laid = stored(cut.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    # a row for each range
+    upto = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = laid.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", F.coalesce(upto, F.lit(0)).alias("_before"))
+    placed = laid.join(F.broadcast(before), F.shiftright("_at", 33) == F.col("_range"))
+    return placed.select(*df.columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int").alias(name))
 
 
 def quantiles_by(df: DataFrame, by: str, value: str, probabilities: Sequence[float], part: Column | None = None) -> DataFrame:
