@@ -29,10 +29,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def half_up(c: Column, n: int) -> Column:
+    """The double ``c`` to ``n`` decimals as the SQL rounds: scaled first, then to the nearest whole number, halves away from 0.
+    Spark's own ``round`` goes by the decimal digits that the double prints, which lie on the other side of some halves."""
+    return F.round(c * F.lit(10.0**n)) / F.lit(10.0**n)
+
+
 def r4(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 4)
+    return half_up(F.col(c) if isinstance(c, str) else c, 4)
 
 
 def rounded(df: DataFrame, *keep: str) -> DataFrame:
     """Every double column to four decimals."""
-    return df.select(*[F.round(f"`{c}`", 4).alias(c) if kind == "double" and c not in keep else F.col(f"`{c}`") for c, kind in df.dtypes])
+    return df.select(*[r4(f"`{c}`").alias(c) if kind == "double" and c not in keep else F.col(f"`{c}`") for c, kind in df.dtypes])

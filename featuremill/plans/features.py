@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fn
 from ..operators import aggregate, assemble, cleanse, encode, folds, metrics, profile, series
-from .catalog import query, r4, rounded
+from .catalog import half_up, query, r4, rounded
 from .tables_and_quality import BASE, FOLDED, _customers, _gaps
 
 ORDER_METHODS = ("sum", "mean", "var", "max", "min", "count")
@@ -122,7 +122,7 @@ PRED = "(SELECT c_custkey, (c_acctbal < 3000)::INT AS y, round(0.5 - (c_acctbal
 
 def _predictions(t):
     c = t("customer")
-    return c.select("c_custkey", (F.col("c_acctbal") < 3000).cast("int").alias("y"), F.round(0.5 - (F.col("c_acctbal") - 4500) / 20000 + (F.col("c_nationkey") - 12) / 50.0, 2).alias("p"), F.round(F.col("c_nationkey") / 25.0, 2).alias("q"))
+    return c.select("c_custkey", (F.col("c_acctbal") < 3000).cast("int").alias("y"), half_up(0.5 - (F.col("c_acctbal") - 4500) / 20000 + (F.col("c_nationkey") - 12) / 50.0, 2).alias("p"), half_up(F.col("c_nationkey") / 25.0, 2).alias("q"))
 
 
 @query("a17_error_metrics", f"SELECT round(avg((y - p) * (y - p)), 4) AS mse, round(avg(abs(y - p)), 4) AS mae, round(1 - (sum((y - p) * (y - p)) / (count(*) - 4)) / (var_pop(y) * count(*) / (count(*) - 1)), 4) AS adjusted_r2 FROM {PRED}")
