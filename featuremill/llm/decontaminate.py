@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop, sized, table, written
+from .common import drop, parts, sized, table, written
 from .sieve import Sieve
 
 RATE, RUN, SAMPLES, RECALL, MOST_REPETITIONS = 0.2, 3, 2, 0.995, 256
@@ -241,7 +241,7 @@ def _met(docs: DataFrame, item_runs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hasher()
-        for batch in batches:
+        for batch in parts(batches, 4096):
             found, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k, text in enumerate(batch.column(2)):
                 h = hashes(words(text.as_py()))
@@ -289,7 +289,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(repetitions)
-        for batch in batches:
+        for batch in parts(batches, 4096):
             for at in range(0, batch.num_rows, 256):
                 ids, texts, listed = (c.to_pylist() for c in batch.slice(at, 256).columns)
                 found = [(ids[t], listed[t][j]["item_id"], n, d) for t, j, n, d in search([(x, [i["item_text"] for i in y]) for x, y in zip(texts, listed)])]

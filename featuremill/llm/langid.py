@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import parts, table
+from .common import parts, table, tidy
 
 #: Documents of a language in the sample, characters of the longest one in it, training sequences of a language, and the
 #: languages learned at most (the most frequent ones): together they bound what the fit reads and takes.
@@ -285,6 +285,7 @@ def label(docs: DataFrame, crf: Crf | None) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     if crf is None:
         return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    tidy(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     key, at = crf.weights.tobytes()[:4096] + crf.steps.tobytes(), docs.columns.index("text")
 
