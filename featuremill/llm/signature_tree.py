@@ -180,8 +180,9 @@ def _clusters(links: DataFrame) -> DataFrame:
     return written(components(links).select(F.col("node").alias("id"), F.col("root").alias("g")), "clusters")
 
 
-def similar_classes(sets: DataFrame) -> DataFrame:
-    """(id, root) of the classes that are linked; ``sets``: (id, n, pop, all, bits), distinct ids, written."""
+def similar_classes(sets: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(id, root) of the classes that are linked; ``sets``: (id, n, pop, all, bits), distinct ids, written. ``known``: links
+    (u, v) that are verified already and written; no pair of classes that they join is looked at again."""
     posted = _posted(sets)
     sizes = posted.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
     sizes = written(sizes, "lists")
@@ -193,8 +194,16 @@ def similar_classes(sets: DataFrame) -> DataFrame:
     centre = ranked.groupBy("h").agg(F.min_by(F.struct("id", "n"), F.struct((-F.col("company")).alias("c"), "id")).alias("centre"))
     centre = written(centre.select("h", F.col("centre.id").alias("centre"), F.col("centre.n").alias("m")), "centres")
     star = members.join(company.select("id", "n"), "id").join(centre, "h").filter("id <> centre").filter(UNDER * F.least("n", "m") >= OVER * F.greatest("n", "m"))
-    star = written(star.select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct(), "star")
+    star = star.select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct()
+    joined = _clusters(known) if known is not None else None
+    if known is not None:
+        mine, its = joined.select(F.col("id").alias("u"), F.col("g").alias("mine")), joined.select(F.col("id").alias("v"), F.col("g").alias("its"))
+        star = star.join(mine, "u", "left").join(its, "v", "left").filter(F.coalesce(F.col("mine") != F.col("its"), F.lit(True))).select("u", "v")
+    star = written(star, "star")
     links = _verified(star, sets)
+    if known is not None:
+        links = links.union(known)
+        drop(joined)
     clusters = _clusters(links)
 
     # lists of several clusters, and the leaves of their trees
@@ -241,8 +250,21 @@ def similar_classes(sets: DataFrame) -> DataFrame:
     return clusters.select("id", F.col("g").alias("root"))
 
 
-def similar_documents(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text). Runs all its jobs but the last join."""
+def _proposed(proposals: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (u, v) of similar classes among those of the rows that ``proposals`` (doc_id, other) names. Written."""
+    own = rows.filter("n > 0").select("doc_id", F.col("id").alias("a"))
+    pairs = proposals.join(own, "doc_id").join(own.select(F.col("doc_id").alias("other"), F.col("a").alias("b")), "other").filter("a <> b")
+    pairs = written(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "proposed")
+    found = _verified(pairs, sets)
+    drop(pairs)
+    return found
+
+
+def similar_documents(docs: DataFrame, words: int = 5, proposals: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text). Runs all its jobs but the last join.
+
+    ``proposals``: pairs of rows (doc_id, other) that another method takes for near copies. They are verified first, and the
+    trees look for the links that these do not give; the result is the same with and without them."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     rows = written(docs.mapInArrow(_sampled(words), "doc_id long, t long, n long, id long, some array<long>"), "rows")
     classes = rows.filter("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "t")).alias("row"))
@@ -257,7 +279,8 @@ def similar_documents(docs: DataFrame, words: int = 5) -> DataFrame:
         single = written(sets.dropDuplicates(["id"]), "sets")
         drop(sets)
         sets = single
-    linked = similar_classes(sets)
+    known = None if proposals is None else _proposed(proposals, rows, sets)
+    linked = similar_classes(sets, known)
     least = linked.join(classes.select("id", "least"), "id")
     roots = written(least.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     own = classes.join(least.select("id", "root").join(roots, "root").select("id", "component_id"), "id", "left")
@@ -268,9 +291,10 @@ def similar_documents(docs: DataFrame, words: int = 5) -> DataFrame:
     return rows.filter("n > 0").select("doc_id", "n", "id").join(own, "id").select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(alone)
 
 
-def similar_groups(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(key, group) of each row of ``docs`` (key of 0 and more, text); texts without words are one group."""
-    found = similar_documents(docs.select(F.col("key").alias("doc_id"), "text"), words)
+def similar_groups(docs: DataFrame, words: int = 5, proposals: DataFrame | None = None) -> DataFrame:
+    """(key, group) of each row of ``docs`` (key of 0 and more, text); texts without words are one group. ``proposals``: (key, other)."""
+    pairs = None if proposals is None else proposals.select(F.col("key").alias("doc_id"), "other")
+    found = similar_documents(docs.select(F.col("key").alias("doc_id"), "text"), words, pairs)
     return found.select(F.col("doc_id").alias("key"), F.when(F.col("n_shingles") == 0, F.lit(-1)).otherwise(F.col("component_id")).alias("group"))
 
 

@@ -11,6 +11,8 @@ from featuremill.llm.common import written
 from featuremill.llm.decontaminate import RATE, edit_search, words
 from featuremill.llm.langid import Predictor, train
 from featuremill.llm.line_dedup import MIN_WORDS
+from featuremill.llm.signature_tree import similar_groups
+from featuremill.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,3 +106,24 @@ def test_bpe(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(stages[5])
+
+
+def test_near_dedup_goes_through_the_index_of_fingerprints(spark, monkeypatch):
+    """Rows within four bits of each other are proposed, and only those; a proposal of unlike texts removes nothing."""
+    base = " ".join(f"w{k}" for k in range(400))
+    often = "a b c d e " * 60  # repeats of five shingles outweigh all others, so fingerprints are alike and sets are not
+    texts = [base, base + " x", " ".join(f"v{k}" for k in range(50)), often + " ".join(f"p{k}" for k in range(40)), often + " ".join(f"q{k}" for k in range(40))]
+    prints = [fingerprint(t, corpus_pipeline.SHINGLE_WORDS) for t in texts]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 4}
+    assert near == {(0, 1), (3, 4)}
+    proposed = []
+
+    def spied(docs, words, proposals):
+        ids = {r.key: texts.index(r.text) for r in docs.collect()}
+        proposed.extend(tuple(sorted((ids[r.key], ids[r.other]))) for r in proposals.collect())
+        return similar_groups(docs, words, proposals)
+
+    monkeypatch.setattr(corpus_pipeline, "similar_groups", spied)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.simhash_dedup(spark, docs, SF).collect()
+    assert set(proposed) == near and sorted(r.doc_id for r in kept) == [0, 2, 3, 4]

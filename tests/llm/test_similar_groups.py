@@ -101,3 +101,21 @@ def test_decontamination_decides_by_row(spark):
     rows = [(None, f"before {item} after"), (None, "clean text"), (1, f"say {item}"), (1, "other clean text")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {tuple(r) for r in decontamination(spark, docs, sf).collect()} == {rows[1], rows[3]}
+
+
+def test_proposals_do_not_change_the_groups(spark):
+    """Right, wrong, repeated and unknown pairs of rows: links come from the sets alone."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(10):
+        base = [f"w{rng.randrange(200)}" for _ in range(rng.choice([4, 60, 200]))]
+        for k in range(6):
+            ws = list(base)
+            if k > 1:
+                ws[rng.randrange(len(ws))] = "x"
+            rows.append((len(rows), " ".join(ws)))
+    rows += [(len(rows), None), (len(rows) + 1, "")]
+    pairs = [(a, b) for a in range(0, 60, 6) for b in range(a + 1, a + 5)] + [(0, 7), (0, 7), (1, 60), (60, 61), (3, 999)]
+    docs, proposals = spark.createDataFrame(rows, "key long, text string"), spark.createDataFrame(pairs, "key long, other long")
+    got = {r.key: r.group for r in similar_groups(docs, 5, proposals).collect()}
+    assert partition(got) == partition(brute(rows))
