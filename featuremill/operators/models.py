@@ -116,12 +116,17 @@ def prepare(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[s
     return Prepared(rows, key, target, fold, list(columns), weight, indicators, sorted(r[0] for r in found))
 
 
-def validate(p: Prepared, kind: str, columns: Sequence[str] | None = None, stops: Sequence[float] = (), seed: int = SEED, early: bool = False, **params) -> CrossValidated:
+def _is_regression(kind: str) -> bool:
+    return kind.endswith("regression") or kind in ("linear", "ridge", "lasso")
+
+
+def validate(p: Prepared, kind: str, columns: Sequence[str] | None = None, stops: Sequence[float] = (), seed: int = SEED, early: bool = False, score: bool = True, **params) -> CrossValidated:
     """A model per fold: score (AUC, or minus RMSE for regressions), out-of-fold predictions, the test rows' mean
     prediction (test: target null), importances, the number of trees.
 
     ``stops``: least cumulative scores; below one, no further folds. ``early`` (boosted trees): no more trees once the error on
-    the fold's own rows has stopped to fall. Rows whose weight is null or not above 0 do not train, but are predicted."""
+    the fold's own rows has stopped to fall. Rows whose weight is null or not above 0 do not train, but are predicted.
+    Without ``score`` no scores are taken, for ``scores_of`` to take those of many fits at once."""
     columns = p.columns if columns is None else list(columns)
     if early and not kind.startswith("gbt"):
         raise ValueError("only boosted trees stop early")
@@ -143,7 +148,9 @@ def validate(p: Prepared, kind: str, columns: Sequence[str] | None = None, stops
         gains += [(c, k, g) for c, g in importances(model, columns)]
         if hasattr(model, "getNumTrees"):
             trees.append(model.getNumTrees if isinstance(model.getNumTrees, int) else model.getNumTrees())
-        if kind.endswith("regression") or kind in ("linear", "ridge", "lasso"):
+        if not score:
+            continue
+        if _is_regression(kind):
             scores.append(-oof.agg(F.sqrt(F.avg(F.pow(F.col(target) - F.col("prediction"), 2)))).first()[0])
         else:
             scores.append(auc(oof, target, "prediction").first()[0])
@@ -164,11 +171,30 @@ def cross_validate(df: DataFrame, key: str, target: str, fold: str, columns: Seq
 AT_A_TIME = 4
 
 
-def tried(p: Prepared, kind: str, trials: Sequence[tuple[Sequence[str], dict]], at_a_time: int = AT_A_TIME) -> list[CrossValidated]:
-    """``validate`` for each (columns, parameters), ``at_a_time`` of them side by side over the one written matrix."""
-    run = inheritable_thread_target(p.rows.sparkSession)(lambda trial: validate(p, kind, trial[0], **trial[1]))
+def tried(p: Prepared, kind: str, trials: Sequence[tuple[Sequence[str], dict]], at_a_time: int = AT_A_TIME, score: bool = True) -> list[CrossValidated]:
+    """``validate`` for each (columns, parameters), ``at_a_time`` of them side by side over the one written matrix; the held-out
+    predictions of all fits are written once and scored together."""
+    run = inheritable_thread_target(p.rows.sparkSession)(lambda trial: validate(p, kind, trial[0], **({"score": bool(trial[1].get("stops"))} | trial[1])))
     with ThreadPoolExecutor(at_a_time) as pool:
-        return list(pool.map(run, trials))
+        found = list(pool.map(run, trials))
+    if score:
+        _score(p, kind, [cv for cv in found if not cv.scores])
+    return found
+
+
+def _score(p: Prepared, kind: str, fits: Sequence[CrossValidated]) -> None:
+    """Fills in the ``scores`` of ``fits``, by one job over the predictions of them all."""
+    if not fits or not p.folds:
+        return
+    oofs = [cv.oof.select(F.lit(i).alias("_trial"), F.col(p.fold).alias("_fold"), F.col(p.target).alias("_y"), "prediction") for i, cv in enumerate(fits)]
+    rows = stored(reduce(DataFrame.union, oofs), "held-out")
+    if _is_regression(kind):
+        by = rows.groupBy("_trial", "_fold").agg((-F.sqrt(F.avg(F.pow(F.col("_y") - F.col("prediction"), 2)))).alias("score"))
+    else:
+        by = auc(rows, "_y", "prediction", ["_trial", "_fold"]).withColumnRenamed("auc", "score")
+    of = {(r["_trial"], r["_fold"]): r["score"] for r in by.collect()}
+    for i, cv in enumerate(fits):
+        cv.scores.extend(of.get((i, k)) for k in p.folds)
 
 
 def stacked(result: CrossValidated, key: str) -> DataFrame:
@@ -178,7 +204,7 @@ def stacked(result: CrossValidated, key: str) -> DataFrame:
 
 def seed_average(df: DataFrame, key: str, target: str, fold: str, columns: Sequence[str], kind: str, seeds: Sequence[int], **params) -> DataFrame:
     p = prepare(df, key, target, fold, columns)
-    parts = [stacked(cv, key) for cv in tried(p, kind, [(columns, {"seed": s} | params) for s in seeds])]
+    parts = [stacked(cv, key) for cv in tried(p, kind, [(columns, {"seed": s} | params) for s in seeds], score=False)]
     return reduce(DataFrame.union, parts).groupBy(key).agg(F.avg("prediction").alias("prediction"))
 
 

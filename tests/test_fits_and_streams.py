@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from featuremill.operators import models
+from featuremill.operators.ranges import range_of
 from featuremill.sources.scratch import scratch
 from featuremill.streaming.features import decayed_stream, latest, merged_decays, run_into
 
@@ -94,3 +95,23 @@ def test_states_go_after_their_time(spark):
     states = run_into(decayed_stream(_stream(spark, batches), "ts", ["e"], "v", 0.5, 1, keep=10), scratch(spark, "out"), scratch(spark, "ck"), 300)
     last = {r.e: (r.n, r.top) for r in latest(states, ["e", "salt"]).collect()}
     assert last["a"] == (1, 5.0)
+
+
+def test_trials_are_scored_together(spark, monkeypatch):
+    """The scores of a round's fits are those of each fit alone, by one AUC; ranges are the numbers of cuts below a value."""
+    rows = [(k, k % 3, float(k * 7 % 11), float(k * k % 5), k % 4 if k % 4 < 2 else int(k * 7 % 11 > 5)) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, f int, a double, b double, y int")
+    p = models.prepare(df, "k", "y", "f", ["a", "b"])
+    trials = [(["a", "b"], {"regParam": 0.0, "maxIter": 3}), (["b"], {"regParam": 0.2, "maxIter": 3})]
+    alone = [models.validate(p, "logistic", c, **x).scores for c, x in trials]
+    calls, auc = [], models.auc
+    monkeypatch.setattr(models, "auc", lambda *a: calls.append(a) or auc(*a))
+    assert [cv.scores for cv in models.tried(p, "logistic", trials)] == alone and len(alone[0]) == 3 and len(calls) == 1
+    assert [cv.scores for cv in models.tried(p, "linear", [(["a"], {})])][0] == pytest.approx(models.validate(p, "linear", ["a"]).scores)
+
+
+def test_range_of(spark):
+    at = [-1.0, 0.5, 0.5000001, 3.0, 7.0]
+    values = [None, float("nan"), float("-inf"), -1.0, -0.5, 0.5, 0.50000005, 1.0, 3.0, 3.5, 7.0, 8.0]
+    got = [r[1] for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", range_of(F.col("v"), at)).collect()]
+    assert got == [0, 5, 0, 0, 1, 1, 2, 3, 3, 4, 4, 5]
